@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.llm import simhash
+from cairn.llm import langid, matroska, quality, simhash
+from cairn.llm.common import held_out_expr, raw_text
 
 QUERIES = {}
 ORACLE = {}
@@ -32,3 +33,30 @@ def op9(spark, sf_dir):
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query("op1_quality_classifier")
+def op1(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    held_out = held_out_expr("doc_id", 5, 0)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    score = quality.scorer(spark, quality.fit(docs, labels, ~held_out))
+    got = docs.select("doc_id", held_out.alias("held_out"), score(raw_text(), F.col("n_chars").cast("double")).alias("score"))
+    return got.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op3_media_columns")
+def op3(spark, sf_dir):
+    raw = raw_text()
+    got = documents(spark, sf_dir).select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), matroska.digest(matroska.to_media(raw)).alias("d")
+    )
+    return got.select("doc_id", "n_bytes", "d.*")
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    held_out = held_out_expr("doc_id", 3, 1)
+    predict = langid.predictor(spark, langid.fit(docs, ~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), predict("text").alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.llm import langid, matroska, quality, simhash
+from cairn.llm import langid, matroska, packing, quality, rans, simhash
 from cairn.llm.common import held_out_expr, raw_text
 
 QUERIES = {}
@@ -60,3 +60,15 @@ def op8(spark, sf_dir):
     held_out = held_out_expr("doc_id", 3, 1)
     predict = langid.predictor(spark, langid.fit(docs, ~held_out))
     return docs.select("doc_id", held_out.alias("held_out"), predict("text").alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+@query("op10_token_files")
+def op10(spark, sf_dir):
+    got = rans.round_trip(documents(spark, sf_dir))
+    return got.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+
+
+@query("op4_packing")
+def op4(spark, sf_dir):
+    got = packing.pack(documents(spark, sf_dir), whole=False)
+    return got.withColumnsRenamed({"id": "doc_id", "sequence": "sequence_id"})

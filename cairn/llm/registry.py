@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.llm import langid, matroska, packing, quality, rans, simhash
+from cairn.llm import langid, matroska, order_minhash, packing, quality, rans, simhash
 from cairn.llm.common import held_out_expr, raw_text
 
 QUERIES = {}
@@ -72,3 +72,8 @@ def op10(spark, sf_dir):
 def op4(spark, sf_dir):
     got = packing.pack(documents(spark, sf_dir), whole=False)
     return got.withColumnsRenamed({"id": "doc_id", "sequence": "sequence_id"})
+
+
+@query("op7_order_minhash")
+def op7(spark, sf_dir):
+    return order_minhash.neighbours(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")

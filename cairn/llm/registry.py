@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.llm import langid, matroska, order_minhash, packing, quality, rans, simhash
+from cairn.llm import langid, matroska, mixing, order_minhash, packing, quality, rans, simhash
 from cairn.llm.common import held_out_expr, raw_text
 
 QUERIES = {}
@@ -77,3 +77,8 @@ def op4(spark, sf_dir):
 @query("op7_order_minhash")
 def op7(spark, sf_dir):
     return order_minhash.neighbours(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_pfair_mixing")
+def op6(spark, sf_dir):
+    return mixing.places(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.llm import langid, matroska, mixing, order_minhash, packing, quality, rans, simhash
+from cairn.llm import langid, licenses, matroska, mixing, order_minhash, packing, quality, rans, simhash
 from cairn.llm.common import held_out_expr, raw_text
 
 QUERIES = {}
@@ -82,3 +82,8 @@ def op7(spark, sf_dir):
 @query("op6_pfair_mixing")
 def op6(spark, sf_dir):
     return mixing.places(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_license_scan")
+def op5(spark, sf_dir):
+    return licenses.digest(licenses.scan(documents(spark, sf_dir)))

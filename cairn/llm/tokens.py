@@ -1,19 +1,23 @@
 """Token ids of whole texts with a public tokenizer file.
 
-The tokenizer drops white space and never joins across it, so a text's ids are
-those of its words (runs between ASCII white space) one after another.  Every
-worker keeps the ids of the words it has met, encodes new words with the
-tokenizers library in batches, and gathers the ids of whole batches at once.
-
-Ids are held as little-endian unsigned 16-bit integers (the vocabulary has
-fewer than 65,536 entries; larger ones raise ``ValueError``).
+The tokenizer drops white space, never joins across it, and splits between
+letters, digits and other characters (an apostrophe may join the letter after
+it).  A text's ids are thus those of its units one after another.  Every worker
+keeps the ids of the units it has met (up to ``REMEMBERED``), encodes new ones
+with the tokenizers library, and gathers the ids of whole blocks of text with
+numpy.  In texts of ASCII and Latin letters a unit is a run of one character
+class; in any other text it is a whole run between ASCII white space.
+
+Units are recognised by 96 bits of hash; longer ones than ``LONGEST`` bytes are
+kept by their bytes.  Ids are held as little-endian unsigned 16-bit integers
+(the vocabulary has fewer than 65,536 entries; larger ones raise ``ValueError``).
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import raw_text
+from cairn.llm.hashing import HashTable, run_hashes
 
 END = 2
-#: Words a worker remembers before it starts anew, and bytes of text taken at once.
-REMEMBERED = 350_000
-AT_ONCE = 2 << 20
-_STOP = b"\n"  # stands for the end id; never a word
+#: Units a worker remembers before it starts anew, bytes of text taken at once, longest hashed unit.
+REMEMBERED = 1_200_000
+AT_ONCE = 1 << 20
+LONGEST = 96
+#: Bytes beyond ASCII text and Latin letters (U+00C0 to U+017F without signs and U+0130), and special tokens.
+COMPLEX = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f\xc2\xc6-\xff]|\xc3[\x97\xb7]|\xc4\xb0|<\|")
+SPACE, LETTER, DIGIT, OTHER = range(4)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[[9, 10, 11, 12, 13, 32]] = SPACE
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = LETTER
+KIND[0x30:0x3A] = DIGIT
+PLAIN = np.where(KIND == SPACE, SPACE, LETTER).astype(np.uint8)
+_BREAK = "\x01"
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -35,8 +49,22 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds:
-    """Ids of words, remembered in flat arrays."""
+def units(x: np.ndarray, split: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the units of a block of bytes."""
+    kind = (KIND if split else PLAIN)[x]
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    new[1:] = kind[1:] != kind[:-1]
+    if split:
+        new |= kind == DIGIT
+        new[1:] &= ~((x[:-1] == 0x27) & (kind[1:] == LETTER))
+    edge = np.concatenate([np.nonzero(new)[0], [len(x)]])
+    solid = kind[edge[:-1]] != SPACE
+    return edge[:-1][solid], edge[1:][solid]
+
+
+class UnitIds:
+    """Ids of units, remembered in flat arrays."""
 
     def __init__(self, path: str, end: int = END):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -45,52 +73,87 @@ class WordIds:
         self.tokenizer, self.end = Tokenizer.from_file(path), end
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
+        marks = self.tokenizer.encode(_BREAK, add_special_tokens=False).ids
+        self.mark = marks[0] if len(marks) == 1 else None
         self.clear()
 
     def clear(self):
-        self.index = {_STOP: 0}
-        self.flat, self.lens, self.used = np.zeros(1 << 20, np.uint16), np.zeros(1 << 16, np.int64), 1
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.flat[0], self.lens[0] = self.end, 1
-
-    def learn(self, words: list[bytes]):
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint16, int(lens.sum()))
-        n, at = len(self.index), self.used
-        while at + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(ids) > len(self.lens):
-            self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.flat[at : at + len(flat)] = flat
-        self.lens[n : n + len(ids)] = lens
-        self.starts[n : n + len(ids)] = at + np.cumsum(lens) - lens
-        self.used += len(flat)
-        self.index.update(zip(words, range(n, n + len(words))))
-
-    def encode(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of several word lists in one array, and the number of ids of each."""
-        if len(self.index) > REMEMBERED:
+        self.table, self.long = HashTable(), {}
+        self.flat, self.used = np.zeros(1 << 18, np.uint16), 0
+        self.starts, self.lens, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+
+    def _encode(self, words: list[str]) -> list[np.ndarray]:
+        if self.mark is not None and not any(_BREAK in w for w in words):
+            out = []
+            for at in range(0, len(words), 1000):
+                some = words[at : at + 1000]
+                ids = np.array(self.tokenizer.encode(f" {_BREAK} ".join(some), add_special_tokens=False).ids, np.uint16)
+                cuts = np.nonzero(ids == self.mark)[0]
+                if len(cuts) != len(some) - 1:
+                    break
+                edge = np.concatenate([[-1], cuts, [len(ids)]])
+                out.append((ids, edge))
+            else:
+                return out
+        lists = [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [(ids, np.array([-1, len(ids)])) for ids in lists]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encode new units and append them in order."""
+        for ids, edge in self._encode([w.decode("utf-8", "replace") for w in words]):
+            lens = np.diff(edge) - 1
+            keep = np.ones(len(ids), bool)
+            keep[edge[1:-1]] = False
+            flat, n = ids[keep], len(lens)
+            while self.used + len(flat) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while self.n + n > len(self.lens):
+                self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
+                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.lens[self.n : self.n + n] = lens
+            self.starts[self.n : self.n + n] = self.used + np.cumsum(lens) - lens
+            self.used += len(flat)
+            self.n += n
+
+    def encode(self, raw: bytes, split: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a block, and for each unit its start in the block and where its ids end."""
+        if self.n > REMEMBERED:
             self.clear()
-        fresh = set(chain.from_iterable(lists)).difference(self.index)
-        if fresh:
-            self.learn(sorted(fresh))
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
-        lens = self.lens[at]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(total)]
-        cum = np.concatenate([[0], ends])
-        bounds = cum[np.concatenate([[0], np.cumsum(sizes)])]
-        return ids, np.diff(bounds)
+        x = np.frombuffer(raw, np.uint8)
+        starts, ends = units(x, split)
+        if not len(starts):
+            return np.empty(0, np.uint16), starts, starts
+        key, check = run_hashes(x, starts, ends)
+        at = self._numbers[self.table.find(key, check)] if self.table.n else np.full(len(starts), -1)
+        size = ends - starts
+        far = np.nonzero(size > LONGEST)[0]
+        at[far] = -1
+        fresh = np.nonzero((at < 0) & (size <= LONGEST))[0]
+        if len(fresh):
+            _, first = np.unique(key[fresh], return_index=True)
+            first = fresh[np.sort(first)]
+            words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+            numbers = np.arange(self.n, self.n + len(words))
+            self.learn(words)
+            self.table.add(key[first], check[first])
+            self._numbers = np.concatenate([self._numbers[:-1] if self.table.n > len(words) else np.empty(0, np.int64), numbers, [-1]])
+            at[fresh] = self._numbers[self.table.find(key[fresh], check[fresh])]
+        for i in far:
+            word = raw[starts[i] : ends[i]]
+            if word not in self.long:
+                self.long[word] = self.n
+                self.learn([word])
+            at[i] = self.long[word]
+        lens = self.lens[at].astype(np.int64)
+        done = np.cumsum(lens)
+        ids = self.flat[np.repeat(self.starts[at] - (done - lens), lens) + np.arange(done[-1])]
+        return ids, starts, done
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str, end: int = END) -> WordIds:
-    return WordIds(path, end)
+def unit_ids(path: str, end: int = END) -> UnitIds:
+    return UnitIds(path, end)
 
 
 def pieces(raw: bytes, size: int = AT_ONCE):
@@ -105,23 +168,32 @@ def pieces(raw: bytes, size: int = AT_ONCE):
     yield raw[at:]
 
 
+def _plain(raws: list[bytes]) -> bool:
+    return not any(map(COMPLEX.search, raws))
+
+
 def encoded(raws: list[bytes], path: str, end: int = END):
     """Yield ``(first, last, ids, counts)`` for runs of texts; each text's ids end with the end id."""
-    book = word_ids(path, end)
+    book = unit_ids(path, end)
     i = 0
     while i < len(raws):
+        split = _plain(raws[i : i + 1])
         if len(raws[i]) > AT_ONCE:
-            parts = [book.encode([p.split()])[0] for p in pieces(raws[i])]
+            parts = [book.encode(p.lower() if split else p, split)[0] for p in pieces(raws[i])]
             ids = np.concatenate([*parts, np.array([end], np.uint16)])
             yield i, i + 1, ids, np.array([len(ids)])
             i += 1
             continue
         j, size = i, 0
-        while j < len(raws) and size + len(raws[j]) <= AT_ONCE:
-            size += len(raws[j])
+        while j < len(raws) and size + len(raws[j]) <= AT_ONCE and (j == i or _plain(raws[j : j + 1]) == split):
+            size += len(raws[j]) + 1
             j += 1
-        ids, counts = book.encode([r.split() + [_STOP] for r in raws[i:j]])
-        yield i, j, ids, counts
+        block = b"\n".join(raws[i:j])
+        ids, starts, done = book.encode(block.lower() if split else block, split)
+        limits = np.cumsum([len(r) + 1 for r in raws[i:j]])
+        ends = np.concatenate([[0], done])[np.searchsorted(starts, limits)]
+        counts = np.diff(np.concatenate([[0], ends])) + 1
+        yield i, j, np.insert(ids, ends, np.uint16(end)), counts
         i = j
 
 

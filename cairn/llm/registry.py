@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.llm import langid, licenses, matroska, mixing, order_minhash, packing, quality, rans, simhash
+from cairn.llm import langid, licenses, lm, matroska, mixing, order_minhash, packing, quality, rans, simhash
 from cairn.llm.common import held_out_expr, raw_text
 
 QUERIES = {}
@@ -87,3 +87,9 @@ def op6(spark, sf_dir):
 @query("op5_license_scan")
 def op5(spark, sf_dir):
     return licenses.digest(licenses.scan(documents(spark, sf_dir)))
+
+
+@query("op2_lm_scoring")
+def op2(spark, sf_dir):
+    got = lm.score(documents(spark, sf_dir), ~held_out_expr("doc_id", 7, 2))
+    return got.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

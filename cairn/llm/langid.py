@@ -8,9 +8,9 @@ smoothed log ratio between the two sides times a factor learned by hinge-loss
 descent; a score is a sum of table look-ups over the text divided by the
 number of grams, so time is linear and memory constant.
 
-Fitting uses a bounded sample: at most ``PER_LANG`` documents of each of the
-``MAX_LANGS`` most frequent languages (those with the smallest hash of the id)
-together with short pieces of them.
+Fitting uses a bounded sample: about ``PER_LANG`` documents of each of the
+``MAX_LANGS`` most frequent languages (a share of each, drawn by the hash of the
+id) together with short pieces of them.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0;
 null languages are not learned from; with a single learned language all
@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,17 +154,15 @@ class Model:
 def fit(docs: DataFrame, train, text_col="text", lang_col="lang", id_col="doc_id", per_lang=PER_LANG) -> Model:
     """Learn from the rows where ``train`` holds; the sample is bounded by ``per_lang`` and ``MAX_LANGS``."""
     pool = docs.where(train & F.col(lang_col).isNotNull())
-    langs = [r[0] for r in pool.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()]
+    found = pool.where(F.col(text_col).isNotNull()).groupBy(lang_col).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r[0]: r[1] for r in found.orderBy(F.desc("n"), lang_col).limit(MAX_LANGS).collect()}
+    langs = list(counts)
     if not langs:
         return Model([])
-    order = Window.partitionBy("lang").orderBy("rank", "text")
-    chosen = (
-        pool.where(F.col(lang_col).isin(langs) & F.col(text_col).isNotNull())
-        .select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("rank"), F.col(text_col).alias("text"))
-        .withColumn("at", F.row_number().over(order))
-        .where(F.col("at") <= per_lang)
-        .select("lang", "text")
-    )
+    # a share of each language, by the hash of the id: no shuffle, about ``per_lang`` rows
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n))]), F.col(lang_col))
+    drawn = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 24)) / F.lit(float(1 << 24))
+    chosen = pool.where(F.col(text_col).isNotNull() & F.col(lang_col).isin(langs) & (drawn < share)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sample = chosen.mapInArrow(_sample_features, "lang string, gram array<int>, count array<int>").toArrow()
     rows, labels = [], []
     for lang, gram, count in sorted(zip(*(sample.column(i).to_pylist() for i in range(3))), key=lambda r: (r[0], len(r[1]), r[1])):

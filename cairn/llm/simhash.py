@@ -264,3 +264,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = named.groupBy("label").agg(F.min("first").alias("component"))
     groups = cut(named.join(lowest, "label").select("fp", "component"), "simhash-groups")
     return fps.join(groups, "fp").select("id", "fp", "component")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component: the smallest id (and of its rows the smallest fingerprint)."""
+    found = near_duplicates(docs, id_col, text_col)
+    found = cut(found.groupBy("id", "fp", "component").agg(F.count(F.lit(1)).alias("n")), "simhash-members")
+    kept = found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("id").agg(F.min("fp").alias("fp"))
+    kept = kept.select(F.col("id").alias("__id"), F.col("fp").alias("__kept"))
+    # the fingerprint is worked out anew rather than stored with a copy of the texts
+    rows = docs.withColumn("__fp", _fingerprint(raw_text(text_col)))
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")))
+    if not found.where(F.col("n") > 1).isEmpty():
+        rows = rows.dropDuplicates([id_col, "__fp"])
+    return rows.select(*docs.columns)

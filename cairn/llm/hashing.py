@@ -24,7 +24,7 @@ class Powers:
 
     def of(self, n: int):
         if n > self.size:
-            self.size = 1 << max(16, (n - 1).bit_length())
+            self.size = max(1 << 16, n + n // 4)
             self.tables = [_powers(b, self.size) for b in (_BASE, _INVERSE, _OTHER, _INVERSE_OTHER)]
         return self.tables
 
@@ -38,17 +38,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def run_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit polynomial hashes (mixed) of each run ``x[start:end]``."""
+def run_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, how_many: int = 2) -> list[np.ndarray]:
+    """One or two 64-bit polynomial hashes (mixed) of each run ``x[start:end]``."""
     up, down, up2, down2 = POWERS.of(len(x) + 1)
     digits = x.astype(np.uint64) + np.uint64(1)
     out = []
-    for u, d in ((up, down), (up2, down2)):
+    for u, d in ((up, down), (up2, down2))[:how_many]:
         sums = np.empty(len(x) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(digits * u[: len(x)], out=sums[1:])
         out.append(mix((sums[ends] - sums[starts]) * d[starts]))
-    return out[0], out[1]
+    return out
 
 
 class HashTable:

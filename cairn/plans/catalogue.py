@@ -1,48 +1,6 @@
-"""Registered queries of the reference's operators and their oracle SQL."""
+"""All registered queries of the engine's operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from cairn.session import table
-
-QUERIES = {}
-ORACLE = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a ``(spark, sf_dir) -> DataFrame`` under ``name``."""
-
-    def keep(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return keep
-
-
-@query(
-    "degree_topk",
-    """
-    WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
-         d AS (SELECT l_suppkey, count(*) AS callees FROM e GROUP BY l_suppkey),
-         f AS (SELECT l_suppkey, count(DISTINCT l_returnflag) AS imports_used FROM lineitem GROUP BY l_suppkey)
-    SELECT d.l_suppkey AS func, s.s_name AS name, d.callees AS callees, f.imports_used AS imports_used
-    FROM d JOIN f USING (l_suppkey) LEFT JOIN supplier s ON s.s_suppkey = d.l_suppkey
-    ORDER BY callees DESC, func LIMIT 25
-    """,
-)
-def degree_topk(spark, sf_dir):
-    """Functions by out-degree: distinct callees, imports used, name by left join."""
-    calls = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag")
-    stats = calls.groupBy("l_suppkey").agg(
-        F.countDistinct("l_partkey").alias("callees"), F.countDistinct("l_returnflag").alias("imports_used")
-    )
-    names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("name"))
-    return (
-        stats.join(names, "l_suppkey", "left")
-        .select(F.col("l_suppkey").alias("func"), "name", "callees", "imports_used")
-        .orderBy(F.desc("callees"), "func")
-        .limit(25)
-    )
+from cairn.plans import addressing, graphs, knowledge, linking, matches, texts  # noqa: F401  (they register their queries)
+from cairn.plans.registry import ORACLE, QUERIES  # noqa: F401

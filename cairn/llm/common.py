@@ -2,43 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.storage import cut, shared_dir, shared_path  # noqa: F401  (used by the operators)
 
-_UNNAMED: dict[str, str] = {}
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only where none is named (tests) a local one is made."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        app = spark.sparkContext.applicationId
-        if app not in _UNNAMED:
-            _UNNAMED[app] = "file://" + tempfile.mkdtemp(prefix="cairn-shared-")
-        named = _UNNAMED[app]
-    return named.rstrip("/")
+def raw_text(text_col: str = "text"):
+    """The text as UTF-8 bytes; null counts as empty."""
+    return F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+def values(column: pa.Array, at_once: int = 256):
+    """The column's values as Python objects, a few at a time: a batch is never held twice."""
+    for at in range(0, len(column), at_once):
+        yield from column.slice(at, at_once).to_pylist()
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: a new, short lineage."""
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def parts_of(batches, at_once: int = 512):
+    """Record batches of at most ``at_once`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, at_once):
+            yield batch.slice(at, at_once)
 
 
-def raw_text(text_col: str = "text"):
-    """The text as UTF-8 bytes; null counts as empty."""
-    return F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+def tidy() -> None:
+    """Give memory that a batch has left free back to the system, where that is possible."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.llm.common import tidy, values
+
 BITS = 16
 PER_LANG = 400
 MAX_LANGS = 64
@@ -178,7 +180,8 @@ def predictor(spark, model: Model):
 
     @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predict(texts: pa.Array) -> pa.Array:
-        got = [shared.value.predict(t) for t in texts.to_pylist()]
+        got = [shared.value.predict(t) for t in values(texts)]
+        tidy()
         return pa.StructArray.from_arrays(
             [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang_pred", "score"]
         )

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.llm.common import tidy, values
+
 UNIT = 576
 RATE = 48_000
 LACE = 8
@@ -260,7 +262,7 @@ def feature(samples: bytes, parsed: Parsed) -> str:
 @F.arrow_udf(T.BinaryType())
 def to_media(raw: pa.Array) -> pa.Array:
     """UTF-8 bytes (null: empty) to the stored Matroska bytes."""
-    return pa.array([mux(padded(t or b"")) for t in raw.to_pylist()], pa.large_binary() if raw.nbytes > 1 << 30 else pa.binary())
+    return pa.array([mux(padded(t or b"")) for t in values(raw)], pa.large_binary() if raw.nbytes > 1 << 30 else pa.binary())
 
 
 DIGEST = T.StructType(
@@ -279,10 +281,11 @@ DIGEST = T.StructType(
 def digest(media: pa.Array) -> pa.Array:
     """Read stored bytes back through their packet table and describe what was read."""
     rows = []
-    for data in media.to_pylist():
+    for data in values(media):
         parsed = parse(data)
         got = payload(data, parsed)
         rows.append((len(got), hashlib.sha256(got).hexdigest(), crc32(got[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(got, parsed)))
+    tidy()
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=DIGEST.names)
 

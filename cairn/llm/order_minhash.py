@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import text_bytes
+from cairn.llm.common import parts_of, text_bytes, tidy, values
 
 K = 8
 ENTRIES = 64
@@ -90,7 +90,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 @F.arrow_udf(T.StringType())
 def fingerprint(texts: pa.Array) -> pa.Array:
     """A column function: text to its fingerprint."""
-    return pa.array([as_text(entries(t or "")) for t in texts.to_pylist()], pa.string())
+    return pa.array([as_text(entries(t or "")) for t in values(texts)], pa.string())
 
 
 def edited(text: str, after: str) -> str:
@@ -111,7 +111,7 @@ def _deal(limits):
         last = len(shared)
         where = {None if x is None else int(x): i for i, x in enumerate([*shared.tolist()])}
         heads = {}
-        for batch in batches:
+        for batch in parts_of(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             known = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             part = np.searchsorted(shared, known, side="right")
@@ -122,6 +122,7 @@ def _deal(limits):
                     if (i, to) not in heads or t < heads[i, to]:
                         heads[i, to] = t
             yield _rows(part, np.zeros(len(part), bool), ids, texts)
+        tidy()
         if heads:
             yield _rows(np.array([to for _, to in heads]), np.ones(len(heads), bool), pa.array([i for i, _ in heads], pa.int64()), list(heads.values()))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import raw_text
+from cairn.llm.common import raw_text, tidy, values
 
 BITS = 16
 RANK = 8
@@ -153,7 +153,9 @@ def scorer(spark, machine: Machine | None):
     @F.arrow_udf(T.DoubleType())
     def score(raw: pa.Array, *metadata: pa.Array) -> pa.Array:
         m = shared.value
-        rows = zip(raw.to_pylist(), *(c.to_pylist() for c in metadata))
-        return pa.array([0.5 if m is None else m.score(r[0] or b"", r[1:]) for r in rows], pa.float64())
+        rows = zip(values(raw), *(c.to_pylist() for c in metadata))
+        got = pa.array([0.5 if m is None else m.score(r[0] or b"", r[1:]) for r in rows], pa.float64())
+        tidy()
+        return got
 
     return score

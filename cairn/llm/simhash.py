@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import cut, raw_text
+from cairn.llm.common import cut, raw_text, tidy, values
 
 RADIUS = 3
 SEED = 42
@@ -66,7 +66,8 @@ def fingerprint_bytes(raw: bytes) -> int:
 
 @F.arrow_udf(T.LongType())
 def _fingerprint(texts: pa.Array) -> pa.Array:
-    got = np.fromiter((fingerprint_bytes(t) for t in texts.to_pylist()), np.uint64, len(texts))
+    got = np.fromiter((fingerprint_bytes(t) for t in values(texts)), np.uint64, len(texts))
+    tidy()
     return pa.array(got.view(np.int64))
 
 

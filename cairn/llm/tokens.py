@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import raw_text
+from cairn.llm.common import parts_of, raw_text, tidy
 from cairn.llm.hashing import HashTable, run_hashes
 
 END = 2
 #: Units a worker remembers before it starts anew, bytes of text taken at once, longest hashed unit.
-REMEMBERED = 1_200_000
+REMEMBERED = 500_000
 AT_ONCE = 1 << 20
 LONGEST = 96
 #: Bytes beyond ASCII text and Latin letters (U+00C0 to U+017F without signs and U+0130), and special tokens.
@@ -199,13 +199,14 @@ def encoded(raws: list[bytes], path: str, end: int = END):
 
 def _run(path, end):
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             raws = batch.column(batch.num_columns - 1).to_pylist()
             for i, j, ids, counts in encoded(raws, path, end):
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * 2
                 binary = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
                 kept = [c.slice(i, j - i) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(counts), binary], names=[*batch.schema.names[:-1], "n", "ids"])
+        tidy()
 
     return run
 

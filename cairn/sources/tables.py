@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.result import CairnError, TargetError
-from cairn.sources import containers, managed
+from cairn.sources import containers, managed, native
 
 #: Bytes of the largest file that is read (option ``most``).
 MOST_BYTES = 512 << 20
@@ -48,7 +48,7 @@ def check_target(path: str, most: int = MOST_BYTES) -> str:
 
 def _table(found: DataFrame, parse, schema: str) -> DataFrame:
     """Rows that ``parse(sha256, content)`` yields as tuples of ``schema``."""
-    names = [x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", schema)]
+    names = [x.strip().split(" ")[0] for x in re.split(r",(?![^<(]*[>)])", schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -222,3 +222,62 @@ def assemblies(found: DataFrame) -> DataFrame:
         yield sha, i["runtime"], i["version"], i["streams"], i["table_rows"], i["identifiers"], i["user_strings"]
 
     return _table(found, parse, "sha256 string, runtime string, version string, streams map<string,long>, table_rows map<string,long>, identifiers array<string>, user_strings array<string>")
+
+
+def code_index(found: DataFrame, include_packed: bool = False, **raw) -> DataFrame:
+    """One pass over the code: ``kind`` call, jump, import, indirect_call, indirect_jump, reference or immediate."""
+
+    def parse(sha, data):
+        for kind, site, target, text in native.code_rows(containers.load(data, **raw), data, include_packed):
+            yield sha, kind, _big(site), _big(target), text
+
+    return _table(found, parse, "sha256 string, kind string, site decimal(20,0), target decimal(20,0), detail string")
+
+
+def functions(found: DataFrame, include_packed: bool = False, **raw) -> DataFrame:
+    """Function starts with their evidence."""
+
+    def parse(sha, data):
+        for va, why in native.function_starts(containers.load(data, **raw), data, include_packed).items():
+            yield sha, _big(va), why
+
+    return _table(found, parse, "sha256 string, va decimal(20,0), evidence string")
+
+
+def fingerprints(found: DataFrame, include_packed: bool = False, **raw) -> DataFrame:
+    """One row of features per function of at least two instructions."""
+    names = ["va", "size", "insns", "signature", "mnemonic_hash", "ngrams", "strings", "imports", "constants", "calls", "indirect_calls", "returns", "branches"]
+
+    def parse(sha, data):
+        image = containers.load(data, **raw)
+        texts = {}
+        for s in image.sections:
+            for at, name, text in text_runs(data[s.fileoff : s.fileoff + s.filesize]) if not s.x else ():
+                if name == "ascii":
+                    texts[s.va + at] = text
+        slots = {i.slot: i.qualified for i in image.imports if i.slot is not None}
+        starts = sorted(native.function_starts(image, data, include_packed))
+        for va, end in zip(starts, [*starts[1:], 1 << 64]):
+            row = native.fingerprint(image, data, va, min(end, va + 65_536), texts, slots)
+            if row:
+                yield (sha, *(_big(row[n]) if n == "va" else row[n] for n in names))
+
+    return _table(
+        found,
+        parse,
+        "sha256 string, va decimal(20,0), size int, insns int, signature string, mnemonic_hash string, ngrams array<string>, strings array<string>, imports array<string>, constants array<long>, calls int, indirect_calls int, returns int, branches int",
+    )
+
+
+def disassembly(found: DataFrame, **raw) -> DataFrame:
+    """One row per instruction of the executable sections that are not packed."""
+
+    def parse(sha, data):
+        image = containers.load(data, **raw)
+        for s in native.code_sections(image, data):
+            body = data[s.fileoff : s.fileoff + s.filesize]
+            for i in native.sweep(body, s.va, image.arch, image.bits, image.endian):
+                at = i.va - s.va
+                yield sha, _big(i.va), i.size, body[at : at + i.size].hex(), i.mnemonic, _big(i.target)
+
+    return _table(found, parse, "sha256 string, va decimal(20,0), size int, bytes string, mnemonic string, target decimal(20,0)")

@@ -36,7 +36,7 @@ CLUSTER, TIMESTAMP, SIMPLE, GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC = 0xD7, 0x73C5, 0x83, 0x86
-SAMPLING, CHANNELS, BIT_DEPTH = 0xB5, 0x9F, 0x6264
+SAMPLING, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0xB5, 0x9F, 0x6264, 0x23E383
 DOC_TYPE = 0x4282
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE_POINT, CUE_POSITIONS}
 
@@ -89,7 +89,7 @@ def mux(payload: bytes, unit: int = UNIT, rate: int = RATE) -> bytes:
     ms = unit * 1000 // rate
     head = element(EBML, element(DOC_TYPE, b"matroska"))
     audio = element(SAMPLING, struct.pack(">d", rate)) + element(CHANNELS, b"\x01") + element(BIT_DEPTH, b"\x08")
-    track = element(TRACK_NUMBER, b"\x01") + element(TRACK_UID, b"\x01") + element(TRACK_TYPE, b"\x02") + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, audio)
+    track = element(TRACK_NUMBER, b"\x01") + element(TRACK_UID, b"\x01") + element(TRACK_TYPE, b"\x02") + element(DEFAULT_DURATION, number(ms * 1_000_000)) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, audio)
     n = -(-len(payload) // unit)
     info = element(TIMESTAMP_SCALE, number(1_000_000)) + element(DURATION, struct.pack(">d", n * ms)) + element(MUXING_APP, b"cairn") + element(WRITING_APP, b"cairn")
     body = [element(INFO, info), element(TRACKS, element(TRACK, track))]
@@ -205,16 +205,18 @@ def parse(data: bytes) -> Parsed:
             if ident == SIMPLE or ident == BLOCK:
                 who, here, _ = read_vint(data, body, stop, False)
                 relative, flags = struct.unpack_from(">hB", data, here)
+                # laced frames follow each other by the track's default duration, if it has one
+                step = next((t.get("duration", 0) for t in tracks if t.get("number") == who), 0)
                 for lace, (start, length) in enumerate(frames_of(data, here + 3, stop, flags)):
-                    packets.append(Packet(who, (cluster_time + relative) * scale, start, length, cluster, lace, bool(flags & 0x80) or ident == BLOCK))
+                    packets.append(Packet(who, (cluster_time + relative) * scale + lace * step, start, length, cluster, lace, bool(flags & 0x80) or ident == BLOCK))
             elif ident == TIMESTAMP:
                 cluster_time = int.from_bytes(value, "big")
             elif ident == TIMESTAMP_SCALE:
                 scale = int.from_bytes(value, "big")
             elif ident == DURATION:
                 duration = struct.unpack(">d" if len(value) == 8 else ">f", value)[0]
-            elif inside == TRACK and ident in (TRACK_NUMBER, TRACK_TYPE):
-                track["number" if ident == TRACK_NUMBER else "type"] = int.from_bytes(value, "big")
+            elif ident in (TRACK_NUMBER, TRACK_TYPE, DEFAULT_DURATION):
+                track[{TRACK_NUMBER: "number", TRACK_TYPE: "type"}.get(ident, "duration")] = int.from_bytes(value, "big")
             elif ident == CODEC:
                 track["codec"] = value.decode("ascii", "replace")
             elif ident == SAMPLING:

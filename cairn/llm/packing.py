@@ -41,7 +41,7 @@ FORCED = 48
 PER_SEQUENCE = 64
 STRIDE = 256
 #: Ids of one independently packed range.
-RANGE_IDS = 4_000_000
+RANGE_IDS = 1_500_000
 #: Local sequence numbers per range: ``range * SPAN + number``.
 SPAN = 1 << 32
 

@@ -85,7 +85,7 @@ def scorecard(requirements: DataFrame, classes: DataFrame, resolved: DataFrame)
         F.count_if(~platform & (F.coalesce(F.col("outcome") == "found", F.lit(False)) | (F.col("name").isNull() & F.col("known")))).alias("resolved"),
         F.count_if(F.col("outcome") == "unchecked").alias("unchecked"),
         F.count_if(F.col("outcome") == "missing").alias("missing_members"),
-        F.countDistinct(F.when(~platform & F.col("known").isNull(), F.col("owner"))).alias("missing_classes"),
+        F.countDistinct(F.when(~platform & ~F.startswith("owner", F.lit("[")) & F.col("known").isNull(), F.col("owner"))).alias("missing_classes"),
     )
 
 

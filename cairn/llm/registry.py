@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.llm import langid, licenses, lm, matroska, mixing, order_minhash, packing, quality, rans, simhash
+from cairn.llm import langid, licenses, lm, matroska, mixing, oracle, order_minhash, packing, quality, rans, simhash
 from cairn.llm.common import held_out_expr, raw_text
 
 QUERIES = {}
@@ -79,12 +79,12 @@ def op7(spark, sf_dir):
     return order_minhash.neighbours(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
-@query("op6_pfair_mixing")
+@query("op6_pfair_mixing", oracle.mixing_sql())
 def op6(spark, sf_dir):
     return mixing.places(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
-@query("op5_license_scan")
+@query("op5_license_scan", oracle.license_sql())
 def op5(spark, sf_dir):
     return licenses.digest(licenses.scan(documents(spark, sf_dir)))
 

@@ -29,8 +29,14 @@ def parts_of(batches, at_once: int = 512):
             yield batch.slice(at, at_once)
 
 
-def tidy() -> None:
-    """Give memory that a batch has left free back to the system, where that is possible."""
+#: What empties the memory that operators keep in a worker between tasks.
+CACHES = []
+
+
+def tidy(caches: bool = True) -> None:
+    """Give memory that a batch has left free back to the system, and what other operators have kept in this worker."""
+    for clear in CACHES if caches else ():
+        clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

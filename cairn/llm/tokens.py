@@ -3,7 +3,7 @@
 The tokenizer drops white space, never joins across it, and splits between
 letters, digits and other characters (an apostrophe may join the letter after
 it).  A text's ids are thus those of its units one after another.  Every worker
-keeps the ids of the units it has met (up to ``REMEMBERED``), encodes new ones
+keeps the ids of the units it has met (beyond ``REMEMBERED`` the rare ones go), encodes new ones
 with the tokenizers library, and gathers the ids of whole blocks of text with
 numpy.  In texts of ASCII and Latin letters a unit is a run of one character
 class; in any other text it is a whole run between ASCII white space.
@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import parts_of, raw_text, tidy
+from cairn.llm.common import CACHES, parts_of, raw_text, tidy
 from cairn.llm.hashing import HashTable, run_hashes
 
 END = 2
-#: Units a worker remembers before it starts anew, bytes of text taken at once, longest hashed unit.
-REMEMBERED = 500_000
+#: Units a worker remembers before it lets rare ones go, bytes of text taken at once, longest hashed unit.
+REMEMBERED = 1_000_000
 AT_ONCE = 1 << 20
 LONGEST = 96
 #: Bytes beyond ASCII text and Latin letters (U+00C0 to U+017F without signs and U+0130), and special tokens.
@@ -80,7 +80,40 @@ class UnitIds:
     def clear(self):
         self.table, self.long = HashTable(), {}
         self.flat, self.used = np.zeros(1 << 18, np.uint16), 0
-        self.starts, self.lens, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.starts, self.lens, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
+        self.hits, self._numbers = np.zeros(1 << 16, np.int32), np.array([-1], np.int32)
+
+    def forget(self):
+        """Keep the units that have come up again, as many as fill half of the room, and their halved hits."""
+        t = self.table
+        slot = np.nonzero(t.value >= 0)[0]
+        unit = self._numbers[t.value[slot]]
+        often = np.argsort(-self.hits[unit], kind="stable")[: REMEMBERED // 2]
+        often = often[self.hits[unit[often]] > 1]
+        slot, unit = slot[often], unit[often]
+        key, check, hits = t.key[slot], t.check[slot], self.hits[unit] // 2
+        lens = self.lens[unit].astype(np.int64)
+        ends = np.cumsum(lens)
+        flat = self.flat[np.repeat(self.starts[unit] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
+        self.clear()
+        self._keep(flat, lens)
+        self.hits[: self.n] = hits
+        self.table.add(key, check)
+        self._numbers = np.append(np.arange(self.n), -1).astype(np.int32)
+
+    def _keep(self, flat: np.ndarray, lens: np.ndarray) -> None:
+        """Append units by their ids."""
+        n = len(lens)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + n > len(self.lens):
+            for name in ("lens", "starts", "hits"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.lens[self.n : self.n + n] = lens
+        self.starts[self.n : self.n + n] = self.used + np.cumsum(lens) - lens
+        self.used += len(flat)
+        self.n += n
 
     def _encode(self, words: list[str]) -> list[np.ndarray]:
         if self.mark is not None and not any(_BREAK in w for w in words):
@@ -104,28 +137,18 @@ class UnitIds:
             lens = np.diff(edge) - 1
             keep = np.ones(len(ids), bool)
             keep[edge[1:-1]] = False
-            flat, n = ids[keep], len(lens)
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while self.n + n > len(self.lens):
-                self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.lens[self.n : self.n + n] = lens
-            self.starts[self.n : self.n + n] = self.used + np.cumsum(lens) - lens
-            self.used += len(flat)
-            self.n += n
+            self._keep(ids[keep], lens)
 
     def encode(self, raw: bytes, split: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a block, and for each unit its start in the block and where its ids end."""
         if self.n > REMEMBERED:
-            self.clear()
+            self.forget()
         x = np.frombuffer(raw, np.uint8)
         starts, ends = units(x, split)
         if not len(starts):
             return np.empty(0, np.uint16), starts, starts
         key, check = run_hashes(x, starts, ends)
-        at = self._numbers[self.table.find(key, check)] if self.table.n else np.full(len(starts), -1)
+        at = self._numbers[self.table.find(key, check)]
         size = ends - starts
         far = np.nonzero(size > LONGEST)[0]
         at[far] = -1
@@ -137,7 +160,7 @@ class UnitIds:
             numbers = np.arange(self.n, self.n + len(words))
             self.learn(words)
             self.table.add(key[first], check[first])
-            self._numbers = np.concatenate([self._numbers[:-1] if self.table.n > len(words) else np.empty(0, np.int64), numbers, [-1]])
+            self._numbers = np.concatenate([self._numbers[:-1], numbers, [-1]]).astype(np.int32)
             at[fresh] = self._numbers[self.table.find(key[fresh], check[fresh])]
         for i in far:
             word = raw[starts[i] : ends[i]]
@@ -145,6 +168,7 @@ class UnitIds:
                 self.long[word] = self.n
                 self.learn([word])
             at[i] = self.long[word]
+        self.hits[: self.n] += np.bincount(at, minlength=self.n).astype(np.int32)
         lens = self.lens[at].astype(np.int64)
         done = np.cumsum(lens)
         ids = self.flat[np.repeat(self.starts[at] - (done - lens), lens) + np.arange(done[-1])]
@@ -156,6 +180,9 @@ def unit_ids(path: str, end: int = END) -> UnitIds:
     return UnitIds(path, end)
 
 
+CACHES.append(unit_ids.cache_clear)
+
+
 def pieces(raw: bytes, size: int = AT_ONCE):
     """A text in parts of about ``size`` bytes, cut at white space."""
     at = 0
@@ -206,7 +233,7 @@ def _run(path, end):
                 binary = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
                 kept = [c.slice(i, j - i) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(counts), binary], names=[*batch.schema.names[:-1], "n", "ids"])
-        tidy()
+        tidy(caches=False)
 
     return run
 

@@ -281,3 +281,14 @@ def disassembly(found: DataFrame, **raw) -> DataFrame:
                 yield sha, _big(i.va), i.size, body[at : at + i.size].hex(), i.mnemonic, _big(i.target)
 
     return _table(found, parse, "sha256 string, va decimal(20,0), size int, bytes string, mnemonic string, target decimal(20,0)")
+
+
+def algorithm_hits(found: DataFrame, **raw) -> DataFrame:
+    """Marker hits of known algorithms, one row each; feed them to ``operators.catalog``."""
+    from cairn.sources import algorithms
+
+    def parse(sha, data):
+        for h in algorithms.scan(containers.load(data, **raw), data):
+            yield sha, h["name"], h["label"], h["kind"], _big(h["place"]), h["is_discriminator"]
+
+    return _table(found, parse, "sha256 string, name string, label string, kind string, place decimal(20,0), is_discriminator boolean")

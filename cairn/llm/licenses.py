@@ -2,13 +2,14 @@
 
 A text becomes words (runs of letters, digits and non-ASCII characters, A-Z
 lower-cased).  Rules are regular expressions over single-space word strings,
-with a keyword, a priority and a weight.  A family's keyword must occur in the
-text before any of its expressions is tried.  Each match is an interval of
+with a keyword, a priority and a weight.  A text must have one of the words
+that all rules need, and a family's keyword, before any expression of the
+family is tried.  Each match is an interval of
 words; an interval that lies inside one of a stronger rule (higher priority, or
 equal priority and longer) is suppressed.  Base phrases are never suppressed.
 
 Everything happens inside a row: no shuffle, no explode, and a text without
-any keyword costs only the keyword look-ups.
+any of those words costs one pass.
 
 Defined cases: a null text counts as empty: no words, no places, empty label
 strings, null first and last word, score 0.  Ties in one place keep both labels
@@ -100,6 +101,8 @@ OWN = [
     (1, 0.3, "unknown-license", "license", "(see|read) (the )?(accompanying )?license( file)?( for details)?"),
 ]
 BASE_PRIORITY = 9
+#: Words of which every rule's expression has one: a text without any is looked at no further.
+GATE = " (licen[cs]e|spdx |under |subject to |governed by |pursuant to |public domain|all rights reserved|confidential |cc by )"
 
 
 class Rule(NamedTuple):
@@ -177,7 +180,8 @@ def spans(words: Column, table: list[Rule] | None = None) -> Column:
         ]
     )
     hit = F.flatten(F.transform(F.filter(literal, lambda f: F.contains(words, f["keyword"])), lambda f: f["rules"]))
-    return F.array_sort(F.flatten(F.transform(hit, lambda r: _places(words, r))))
+    found = F.array_sort(F.flatten(F.transform(hit, lambda r: _places(words, r))))
+    return F.when(words.rlike(GATE), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: list[Rule] | None = None) -> DataFrame:

@@ -167,11 +167,16 @@ def fit(docs: DataFrame, train, text_col="text", lang_col="lang", id_col="doc_id
     chosen = pool.where(F.col(text_col).isNotNull() & F.col(lang_col).isin(langs) & (drawn < share)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sample = chosen.mapInArrow(_sample_features, "lang string, gram array<int>, count array<int>").toArrow()
     rows, labels = [], []
-    for lang, gram, count in sorted(zip(*(sample.column(i).to_pylist() for i in range(3))), key=lambda r: (r[0], len(r[1]), r[1])):
-        gram, count = np.array(gram), np.array(count, float)
-        rows.append((gram, count / count.sum()))
+    gram, count = (sample.column(c).combine_chunks() for c in ("gram", "count"))
+    cuts, gram, count = gram.offsets.to_numpy(), gram.values.to_numpy(), count.values.to_numpy()
+    pieces = sorted(zip(sample.column("lang").to_pylist(), cuts, cuts[1:]), key=lambda r: (r[0], r[2] - r[1], gram[r[1] : r[2]].tobytes()))
+    for lang, a, b in pieces:
+        rows.append((gram[a:b], (count[a:b] / count[a:b].sum()).astype(np.float32)))
         labels.append(lang)
-    return Model(langs if rows else [], rows, labels) if set(labels) >= set(langs) else Model(set(labels), rows, labels)
+    model = Model(set(labels), rows, labels)
+    del sample, rows, gram, count
+    tidy()
+    return model
 
 
 def predictor(spark, model: Model):

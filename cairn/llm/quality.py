@@ -97,6 +97,7 @@ class Machine:
         for _ in range(epochs):
             for i in rng.permutation(len(rows)):
                 at, x = rows[i]
+                x = x.astype(np.float64)
                 v = self.pairs[at]
                 s = x @ v
                 z = self.bias + x @ self.linear[at] + 0.5 * (s @ s - (x * x) @ (v * v).sum(axis=1))
@@ -141,9 +142,12 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="te
     at, x = (got.column(c).combine_chunks() for c in ("at", "x"))
     cuts = at.offsets.to_numpy()
     at, x, y = at.values.to_numpy(), x.values.to_numpy(), got.column("label").to_numpy()
-    rows = [(at[a:b], x[a:b].astype(np.float64)) for a, b in zip(cuts, cuts[1:])]
+    rows = [(at[a:b], x[a:b]) for a, b in zip(cuts, cuts[1:])]
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i][0]), rows[i][0].tobytes()))
-    return Machine(len(metadata)).fit([rows[i] for i in order], [int(y[i] > 0) for i in order])
+    machine = Machine(len(metadata)).fit([rows[i] for i in order], [int(y[i] > 0) for i in order])
+    del got, at, x, rows
+    tidy()
+    return machine
 
 
 def scorer(spark, machine: Machine | None):

@@ -18,7 +18,7 @@ from cairn.llm import langid, mixing, packing, quality, simhash
 from cairn.llm.common import held_out_expr, raw_text, shared_path
 
 #: A language must be told with more than this score, and a text be of quality with at least that.
-LANGUAGE_SCORE, QUALITY_SCORE = 0.55, 0.3
+LANGUAGE_SCORE, QUALITY_SCORE = 0.505, 0.3
 
 
 def language(spark, docs, sf_dir):

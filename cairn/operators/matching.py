@@ -14,9 +14,10 @@ CANDIDATES = 64
 
 
 def candidates(a: DataFrame, b: DataFrame, key: str = "key", weights: dict[str, int] = CANDIDATE_WEIGHTS, keep: int = CANDIDATES) -> DataFrame:
-    """``a, b, weight``: for each row of ``a`` the ``keep`` rows of ``b`` that share most features, ties by key.
+    """``a, b, weight`` and ``shared_<kind>``: for each row of ``a`` the ``keep`` rows of ``b`` that share most features, ties by key.
 
-    Features of all kinds go through one join; within a side each is distinct.
+    Features of all kinds go through one join; within a side each is distinct,
+    so the rows of a pair count what its sets have in common.
     """
     def exploded(df, name):
         parts = None
@@ -28,27 +29,44 @@ def candidates(a: DataFrame, b: DataFrame, key: str = "key", weights: dict[str,
         return parts
 
     pairs = exploded(a, "a").join(exploded(b, "b").drop("w"), ["kind", "feature"])
-    weighed = pairs.groupBy("a", "b").agg(F.sum("w").alias("weight"))
+    shared = [F.count_if(F.col("kind") == k).alias(f"shared_{k}") for k in weights if k in a.columns and k in b.columns]
+    weighed = pairs.groupBy("a", "b").agg(F.sum("w").alias("weight"), *shared)
     return top_per_group(weighed, ["a"], [F.desc("weight"), F.col("b")], keep).drop("rank")
 
 
-def _parts(a: DataFrame, b: DataFrame) -> dict:
-    """Components of the pair columns ``x`` (struct of ``a``'s row) and ``y``."""
-    both = [c for c in similarity.CONTENT if c in a.columns and c in b.columns]
-    parts = {c: similarity.jaccard(F.col("x")[c], F.col("y")[c]) for c in both}
-    if "signature" in a.columns:
-        parts["signature"] = F.when(F.col("x")["signature"] == F.col("y")["signature"], 1.0).otherwise(0.0)
-    counters = [c for c in ("size", "calls", "branches", "returns") if c in a.columns]
-    if counters:
-        parts["shape"] = similarity.shape([(F.col("x")[c], F.col("y")[c]) for c in counters])
-    return parts
+def _sides(pairs: DataFrame, a: DataFrame, b: DataFrame, key: str, columns) -> DataFrame:
+    """``pairs`` with what ``columns`` makes of either side as structs ``x`` and ``y``."""
+    sides = pairs.join(a.select(F.col(key).alias("a"), F.struct(*columns(a)).alias("x")), "a")
+    return sides.join(b.select(F.col(key).alias("b"), F.struct(*columns(b)).alias("y")), "b")
 
 
 def compare(pairs: DataFrame, a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
-    """``pairs`` (``a, b``) with every component, the ``score``, ``agreeing`` and ``abstained``."""
-    sides = pairs.join(a.select(F.col(key).alias("a"), F.struct(*[c for c in a.columns if c != key]).alias("x")), "a")
-    sides = sides.join(b.select(F.col(key).alias("b"), F.struct(*[c for c in b.columns if c != key]).alias("y")), "b")
-    parts = _parts(a, b)
+    """``pairs`` (``a, b``) with every component, the ``score``, ``agreeing`` and ``abstained``.
+
+    Where the pairs come with ``shared_<kind>`` counts, only the sizes of the
+    sets travel; else the sets themselves are compared.
+    """
+    both = [c for c in similarity.CONTENT if c in a.columns and c in b.columns]
+    counted = [c for c in both if f"shared_{c}" in pairs.columns]
+    counters = [c for c in ("size", "calls", "branches", "returns") if c in a.columns]
+    plain = [*counters, *(["signature"] if "signature" in a.columns else [])]
+
+    def columns(side):
+        sizes = [F.size(F.array_distinct(c)).alias(f"n_{c}") for c in counted]
+        return [*sizes, *[F.col(c) for c in both if c not in counted], *[F.col(c) for c in plain], F.lit(0).alias("_")]
+
+    x, y, parts = F.col("x"), F.col("y"), {}
+    for c in both:
+        if c in counted:
+            shared = F.col(f"shared_{c}")
+            parts[c] = shared / F.nullif(x[f"n_{c}"] + y[f"n_{c}"] - shared, F.lit(0))
+        else:
+            parts[c] = similarity.jaccard(x[c], y[c])
+    if "signature" in plain:
+        parts["signature"] = F.when(x["signature"] == y["signature"], 1.0).otherwise(0.0)
+    if counters:
+        parts["shape"] = similarity.shape([(x[c], y[c]) for c in counters])
+    sides = _sides(pairs, a, b, key, columns)
     named = sides.select("a", "b", *[c.cast("double").alias(f"c_{n}") for n, c in parts.items()])
     made = {n: F.col(f"c_{n}") for n in parts}
     return named.select(
@@ -61,7 +79,7 @@ def match(a: DataFrame, b: DataFrame, key: str = "key", min_score: float = 0.55,
 
     ``most`` is a limit over all matches (none by default: nothing is dropped).
     """
-    scored = compare(candidates(a, b, key).select("a", "b"), a, b, key)
+    scored = compare(candidates(a, b, key).drop("weight"), a, b, key)
     good = scored.where((F.col("score") >= min_score) & (F.col("agreeing") >= min_agreeing))
     ranked = top_per_group(good, ["a"], [F.desc("score"), F.desc("agreeing"), F.col("b")], top)
     return ranked if most is None else ranked.orderBy(F.desc("score"), F.desc("agreeing"), "a", "b").limit(most)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latin1(content: Column) -> Column:
@@ -50,20 +53,20 @@ def distinct_sorted(items: Column) -> Column:
 def character_entropy(df: DataFrame, key: str, text: str, out: str = "entropy", digits: int = 6) -> DataFrame:
     """Bits per character of every text; null for an empty or null one.
 
-    Characters are counted inside the row, without a shuffle: the sorted
-    characters of a text form runs, and a fold adds up ``c log2 c``.
+    Counting inside a row takes an Arrow function: built-in expressions would
+    either fold over single characters or shuffle them.
     """
-    chars = F.filter(F.split(F.col(text), ""), lambda c: c != "")
-    n = F.size("__chars")
 
-    def step(acc, c):
-        same = acc["last"] == c
-        done = F.when(same, acc["sum"]).otherwise(acc["sum"] + F.when(acc["run"] > 1, acc["run"] * F.log2(acc["run"])).otherwise(0.0))
-        return F.struct(done.alias("sum"), F.when(same, acc["run"] + 1.0).otherwise(1.0).alias("run"), c.alias("last"))
+    @F.arrow_udf(T.DoubleType())
+    def bits(texts: pa.Array) -> pa.Array:
+        found = []
+        for t in texts:
+            points = np.frombuffer((t.as_py() or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+            p = np.unique(points, return_counts=True)[1] / max(1, len(points))
+            found.append(float(-(p * np.log2(p)).sum()) + 0.0 if len(points) else None)
+        return pa.array(found, pa.float64())
 
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("run"), F.lit("").alias("last"))
-    total = F.aggregate("__chars", zero, step, lambda acc: acc["sum"] + F.when(acc["run"] > 1, acc["run"] * F.log2(acc["run"])).otherwise(0.0))
-    return df.select(key, F.array_sort(chars).alias("__chars")).select(key, F.when(n > 0, F.round(F.log2(n.cast("double")) - total / n, digits)).alias(out))
+    return df.select(key, F.round(bits(F.col(text)), digits).alias(out))
 
 
 def valid_pattern(pattern: str) -> bool:

@@ -19,6 +19,8 @@ from cairn.sources import containers, managed, native
 
 #: Bytes of the largest file that is read (option ``most``).
 MOST_BYTES = 512 << 20
+#: Rows that are handed over together.
+AT_ONCE = 5000
 
 
 def files(spark: SparkSession, path: str, pattern: str | None = None, most: int = MOST_BYTES, recursive: bool = False) -> DataFrame:
@@ -52,13 +54,17 @@ def _table(found: DataFrame, parse, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            rows = []
             for sha, content in zip(pdf["sha256"], pdf["content"]):
                 try:
-                    rows = list(parse(sha, bytes(content)))
+                    rows += parse(sha, bytes(content))
                 except CairnError:
                     continue
-                if rows:
+                if len(rows) >= AT_ONCE:
                     yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return found.select("sha256", "content").mapInPandas(run, schema)
 

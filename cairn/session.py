@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Tables the driver writes under every ``sf_dir``.
@@ -13,6 +15,8 @@ TABLES = (
 
 def local_session(app: str = "cairn", cores: str = "*", **conf: str) -> SparkSession:
     """A session for tests and single-machine runs; a cluster brings its own."""
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # workers inherit it; the cores are Spark's
+        os.environ.setdefault(name, "1")
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     defaults = {
         "spark.sql.shuffle.partitions": "8",

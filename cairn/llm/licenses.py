@@ -2,9 +2,9 @@
 
 A text becomes words (runs of letters, digits and non-ASCII characters, A-Z
 lower-cased).  Rules are regular expressions over single-space word strings,
-with a keyword, a priority and a weight.  A text must have one of the words
-that all rules need, and a family's keyword, before any expression of the
-family is tried.  Each match is an interval of
+with keywords, a priority and a weight.  A text must have one of the words
+that all rules need, and one of a family's keywords, before any expression of the
+family is tried; every match of a rule has one of its keywords.  Each match is an interval of
 words; an interval that lies inside one of a stronger rule (higher priority, or
 equal priority and longer) is suppressed.  Base phrases are never suppressed.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Label, keyword, SPDX-style identifier, names of the license (word expressions).
+#: Label, keywords of the names (``|`` between alternatives), SPDX-style identifier, names of the license (word expressions).
 NAMES = [
     ("mit", "mit", "mit", "mit( x11)?"),
     ("mit-0", "mit", "mit 0", "mit (0|no attribution)"),
@@ -56,10 +56,10 @@ NAMES = [
     ("zlib", "zlib", "zlib", "zlib( libpng)?"),
     ("boost-1", "boost", "bsl 1( 0)?", "boost software license"),
     ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl", "(wtfpl|do what the fuck you want to public license)"),
+    ("wtfpl", "wtfpl|do what the fuck", "wtfpl", "(wtfpl|do what the fuck you want to public license)"),
     ("artistic-2", "artistic", "artistic 2( 0)?", "artistic license 2( 0)?"),
     ("ofl-1", "open font", "ofl 1( 1)?", "sil open font license( version)?( 1 1)?"),
-    ("eupl-1", "eupl", "eupl 1( [12])?", "(eupl|european union public licen[cs]e)"),
+    ("eupl-1", "eupl|european union public", "eupl 1( [12])?", "(eupl|european union public licen[cs]e)"),
     ("psf-2", "python software", "psf 2( 0)?", "python software foundation license"),
     ("postgresql", "postgresql", "postgresql", "postgresql license"),
     ("openssl", "openssl", "openssl", "openssl license"),
@@ -101,6 +101,8 @@ OWN = [
     (1, 0.3, "unknown-license", "license", "(see|read) (the )?(accompanying )?license( file)?( for details)?"),
 ]
 BASE_PRIORITY = 9
+#: Keyword of the rules for SPDX-style identifiers, which do not have the words of the names.
+SPDX = "spdx license identifier"
 #: Words of which every rule's expression has one: a text without any is looked at no further.
 GATE = " (licen[cs]e|spdx |under |subject to |governed by |pursuant to |public domain|all rights reserved|confidential |cc by )"
 
@@ -117,7 +119,7 @@ def rules() -> list[Rule]:
     """Base phrases, every name in every form, and the rules of their own, strongest first."""
     out = [Rule(BASE_PRIORITY, 1.0, label, max(phrase.split(), key=len), phrase) for phrase, label in BASE.items()]
     for label, keyword, ident, name in NAMES:
-        out += [Rule(p, w, label, keyword, form.format(n=f"({name})", i=f"({ident})")) for p, w, form in FORMS]
+        out += [Rule(p, w, label, SPDX if form.startswith(SPDX) else keyword, form.format(n=f"({name})", i=f"({ident})")) for p, w, form in FORMS]
     out += [Rule(*r) for r in OWN]
     return sorted(out, key=lambda r: -r.priority)
 
@@ -168,18 +170,18 @@ def _kept(spans: Column) -> Column:
 
 
 def spans(words: Column, table: list[Rule] | None = None) -> Column:
-    """All matches of the rules whose keyword occurs, sorted; no match gives an empty array."""
+    """All matches of the rules of which a keyword occurs, sorted; no match gives an empty array."""
     table = table or rules()
     families = {}
     for r in table:
         families.setdefault(r.keyword, []).append(r)
     literal = F.array(
         *[
-            F.struct(F.lit(f" {k}").alias("keyword"), F.array(*[F.struct(F.lit(r.expression).alias("expression"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight")) for r in found]).alias("rules"))
+            F.struct(F.array(*[F.lit(f" {x}") for x in k.split("|")]).alias("keywords"), F.array(*[F.struct(F.lit(r.expression).alias("expression"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight")) for r in found]).alias("rules"))
             for k, found in families.items()
         ]
     )
-    hit = F.flatten(F.transform(F.filter(literal, lambda f: F.contains(words, f["keyword"])), lambda f: f["rules"]))
+    hit = F.flatten(F.transform(F.filter(literal, lambda f: F.exists(f["keywords"], lambda k: F.contains(words, k))), lambda f: f["rules"]))
     found = F.array_sort(F.flatten(F.transform(hit, lambda r: _places(words, r))))
     return F.when(words.rlike(GATE), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 

@@ -87,3 +87,42 @@ def test_every_rule_passes_the_gate():
         if re.search(rf"(?<= )({r.expression})(?= )", text):  # the shortening is only a guess
             assert re.search(licenses.GATE, text), r
     assert sum(bool(re.search(rf"(?<= )({r.expression})(?= )", f" {shortest(r.expression)} ")) for r in licenses.rules()) > 150
+
+
+def test_every_match_has_a_keyword_of_its_rule():
+    from re import _parser
+
+    def texts(items, optional):
+        out = [""]
+        for op, arg in items:
+            if op is _parser.LITERAL:
+                found = [chr(arg)]
+            elif op is _parser.IN:
+                found = [chr(arg[0][1] if arg[0][0] is _parser.LITERAL else arg[0][1][0])]
+            elif op is _parser.SUBPATTERN:
+                found = texts(arg[3], optional)
+            elif op is _parser.BRANCH:
+                found = [t for branch in arg[1] for t in texts(branch, optional)]
+            else:
+                assert op is _parser.MAX_REPEAT, op
+                found = texts(arg[2], optional) if arg[0] or optional else [""]
+            out = [a + b for a in out for b in found]
+        return out
+
+    for r in licenses.rules():
+        for optional in (False, True):
+            for text in texts(_parser.parse(r.expression), optional):
+                assert re.fullmatch(r.expression, text), (r, text)
+                assert any(f" {k}" in f" {text} " for k in r.keyword.split("|")), (r, text)
+                assert re.search(licenses.GATE, f" {text} "), (r, text)
+
+
+def test_identifiers_and_long_names_alone(spark):
+    got = labels(
+        spark,
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: MPL-2.0",
+        "Licensed under the European Union Public Licence",
+        "under the do what the fuck you want to public license",
+    )
+    assert got == ["gpl-2", "mpl-2", "eupl-1", "wtfpl"]

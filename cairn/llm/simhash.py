@@ -256,23 +256,32 @@ def components(edges: DataFrame, label: str = "simhash-labels") -> DataFrame:
         at = new.select("v", "label")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp, component`` for every row; ``component`` is the smallest id reachable."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``id, fp`` of every row, and ``fp, first, label`` (smallest id, smallest fingerprint reachable) of every fingerprint."""
     fps = cut(fingerprints(docs, id_col, text_col), "simhash-fp")
     distinct = fps.groupBy("fp").agg(F.min("id").alias("first"))
     labels = components(links(distinct.select("fp")))
-    named = distinct.join(labels, distinct.fp == labels.v, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    return fps, distinct.join(labels, distinct.fp == labels.v, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, fp, component`` for every row; ``component`` is the smallest id reachable."""
+    fps, named = _labelled(docs, id_col, text_col)
     lowest = named.groupBy("label").agg(F.min("first").alias("component"))
     groups = cut(named.join(lowest, "label").select("fp", "component"), "simhash-groups")
     return fps.join(groups, "fp").select("id", "fp", "component")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component: the smallest id (and of its rows the smallest fingerprint)."""
-    found = near_duplicates(docs, id_col, text_col)
-    found = cut(found.groupBy("id", "fp", "component").agg(F.count(F.lit(1)).alias("n")), "simhash-members")
-    kept = found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("id").agg(F.min("fp").alias("fp"))
-    kept = kept.select(F.col("id").alias("__id"), F.col("fp").alias("__kept"))
+    """One row of ``docs`` for each component: the smallest id (and of its rows the smallest fingerprint).
+
+    Components are told apart by their labels, as ids may be null or repeated.
+    """
+    fps, named = _labelled(docs, id_col, text_col)
+    groups = cut(named.select("fp", "label"), "simhash-groups")
+    found = cut(fps.join(groups, "fp").groupBy("id", "fp", "label").agg(F.count(F.lit(1)).alias("n")), "simhash-members")
+    kept = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "fp")).alias("least"))
+    kept = kept.select(F.col("least.id").alias("__id"), F.col("least.fp").alias("__kept"))
     # the fingerprint is worked out anew rather than stored with a copy of the texts
     rows = docs.withColumn("__fp", _fingerprint(raw_text(text_col)))
     rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")))

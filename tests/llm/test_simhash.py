@@ -90,3 +90,11 @@ def test_representatives_keep_one_row_per_group(docs, empty):
     assert len(rows) == simhash.near_duplicates(docs).select("component").distinct().count()
     assert sum(r.doc_id == 8 for r in rows) == 1
     assert simhash.near_duplicates(empty).count() == 0 and simhash.representatives(empty).count() == 0
+
+
+def test_representatives_of_null_and_repeated_ids(spark):
+    texts = ["red apples grow on old trees in autumn", "my train was late again this monday morning", "numbers and figures fill the quarterly report", "a fox sleeps under the wooden bridge"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (9, texts[2])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.representatives(table).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("7", texts[3])])

@@ -8,8 +8,8 @@ smoothed log ratio between the two sides times a factor learned by hinge-loss
 descent; a score is a sum of table look-ups over the text divided by the
 number of grams, so time is linear and memory constant.
 
-Fitting uses a bounded sample: about ``PER_LANG`` documents of each of the
-``MAX_LANGS`` most frequent languages (a share of each, drawn by the hash of the
+Fitting uses a bounded sample: about ``PER_LANG`` documents of each
+labelled language (a share of each, drawn by the hash of the
 id) together with short pieces of them.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0;
@@ -33,7 +33,6 @@ from cairn.llm.common import tidy, values
 
 BITS = 16
 PER_LANG = 400
-MAX_LANGS = 64
 UNDETERMINED = "und"
 #: Families of common ISO 639-1 codes; any other code is its own family.
 FAMILIES = {
@@ -154,10 +153,10 @@ class Model:
 
 
 def fit(docs: DataFrame, train, text_col="text", lang_col="lang", id_col="doc_id", per_lang=PER_LANG) -> Model:
-    """Learn from the rows where ``train`` holds; the sample is bounded by ``per_lang`` and ``MAX_LANGS``."""
+    """Learn from the rows where ``train`` holds; every language with rows is learned, from about ``per_lang`` of them."""
     pool = docs.where(train & F.col(lang_col).isNotNull())
     found = pool.where(F.col(text_col).isNotNull()).groupBy(lang_col).agg(F.count(F.lit(1)).alias("n"))
-    counts = {r[0]: r[1] for r in found.orderBy(F.desc("n"), lang_col).limit(MAX_LANGS).collect()}
+    counts = {r[0]: r[1] for r in found.orderBy(F.desc("n"), lang_col).collect()}
     langs = list(counts)
     if not langs:
         return Model([])

@@ -78,3 +78,10 @@ def test_more_than_two_families():
     model = langid.Model(set(labels), rows, labels)
     assert len(model.family_machines) == 4
     assert [model.predict(t)[0] for t in ("abba cad dab", "effe hegg", "jikl lij", "mono ponm")] == ["en", "fr", "ru", "xx"]
+
+
+def test_every_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"x{i:02d}", f"{letters[i % 26] * 3}{letters[i // 26] * 2} " * 5) for i in range(66)]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert langid.fit(table, F.lit(True)).langs == [f"x{i:02d}" for i in range(66)]

@@ -4,8 +4,8 @@ The rows of a source are cut into blocks in ascending id order.  A source of
 weight ``w = k / H`` releases its block ``b`` (from 0) at slot ``floor(b/w)``
 and must have it placed by slot ``ceil((b+1)/w)``.  Earliest deadline first
 over the ``H`` slots of one period places every block inside its window, so
-after any number of slots a source is less than one block away from its
-target.  The period repeats: block ``b`` takes slot ``H * (b div k)`` plus the
+after any number of slots a source is less than one block away from its share
+``k``; the rounding of weights to shares comes on top.  The period repeats: block ``b`` takes slot ``H * (b div k)`` plus the
 slot of block ``b mod k``.
 
 Only the schedule of one period (``H`` slots, a parameter) is worked out on the

@@ -35,26 +35,20 @@ def license_sql() -> str:
 
 
 def mixing_sql() -> str:
-    """The mixing schedule: shares by largest remainder, one period by earliest deadline first as a recursion."""
+    """The mixing schedule: earliest deadline first over all slots as one recursion (tables of one period)."""
     return f"""
-    WITH RECURSIVE top AS (
-        SELECT source, count(*) AS rows, row_number() OVER (ORDER BY count(*) DESC, source NULLS FIRST) - 1 AS rank FROM documents GROUP BY source),
-    n AS (SELECT count(*) AS k, greatest({mixing.PERIOD}, 4 * count(*)) AS period, sum(rows ** {mixing.POWER}) AS total FROM top),
-    exact AS (SELECT rank, (period - k) * rows ** {mixing.POWER} / total AS x, k, period FROM top, n),
-    free AS (SELECT period - sum(1 + floor(x)) AS rest FROM exact GROUP BY period),
-    share AS (SELECT rank, CAST(1 + floor(x) + CASE WHEN row_number() OVER (ORDER BY floor(x) - x, rank) <= rest THEN 1 ELSE 0 END AS BIGINT) AS share, period FROM exact, free),
-    sh AS (SELECT list(share ORDER BY rank) AS s, any_value(period) AS period FROM share),
+    WITH RECURSIVE keyed AS (SELECT doc_id, source, count(*) AS n FROM documents GROUP BY doc_id, source),
+    per AS (SELECT source, sum(n) AS rows, (count(*) + {mixing.BLOCK_ROWS - 1}) // {mixing.BLOCK_ROWS} AS m FROM keyed GROUP BY source),
+    top AS (SELECT source, m, CAST(floor(sqrt(rows) * {mixing.SCALE}) AS BIGINT) AS w, row_number() OVER (ORDER BY rows DESC, source NULLS FIRST) - 1 AS rank FROM per),
+    t AS (SELECT list(w ORDER BY rank) AS w, list(m ORDER BY rank) AS m, CAST(sum(w) AS BIGINT) AS total, any_value(last) AS last
+          FROM (SELECT *, max((m * total + w - 1) // w) OVER () AS last FROM (SELECT *, CAST(sum(w) OVER () AS BIGINT) AS total FROM top))),
     sched AS (
-        SELECT CAST(-1 AS BIGINT) AS slot, list_transform(s, lambda x: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS step FROM sh
+        SELECT CAST(-1 AS BIGINT) AS slot, list_transform(w, lambda x: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS block FROM t
         UNION ALL
         SELECT slot + 1, list_transform(range(0, len(done)), lambda i: done[i + 1] + CASE WHEN i = p THEN 1 ELSE 0 END), p, done[p + 1]
-        FROM (SELECT slot, done, list_min(list_transform(range(0, len(done)), lambda i: CASE WHEN done[i + 1] < s[i + 1] AND done[i + 1] * period // s[i + 1] <= slot + 1
-              THEN (((done[i + 1] + 1) * period + s[i + 1] - 1) // s[i + 1]) * 100000 + i END)) % 100000 AS p FROM sched, sh WHERE slot + 1 < period)),
-    keyed AS (SELECT doc_id, source, count(*) AS n FROM documents GROUP BY doc_id, source),
-    numbered AS (SELECT doc_id, source, n, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS pos FROM keyed),
-    placed AS (SELECT r.*, t.rank, share, period, pos // {mixing.BLOCK_ROWS} AS block, pos % {mixing.BLOCK_ROWS} AS place
-               FROM numbered r JOIN top t ON r.source IS NOT DISTINCT FROM t.source JOIN share USING (rank))
-    SELECT doc_id, p.source AS source, n, block, block * period // share AS release, ((block + 1) * period + share - 1) // share AS deadline,
-           period * (block // share) + slot AS slot, place
-    FROM placed p JOIN sched c ON c.rank = p.rank AND c.step = p.block % p.share
+        FROM (SELECT slot, done, list_min(list_transform(range(0, len(done)), lambda i: CASE WHEN done[i + 1] < m[i + 1] AND done[i + 1] * total // w[i + 1] <= slot + 1
+              THEN (((done[i + 1] + 1) * total + w[i + 1] - 1) // w[i + 1]) * 100000 + i END)) % 100000 AS p FROM sched, t WHERE slot + 1 < last)),
+    numbered AS (SELECT doc_id, source, n, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS pos FROM keyed)
+    SELECT r.doc_id AS doc_id, r.source AS source, n, c.block AS block, c.block * total // top.w AS release, ((c.block + 1) * total + top.w - 1) // top.w AS deadline, slot, pos % {mixing.BLOCK_ROWS} AS place
+    FROM numbered r JOIN top ON r.source IS NOT DISTINCT FROM top.source JOIN sched c ON c.rank = top.rank AND c.block = r.pos // {mixing.BLOCK_ROWS}, (SELECT total FROM t)
     """

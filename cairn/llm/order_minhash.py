@@ -1,22 +1,28 @@
 """Document fingerprints by Order MinHash.
 
 A text's k-mers (runs of ``K`` code points) are numbered by occurrence, so that
-repeats count, and every pair (k-mer, occurrence) is hashed onto a circle.  At
-each of ``ENTRIES`` fixed anchors the next ``PICKED`` pairs are the minimal
-ones; they are put back into text order and the tuple of their k-mers is hashed
-to one entry of the fingerprint.  Equal entries thus need the same minimal
-k-mers in the same order, which edits and moves both disturb.  The likeness of
-two fingerprints is the share of equal entries to the power ``1 / PICKED``.
+repeats count.  Each of ``ENTRIES`` orders, given by a hash of its own, picks the
+``PICKED`` minimal pairs (k-mer, occurrence); they are put back into text order
+and the tuple of their k-mers is hashed to one entry of the fingerprint.  Equal
+entries thus need the same minimal k-mers in the same order, which edits and
+moves both disturb.  The likeness of two fingerprints is the share of equal
+entries to the power ``1 / PICKED``.
+
+Texts are shuffled once, into ranges of neighbouring documents whose number is
+bounded; a range is sorted and streamed, so a task holds a few texts at a time.
+The first row of every range also goes to the range before it.
 
 Defined cases: a null text counts as empty; the empty text's fingerprint is all
 zeros; a text shorter than ``K`` is one k-mer.  Documents follow each other by
-ascending id (null ids first, equal ids by text) and the last is followed by
-the first; a single document is followed by itself.
+ascending id (null ids first, equal ids by a hash of the text, then the text)
+and the last is followed by the first; a single document is followed by itself.
+Ids may be of any type with an order.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +35,13 @@ from cairn.llm.common import parts_of, text_bytes, tidy, values
 K = 8
 ENTRIES = 64
 PICKED = 2
-#: Text bytes of one range of neighbouring documents.
-RANGE_BYTES = 4 << 20
-#: Ids drawn for the limits of the ranges: per range, and at most.
-DRAWN, DRAWN_MOST = 40, 1_000_000
+#: Text bytes of one range of neighbouring documents, ranges at most, and keys drawn per range for their limits.
+RANGE_BYTES, MOST_RANGES, DRAWN = 4 << 20, 4096, 40
+#: K-mers that the orders are applied to at once.
+AT_ONCE = 4096
 _ONE, _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_ANCHORS = np.arange(ENTRIES, dtype=np.uint64) << np.uint64(64 - ENTRIES.bit_length() + 1)
+_ORDERS = np.random.default_rng(17).integers(0, 1 << 31, (2, ENTRIES, 1)).astype(np.uint32)
+_XOR, _TIMES = _ORDERS[0], _ORDERS[1] * np.uint32(2) + np.uint32(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,6 +60,27 @@ def _sorted_places(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[at] & ~np.uint64(0xFFFFFF), at
 
 
+def _smallest(pair: np.ndarray) -> np.ndarray:
+    """Places of the ``PICKED`` smallest values of every order; equal values by place."""
+    rows = np.arange(ENTRIES)
+    best = place = None
+    for at in range(0, len(pair), AT_ONCE):
+        part = (pair[at : at + AT_ONCE] ^ _XOR) * _TIMES
+        value, where = [], []
+        for _ in range(min(PICKED, part.shape[1])):
+            low = part.argmin(axis=1)
+            value.append(part[rows, low].astype(np.int64))
+            where.append(low + at)
+            part[rows, low] = 0xFFFFFFFF
+        value, where = np.stack(value, axis=1), np.stack(where, axis=1)
+        if best is not None:
+            value, where = np.concatenate([best, value], axis=1), np.concatenate([place, where], axis=1)
+            order = np.argsort(value, axis=1, kind="stable")[:, :PICKED]
+            value, where = np.take_along_axis(value, order, axis=1), np.take_along_axis(where, order, axis=1)
+        best, place = value, where
+    return place
+
+
 def entries(text: str) -> np.ndarray:
     """The fingerprint's entries, unsigned 32-bit."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -69,9 +97,7 @@ def entries(text: str) -> np.ndarray:
     run = np.arange(n)
     occurrence = np.empty(n, np.uint64)
     occurrence[place] = run - np.maximum.accumulate(np.where(first, run, 0))
-    value, place = _sorted_places(_mix(kmer + occurrence * _ONE))
-    at = np.searchsorted(value, _ANCHORS)
-    picked = place[(at[:, None] + np.arange(min(PICKED, n))) % n]
+    picked = _smallest((_mix(kmer + occurrence * _ONE) >> np.uint64(32)).astype(np.uint32))
     picked.sort(axis=1)
     out = np.zeros(ENTRIES, np.uint64)
     for j in range(picked.shape[1]):
@@ -99,76 +125,89 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def _key(row):
-    return (row[0] is not None, row[0] or 0, row[1])
+def _limits(drawn: pa.Table, ranges: int) -> list[tuple]:
+    """Keys (id, tie) at which ranges start, ascending; null ids first."""
+    keys = sorted(set(zip(drawn.column("id").to_pylist(), drawn.column("tie").to_pylist())), key=_order)
+    return [keys[i] for i in np.unique(np.linspace(0, len(keys), ranges + 1).astype(int)[1:-1])] if len(keys) > 1 else []
+
+
+def _order(key):
+    return (False, 0, key[1]) if key[0] is None else (True, key[0], key[1])
 
 
-def _deal(limits):
+def _deal(shared):
     """Rows with the number of their range; the first row of a range also goes to the range before it."""
 
     def run(batches):
-        shared, low = limits.value
-        last = len(shared)
-        where = {None if x is None else int(x): i for i, x in enumerate([*shared.tolist()])}
-        heads = {}
+        limits, low = shared.value
+        orders, starts, heads = [_order(k) for k in limits], {k: i for i, k in enumerate(limits)}, {}
+        whole = all(isinstance(i, int) for i, _ in limits)
+        edges = np.array([i for i, _ in limits]) if whole and limits else None
         for batch in parts_of(batches):
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            known = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            part = np.searchsorted(shared, known, side="right")
-            part[np.array(ids.is_null())] = 0
+            ids, ties, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            if edges is not None and None not in ids:  # whole numbers all at once; equal ones are looked at again
+                part = np.searchsorted(edges, ids, side="left").astype(np.int64)
+                for r in np.nonzero(edges[np.minimum(part, len(edges) - 1)] == ids)[0]:
+                    part[r] = bisect_right(orders, _order((ids[r], ties[r])))
+            else:
+                part = np.array([bisect_right(orders, _order(k)) for k in zip(ids, ties)], np.int64)
             texts = [t or "" for t in texts]
-            for i, t in zip(ids.to_pylist(), texts):
-                for to in ([where[i]] if i in where else []) + ([last] if i == low else []):
-                    if (i, to) not in heads or t < heads[i, to]:
-                        heads[i, to] = t
-            yield _rows(part, np.zeros(len(part), bool), ids, texts)
+            for key, t in zip(zip(ids, ties), texts):
+                for to in ([starts[key]] if key in starts else []) + ([len(limits)] if key == low else []):
+                    if (key, to) not in heads or t < heads[key, to]:
+                        heads[key, to] = t
+            yield _rows(part, np.zeros(len(part), bool), batch.column(0), batch.column(1), texts)
         tidy()
         if heads:
-            yield _rows(np.array([to for _, to in heads]), np.ones(len(heads), bool), pa.array([i for i, _ in heads], pa.int64()), list(heads.values()))
+            keys = list(heads)
+            yield _rows(np.array([to for _, to in keys]), np.ones(len(keys), bool), pa.array([k[0] for k, _ in keys], batch.column(0).type), pa.array([k[1] for k, _ in keys], pa.int64()), list(heads.values()))
 
     return run
 
 
-def _rows(part, head, ids, texts):
-    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(head), ids, pa.array(texts, pa.string())], names=["part", "head", "id", "text"])
+def _rows(part, head, ids, ties, texts):
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(head), ids, ties, pa.array(texts, pa.string())], names=["part", "head", "id", "tie", "text"])
 
 
-RESULT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+KINDS = (("n_chars", "long", pa.int64()), ("edited_sha256", "string", pa.string()), ("fingerprint", "string", pa.string()), ("edited_fingerprint", "string", pa.string()), ("near_edited", "double", pa.float64()), ("near_next", "double", pa.float64()))
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("id", "text", "head"))))
-    own = sorted((r for r in rows if not r[2]), key=_key)
-    heads = sorted((r for r in rows if r[2]), key=_key)
-    chain = own + heads[:1]
-    found = [entries(r[1]) for r in chain]
-    out = []
-    for i, (ident, text, _) in enumerate(own):
-        new = edited(text, chain[i + 1][1])
-        other = entries(new)
-        sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-        out.append((ident, len(text), sha, as_text(found[i]), as_text(other), likeness(found[i], other), likeness(found[i], found[i + 1])))
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-    names = [x.split()[0] for x in RESULT.split(", ")]
-    return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+def _compare(batches):
+    """Stream the rows of sorted ranges: each row waits for the one after it (of several heads the first counts)."""
+    before = None  # part, id, text, entries of the row that waits
+    for batch in parts_of(batches, 256):
+        out, ids = [], []
+        for part, head, ident, text in zip(*(batch.column(c).to_pylist() for c in ("part", "head", "id", "text"))):
+            own = entries(text)
+            if before is not None and before[0] == part:
+                _, first, was, found = before
+                new = edited(was, text)
+                other = entries(new)
+                ids.append(first)
+                out.append((len(was), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), as_text(found), as_text(other), likeness(found, other), likeness(found, own)))
+            before = None if head else (part, ident, text, own)
+        columns = [pa.array(c, k) for c, (_, _, k) in zip(zip(*out) if out else [[]] * len(KINDS), KINDS)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("id").type), *columns], names=["id", *(n for n, _, _ in KINDS)])
+    tidy()
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likenesses.
 
-    Texts are shuffled once, into ranges of neighbouring ids; limits of the
-    ranges are drawn ids, so the head of each range is known beforehand.
+    Limits of the ranges are drawn keys (at most ``DRAWN * MOST_RANGES`` reach
+    the driver), so the head of each range is known beforehand.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    n, nulls, low = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id").isNull()), F.min("id")).first()
-    ranges = max(1, -(-text_bytes(rows, "text") // range_bytes))
-    share = min(1.0, min(DRAWN * ranges, DRAWN_MOST) / max(1, n))
-    drawn = rows.select("id").where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))))
-    ids = np.unique(drawn.toArrow().column(0).to_numpy())
-    limits = ids[np.unique(np.linspace(0, len(ids), ranges + 1).astype(int)[1:-1])] if len(ids) > 1 else ids[:0]
-    if len(limits) and not nulls and limits[0] == low:
-        limits = limits[1:]
-    shared = spark.sparkContext.broadcast((limits, None if nulls else low))
-    dealt = rows.mapInArrow(_deal(shared), "part long, head boolean, id long, text string")
-    return dealt.groupBy("part").applyInArrow(_compare, RESULT)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    smallest = F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "tie"))
+    n, low = rows.agg(F.count(F.lit(1)), smallest).first()
+    ranges = min(MOST_RANGES, max(1, -(-text_bytes(rows, "text") // range_bytes)))
+    share = min(1.0, DRAWN * ranges / max(1, n))
+    drawn = rows.select("id", "tie").where(F.pmod(F.xxhash64("id", "tie"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    low = None if low is None else (low["id"], low["tie"])
+    limits = [k for k in _limits(drawn.limit(4 * DRAWN * ranges).toArrow(), ranges) if k != low]
+    shared = spark.sparkContext.broadcast((limits, low))
+    dealt = rows.mapInArrow(_deal(shared), f"part long, head boolean, id {kind}, tie long, text string")
+    placed = dealt.repartition(ranges, "part").sortWithinPartitions("part", "head", F.col("id").asc_nulls_first(), "tie", "text")
+    return placed.drop("tie").mapInArrow(_compare, f"id {kind}, " + ", ".join(f"{n} {t}" for n, t, _ in KINDS))

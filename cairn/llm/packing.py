@@ -12,10 +12,12 @@ sequence:
 over cuts i with p[j] - p[i] <= WINDOW, from a monotone queue of
 ``best[i] + p[i]``; power-of-two lengths are tried beside it without padding.
 
-The order is cut into ranges of documents that are packed independently, so a
-task holds one range.  Defined cases: a null text counts as empty and packs its
-end id alone; a document longer than a window is cut into several pieces;
-repeated rows are packed as often as they occur; an empty table gives no rows.
+The order is cut into ranges, whose number is bounded, and a range into units of
+whole documents that are packed one after another, so a task holds one unit (or
+one document, if that is longer).  Defined cases: a null text counts as empty and
+packs its end id alone; a document longer than a window is cut into several
+pieces; repeated rows are packed as often as they occur; rows that tie in the
+order stand by a hash of their ids; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ SENTENCE = 8
 FORCED = 48
 PER_SEQUENCE = 64
 STRIDE = 256
-#: Ids of one independently packed range.
-RANGE_IDS = 1_500_000
+#: Ids of one independently packed unit, and ranges at most.
+UNIT_IDS, MOST_RANGES = 1_500_000, 4096
 #: Local sequence numbers per range: ``range * SPAN + number``.
 SPAN = 1 << 32
 
@@ -122,40 +124,54 @@ def pack_range(ids: np.ndarray, counts: np.ndarray, stops: np.ndarray, window: i
     return {"doc": doc, "start": first - (ends - counts)[doc], "length": last - first, "sequence": seq, "offset": first - cuts[seq], "place": first}
 
 
-def _run(path, window, whole):
+def _units(batches, unit_ids):
+    """Documents and their ids in units of about ``unit_ids`` ids: ``(docs, counts, ids)``."""
+    tables, parts, held = [], [], 0
+    for batch in batches:
+        counts, first = batch.column("n").to_numpy(), 0
+        while first < batch.num_rows:
+            room = np.searchsorted(np.cumsum(counts[first:]), unit_ids - held, side="right")
+            last = min(batch.num_rows, first + max(int(room), 0 if tables else 1))
+            if last > first:
+                some = batch.slice(first, last - first)
+                parts += [np.frombuffer(v.as_buffer(), np.uint16).copy() for v in some.column("ids")]
+                tables.append(some.select(["id", "n"]))
+                held += int(counts[first:last].sum())
+            if last < batch.num_rows:
+                yield pa.Table.from_batches(tables).combine_chunks(), np.concatenate(parts)
+                tables, parts, held = [], [], 0
+            first = last
+    if tables:
+        yield pa.Table.from_batches(tables).combine_chunks(), np.concatenate(parts)
+
+
+def _run(path, window, whole, unit_ids):
     def run(batches):
-        tables, parts = [], []
-        for batch in batches:
-            if batch.num_rows:
-                parts += [np.frombuffer(v.as_buffer(), np.uint16) for v in batch.column("ids")]
-                tables.append(batch.select(["id", "n"]))
-        if not tables:
-            return
-        docs = pa.Table.from_batches(tables).combine_chunks()
-        counts, ids = docs.column("n").to_numpy(), np.concatenate(parts)
-        del parts
-        got = pack_range(ids, counts, sentence_ids(path), window)
         base = TaskContext.get().partitionId() * SPAN
-        step = 20_000
-        for at in range(0, len(got["doc"]), step):
-            cut_ = {k: v[at : at + step] for k, v in got.items()}
-            wide = [ids[a : a + n].astype("<u4").tobytes() for a, n in zip(cut_["place"], cut_["length"])]
-            doc = pa.array(cut_["doc"])
-            columns = {
-                "id": docs.column("id").combine_chunks().take(doc) if docs.num_rows else docs.column("id"),
-                "start": pa.array(cut_["start"]),
-                "length": pa.array(cut_["length"]),
-                "ids": pa.array(wide, pa.binary()) if whole else pa.array([zlib.crc32(w) for w in wide], pa.int64()),
-                "doc_tokens": pa.array(counts).take(doc),
-                "sequence": pa.array(cut_["sequence"] + base),
-                "offset": pa.array(cut_["offset"]),
-            }
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=[k if whole or k != "ids" else "ids_crc32" for k in columns])
+        for docs, ids in _units(batches, unit_ids):
+            counts = docs.column("n").to_numpy()
+            got = pack_range(ids, counts, sentence_ids(path), window)
+            step = 20_000
+            for at in range(0, len(got["doc"]), step):
+                cut_ = {k: v[at : at + step] for k, v in got.items()}
+                wide = [ids[a : a + n].astype("<u4").tobytes() for a, n in zip(cut_["place"], cut_["length"])]
+                doc = pa.array(cut_["doc"])
+                columns = {
+                    "id": docs.column("id").combine_chunks().take(doc),
+                    "start": pa.array(cut_["start"]),
+                    "length": pa.array(cut_["length"]),
+                    "ids": pa.array(wide, pa.binary()) if whole else pa.array([zlib.crc32(w) for w in wide], pa.int64()),
+                    "doc_tokens": pa.array(counts).take(doc),
+                    "sequence": pa.array(cut_["sequence"] + base),
+                    "offset": pa.array(cut_["offset"]),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=[k if whole or k != "ids" else "ids_crc32" for k in columns])
+            base += int(got["sequence"][-1]) + 1
 
     return run
 
 
-def pack_tokens(tokens: DataFrame, order: list[str], path: str | None = None, window: int = WINDOW, range_ids: int = RANGE_IDS, whole: bool = True) -> DataFrame:
+def pack_tokens(tokens: DataFrame, order: list[str], path: str | None = None, window: int = WINDOW, unit_ids: int = UNIT_IDS, whole: bool = True) -> DataFrame:
     """Pieces of ``tokens`` (``id, n, ids`` and the columns of ``order``), in that order.
 
     Returns ``id, start, length, ids`` (little-endian 32-bit; or ``ids_crc32``),
@@ -163,10 +179,13 @@ def pack_tokens(tokens: DataFrame, order: list[str], path: str | None = None, wi
     """
     kind = tokens.schema["id"].dataType.simpleString()
     total = tokens.agg(F.sum("n")).first()[0] or 0
-    by = [F.col(c).asc_nulls_first() for c in order]
-    ranged = tokens.repartitionByRange(max(1, -(-total // range_ids)), *by).sortWithinPartitions(*by, "ids").select("id", "n", "ids")
+    by = [*[F.col(c).asc_nulls_first() for c in order], F.xxhash64("ids")]
+    ranges = min(MOST_RANGES, max(1, -(-total // unit_ids)))
+    # the row's number splits even rows that are equal in everything
+    ranged = tokens.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(ranges, *by, "__row")
+    ranged = ranged.sortWithinPartitions(*by, "__row").select("id", "n", "ids")
     last = "ids binary" if whole else "ids_crc32 long"
-    return ranged.mapInArrow(_run(path or vocabulary_path(), window, whole), f"id {kind}, start long, length long, {last}, doc_tokens long, sequence long, offset long")
+    return ranged.mapInArrow(_run(path or vocabulary_path(), window, whole, unit_ids), f"id {kind}, start long, length long, {last}, doc_tokens long, sequence long, offset long")
 
 
 def pack(docs: DataFrame, order: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END, whole: bool = True) -> DataFrame:

@@ -9,14 +9,15 @@ decoded in parallel or alone.
 
 Layout (little-endian): ``CRNS``, version, precision, lanes u16, block size
 u32, table checksum u32, ids u64, documents u32, blocks u32; the packed document
-table; blocks (ids u32, words u32, checksum u32, states, words); checkpoints
+table (document ids as 64-bit numbers or, of any other type, as text); blocks (ids u32, words u32, checksum u32, states, words); checkpoints
 (byte position u64, first id u64) and their position u64.  Files are written by
 Spark's own sink into a shared folder, so a lost task leaves no half file; each
-ends with the row separator ``CRN1``.
+ends with the row separator ``CRN1``.  The number of ranges that documents are
+shuffled to is bounded; a task cuts its range into as many files as it takes.
 
 Defined cases: a null text counts as empty and holds the end id alone; null
 document ids come first; repeated rows are repeated documents (equal ids in
-order of their token ids); an empty table makes no files and no rows.  A wrong
+order of a hash of their token ids); an empty table makes no files and no rows.  A wrong
 checksum raises ``ValueError``.
 """
 
@@ -37,13 +38,15 @@ from cairn.llm.tokens import END, tokenize
 PRECISION = 18
 LANES = 32
 BLOCK = 16_384
-#: Blocks coded side by side, and ids of one file.
+#: Blocks coded side by side, ids of one file, and ranges at most.
 ABREAST = 64
-FILE_IDS = 4_000_000
+FILE_IDS, MOST_RANGES = 4_000_000, 4096
 LOW = 1 << 31
 HEAD = struct.Struct("<4sBBHIIQII")
 BLOCK_HEAD = struct.Struct("<III")
 SEPARATOR = "CRN1"
+#: Types of ids that are kept as numbers.
+NUMBERS = ("bigint", "int", "smallint", "tinyint")
 
 
 class Table:
@@ -141,7 +144,12 @@ def encode_file(ids: np.ndarray, doc_ids: list, counts: np.ndarray, table: Table
         rest[: sizes[-1]] = ids[full * BLOCK :]
         bodies += encode_blocks(rest, steps, table)
     known = np.array([d is not None for d in doc_ids])
-    docs = zlib.compress(np.packbits(known).tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.asarray(counts, "<u4").tobytes(), 3)
+    if any(isinstance(d, str) for d in doc_ids):
+        texts = [(d or "").encode() for d in doc_ids]
+        names = b"t" + np.array([len(t) for t in texts], "<u4").tobytes() + b"".join(texts)
+    else:
+        names = b"i" + np.array([d or 0 for d in doc_ids], "<i8").tobytes()
+    docs = zlib.compress(np.packbits(known).tobytes() + np.asarray(counts, "<u4").tobytes() + names, 3)
     parts = [HEAD.pack(b"CRNS", 1, PRECISION, LANES, BLOCK, table.crc, len(ids), len(doc_ids), len(sizes)), struct.pack("<I", len(docs)), docs]
     at, marks, first = sum(map(len, parts)), [], 0
     for size, body in zip(sizes, bodies):
@@ -161,8 +169,13 @@ def decode_file(data: bytes, table: Table, blocks: range | None = None) -> tuple
     docs = zlib.decompress(data[HEAD.size + 4 : HEAD.size + 4 + size])
     bits = -(-n_docs // 8)
     known = np.unpackbits(np.frombuffer(docs, np.uint8, bits))[:n_docs]
-    doc_ids = [int(d) if k else None for d, k in zip(np.frombuffer(docs, "<i8", n_docs, bits), known)]
-    counts = np.frombuffer(docs, "<u4", n_docs, bits + 8 * n_docs).astype(np.int64)
+    counts = np.frombuffer(docs, "<u4", n_docs, bits).astype(np.int64)
+    kind, at = docs[bits + 4 * n_docs : bits + 4 * n_docs + 1], bits + 4 * n_docs + 1
+    if kind == b"t":
+        ends = np.cumsum(np.frombuffer(docs, "<u4", n_docs, at), dtype=np.int64) + at + 4 * n_docs
+        doc_ids = [docs[a:b].decode() if k else None for a, b, k in zip([at + 4 * n_docs, *ends[:-1].tolist()], ends.tolist(), known)]
+    else:
+        doc_ids = [int(d) if k else None for d, k in zip(np.frombuffer(docs, "<i8", n_docs, at), known)]
     end = len(data) - 8
     (marks_at,) = struct.unpack_from("<Q", data, end)
     marks = np.frombuffer(data, "<u8", 2 * n_blocks, marks_at).reshape(-1, 2)
@@ -206,24 +219,30 @@ def count_table(tokens: DataFrame) -> Table | None:
     return Table(counts)
 
 
-def _write(shared):
+def _write(shared, file_ids):
+    """Files of about ``file_ids`` ids (whole documents), each behind its place in the order."""
+
     def run(batches):
-        doc_ids, counts, parts = [], [], []
+        place, doc_ids, counts, parts, held = TaskContext.get().partitionId() << 32, [], [], [], 0
         for batch in batches:
-            doc_ids += batch.column("id").to_pylist()
-            counts += batch.column("n").to_pylist()
-            parts += [np.frombuffer(v.as_buffer(), np.uint16) for v in batch.column("ids")]
+            for ident, n, ids in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids")):
+                if held and held + n > file_ids:
+                    yield pa.RecordBatch.from_arrays([pa.array([struct.pack("<Q", place) + encode_file(np.concatenate(parts), doc_ids, np.array(counts), shared.value)], pa.binary())], names=["data"])
+                    place, doc_ids, counts, parts, held = place + 1, [], [], [], 0
+                doc_ids.append(ident)
+                counts.append(n)
+                parts.append(np.frombuffer(ids.as_buffer(), np.uint16))
+                held += n
         if doc_ids:
-            head = struct.pack("<Q", TaskContext.get().partitionId())
-            data = encode_file(np.concatenate(parts), doc_ids, np.array(counts), shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array([head + data], pa.binary())], names=["data"])
+            yield pa.RecordBatch.from_arrays([pa.array([struct.pack("<Q", place) + encode_file(np.concatenate(parts), doc_ids, np.array(counts), shared.value)], pa.binary())], names=["data"])
 
     return run
 
 
 def _binary_files(df: DataFrame, path: str):
-    """Each row of the one binary column as raw bytes and the separator, through Spark's file sink."""
-    df.select(F.col(df.columns[0]).cast("string").alias("value")).write.option("compression", "none").option("lineSep", SEPARATOR).text(path)
+    """Each row of the one binary column as a file of raw bytes and the separator, through Spark's text sink (which writes bytes as they are)."""
+    text = df.select(F.col(df.columns[0]).cast("string").alias("value")).write.option("compression", "none").option("lineSep", SEPARATOR)
+    text.option("maxRecordsPerFile", 1).text(path)
 
 
 def _file_rows(spark, path: str) -> DataFrame:
@@ -240,12 +259,16 @@ def write_files(tokens: DataFrame, path: str, file_ids: int = FILE_IDS) -> Table
     _binary_files(spark.createDataFrame([(bytearray(table.data),)], "data binary").coalesce(1), f"{path}/table")
     total = tokens.agg(F.sum("n")).first()[0]
     shared = spark.sparkContext.broadcast(table)
-    ordered = tokens.select("id", "n", "ids").repartitionByRange(-(-total // file_ids), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
-    _binary_files(ordered.mapInArrow(_write(shared), "data binary"), f"{path}/ids")
+    by = (F.col("id").asc_nulls_first(), F.xxhash64("ids"))
+    # numbers as they are, other ids as text; the row's number splits even rows that are equal in everything
+    kept = F.col("id").cast("long" if tokens.schema["id"].dataType.simpleString() in NUMBERS else "string").alias("id")
+    ranged = tokens.select("id", "n", "ids", F.monotonically_increasing_id().alias("__row")).repartitionByRange(min(MOST_RANGES, -(-total // file_ids)), *by, "__row")
+    ordered = ranged.sortWithinPartitions(*by, "__row").select(kept, "n", "ids")
+    _binary_files(ordered.mapInArrow(_write(shared, file_ids), "data binary"), f"{path}/ids")
     return table
 
 
-def _read(shared, whole):
+def _read(shared, whole, kind):
     def run(batches):
         table = shared.value
         for batch in batches:
@@ -261,29 +284,34 @@ def _read(shared, whole):
                     wide = ids.astype("<u4")
                     last = pa.array([zlib.crc32(wide[a:b]) for a, b in zip(starts, ends)], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(counts), place)), pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(counts), last],
+                    [pa.array(np.full(len(counts), place)), pa.array(doc_ids, kind), pa.array(starts), pa.array(counts), last],
                     names=["place", "id", "start", "n", "ids" if whole else "crc"],
                 )
 
     return run
 
 
-def read_files(spark, path: str, whole: bool = True) -> DataFrame:
+def read_files(spark, path: str, whole: bool = True, id_type: str = "bigint") -> DataFrame:
     """Documents of the files: ``place`` (of the file), ``id, start`` (in it), ``n`` and ``ids`` (or their ``crc``)."""
     tables = _file_rows(spark, f"{path}/table").limit(1).collect()
     shared = spark.sparkContext.broadcast(Table.read(bytes(tables[0][0])))
-    return _file_rows(spark, f"{path}/ids").mapInArrow(_read(shared, whole), f"place long, id long, start long, n long, {'ids binary' if whole else 'crc long'}")
+    number = id_type in NUMBERS
+    rows = _file_rows(spark, f"{path}/ids").mapInArrow(_read(shared, whole, pa.int64() if number else pa.string()), f"place long, id {'long' if number else 'string'}, start long, n long, {'ids binary' if whole else 'crc long'}")
+    return rows.withColumn("id", F.col("id").cast(id_type))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
     """``id, start, n, crc`` of every document as read back from the files written for ``docs``."""
     spark = docs.sparkSession
-    tokens = cut(tokenize(docs.withColumn("__id", F.col(id_col).cast("long")), ["__id"], text_col, end=end).withColumnRenamed("__id", "id"), "token-ids")
-    path = shared_path(spark, "token-files")
+    tokens = cut(tokenize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")), ["id"], "__text", end=end), "token-ids")
+    path, kind = shared_path(spark, "token-files"), tokens.schema["id"].dataType.simpleString()
     if write_files(tokens, path) is None:
         return tokens.select("id", F.lit(0).cast("long").alias("start"), "n", F.lit(0).cast("long").alias("crc"))
-    rows = cut(read_files(spark, path, whole=False), "token-docs")
-    # one row per file: positions of files in order
-    files = rows.groupBy("place").agg(F.sum("n").alias("ids"))
-    before = files.select("place", (F.sum("ids").over(Window.orderBy("place")) - F.col("ids")).alias("before"))
+    rows = cut(read_files(spark, path, whole=False, id_type=kind), "token-docs")
+    # positions of files: sums of whole ranges, then inside a range; one row per file, of which a range has a bounded share
+    files = rows.groupBy("place").agg(F.sum("n").alias("ids")).withColumn("range", F.shiftright("place", 32))
+    ranges = files.groupBy("range").agg(F.sum("ids").alias("all"))
+    ranges = ranges.select("range", (F.sum("all").over(Window.orderBy("range")) - F.col("all")).alias("first"))
+    inside = F.sum("ids").over(Window.partitionBy("range").orderBy("place")) - F.col("ids")
+    before = files.withColumn("inside", inside).join(ranges, "range").select("place", (F.col("first") + F.col("inside")).alias("before"))
     return rows.join(before, "place").select("id", (F.col("before") + F.col("start")).alias("start"), "n", "crc")

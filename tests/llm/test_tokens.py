@@ -136,3 +136,55 @@ def test_cuts_are_the_cheapest():
             best[j] = min(best[i] + cost(i, j) for i in range(j))
         cuts = [int(np.searchsorted(at, c)) for c in packing.best_cuts(at, penalty, window)]
         assert sum(cost(i, j) for i, j in zip(cuts, cuts[1:])) == best[-1]
+
+
+def test_any_id_type_and_repeated_ids(spark, library):
+    rows = [(None if i % 3 == 0 else f"n°{i % 9}", f"text {i % 25} " * (1 + i % 4)) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id string, text string").repartition(7)
+    held = tokens.tokenize(table.selectExpr("doc_id AS id", "text"), ["id"])
+    for number, kind in enumerate(("string", "decimal(9,2)", "bigint")):
+        typed = table if kind == "string" else table.selectExpr(f"CAST(regexp_extract(doc_id, '[0-9]+', 0) AS {kind}) AS doc_id", "text")
+        got = rans.round_trip(typed)
+        assert got.schema["id"].dataType.simpleString() == kind
+        ordered = sorted(got.collect(), key=lambda r: r.start)
+        assert [r.start for r in ordered] == [sum(x.n for x in ordered[:i]) for i in range(300)]
+        keys = [(r.id is not None, r.id or 0) if kind != "string" else (r.id is not None, r.id or "") for r in ordered]
+        assert keys == sorted(keys)
+        assert sorted(r.crc for r in ordered) == sorted(crc(whole(library, t)) for _, t in rows)
+        path = shared_path(spark, f"test-typed-{number}")
+        rans.write_files(held, path, file_ids=400)
+        assert rans.read_files(spark, path, id_type="string").select("place").distinct().count() > 5
+    pieces = packing.pack_tokens(held, ["id"], unit_ids=400, whole=False).collect()
+    assert sum(p.length for p in pieces) == sum(len(whole(library, t)) for _, t in rows)
+    check_packing(pieces, [], library)
+
+
+def test_equal_rows_are_split_between_tasks(spark):
+    held = tokens.tokenize(spark.range(400).selectExpr("CAST(NULL AS BIGINT) AS id", "'one and the same text here' AS text"), ["id"])
+    ranges = packing.pack_tokens(held, ["id"], unit_ids=300).selectExpr("shiftright(sequence, 32) AS r").groupBy("r").count().collect()
+    assert len(ranges) > 4 and max(r["count"] for r in ranges) < 200
+
+
+def test_little_padding():
+    """Random documents: sequences are padded by less than one id in a hundred, cuts inside sentences stay rare."""
+    rng = np.random.default_rng(9)
+    counts = rng.lognormal(5.5, 1.0, 800).astype(np.int64) + 2
+    ids = rng.integers(3, 900, counts.sum()).astype(np.uint16)
+    ids[np.cumsum(counts) - 1] = tokens.END
+    stops = np.zeros(1 << 16, bool)
+    stops[3:60] = True
+    got = packing.pack_range(ids, counts, stops)
+    size = np.bincount(got["sequence"], weights=got["length"]).astype(np.int64)
+    padding = np.where(size & (size - 1) == 0, 0, packing.WINDOW - size)
+    assert padding.sum() < 0.01 * counts.sum()
+    ends = np.cumsum(counts)
+    last = np.array([got["place"][got["sequence"] == s].max() + got["length"][got["sequence"] == s][-1] for s in range(len(size))])
+    assert np.mean(np.isin(last, ends) | stops[ids[last - 1]]) > 0.9
+
+
+def test_bytes_survive_the_text_sink(spark):
+    """The sink writes bytes as they are, also those that are no text, whatever the session says of white space."""
+    data = bytes(range(256)) * 3 + b"\n\r\n  "
+    path = shared_path(spark, "test-bytes")
+    rans._binary_files(spark.createDataFrame([(bytearray(data),), (bytearray(data[::-1]),)], "data binary"), path)
+    assert {bytes(r.data) for r in rans._file_rows(spark, path).collect()} == {data, data[::-1]}

@@ -11,9 +11,12 @@ _UNNAMED: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where none is named (tests) a local folder is made."""
+    """``spark.checkpoint.dir``; only where none is named and the session is local (tests) a local folder is made."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         app = spark.sparkContext.applicationId
         if app not in _UNNAMED:
             _UNNAMED[app] = "file://" + tempfile.mkdtemp(prefix="cairn-shared-")
@@ -30,4 +33,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` has written, once nothing reads them any more."""
+    for table in tables:
+        path = getattr(table, "_cut_path", None)
+        if path is not None:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            table._cut_path = None

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.storage import cut, shared_dir, shared_path  # noqa: F401  (used by the operators)
+from cairn.storage import cut, release, shared_dir, shared_path  # noqa: F401  (used by the operators)
 
 
 def raw_text(text_col: str = "text"):
@@ -44,6 +44,25 @@ def tidy(caches: bool = True) -> None:
         pass
 
 
+#: A key is hot from this share of the rows on, so that at most as many keys are.
+HOT_SHARE = 4096
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row for each key; rows without one are left out).
+
+    Keys with more than one row in ``HOT_SHARE`` are joined by broadcast (there are
+    fewer than ``HOT_SHARE`` of them), all others by a shuffle.
+    """
+    least = rows.count() // HOT_SHARE
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(1, least)).select(key).limit(HOT_SHARE)
+    few = cut(table.join(F.broadcast(hot), key, "left_semi"), "hot")
+    names = [*rows.columns, *(c for c in table.columns if c != key)]
+    by_broadcast = rows.join(F.broadcast(few), key).select(*names)
+    by_shuffle = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(table, key).select(*names)
+    return by_broadcast.unionByName(by_shuffle)
+
+
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Total UTF-8 bytes of the texts; one number, for sizing partitions."""
     total = df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import cut, raw_text, tidy, values
+from cairn.llm.common import cut, raw_text, release, spread_join, tidy, values
 
 RADIUS = 3
 SEED = 42
@@ -240,51 +240,34 @@ def components(edges: DataFrame, label: str = "simhash-labels") -> DataFrame:
     """``v, label``: the smallest node reachable, by neighbour minima and pointer jumping."""
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("v", "w")
     loops = both.select("v", F.col("v").alias("w")).distinct()
-    both = cut(both.union(loops).distinct(), "simhash-edges")
+    both = cut(both.union(loops).distinct(), f"{label}-edges")
     at = cut(both.groupBy("v").agg(F.min("w").alias("label")), label)
     while True:
-        near = (
+        near = cut(
             both.join(at.select(F.col("v").alias("w"), "label"), "w")
             .groupBy("v")
-            .agg(F.min("label").alias("low"))
+            .agg(F.min("label").alias("low")),
+            f"{label}-near",
         )
+        # many nodes may have one label: it is looked up without sending them all to one task
         jump = at.select(F.col("v").alias("low"), F.col("label").alias("next"))
-        new = near.join(jump, "low").join(at, "v").select("v", F.least("low", "next").alias("label"), (F.least("low", "next") < F.col("label")).alias("moved"))
+        new = spread_join(near, jump, "low").join(at, "v").select("v", F.least("low", "next").alias("label"), (F.least("low", "next") < F.col("label")).alias("moved"))
         new = cut(new, label)
+        release(at, near)
         if new.where("moved").isEmpty():
+            release(both)
             return new.select("v", "label")
-        at = new.select("v", "label")
-
-
-def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``id, fp`` of every row, and ``fp, first, label`` (smallest id, smallest fingerprint reachable) of every fingerprint."""
-    fps = cut(fingerprints(docs, id_col, text_col), "simhash-fp")
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("first"))
-    labels = components(links(distinct.select("fp")))
-    return fps, distinct.join(labels, distinct.fp == labels.v, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+        at = new
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, fp, component`` for every row; ``component`` is the smallest id reachable."""
-    fps, named = _labelled(docs, id_col, text_col)
+    fps = cut(fingerprints(docs, id_col, text_col), "simhash-fp")
+    distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
+    labels = components(links(distinct.select("fp")))
+    named = distinct.join(labels, distinct.fp == labels.v, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    named = cut(named, "simhash-named")
     lowest = named.groupBy("label").agg(F.min("first").alias("component"))
-    groups = cut(named.join(lowest, "label").select("fp", "component"), "simhash-groups")
-    return fps.join(groups, "fp").select("id", "fp", "component")
-
-
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component: the smallest id (and of its rows the smallest fingerprint).
-
-    Components are told apart by their labels, as ids may be null or repeated.
-    """
-    fps, named = _labelled(docs, id_col, text_col)
-    groups = cut(named.select("fp", "label"), "simhash-groups")
-    found = cut(fps.join(groups, "fp").groupBy("id", "fp", "label").agg(F.count(F.lit(1)).alias("n")), "simhash-members")
-    kept = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "fp")).alias("least"))
-    kept = kept.select(F.col("least.id").alias("__id"), F.col("least.fp").alias("__kept"))
-    # the fingerprint is worked out anew rather than stored with a copy of the texts
-    rows = docs.withColumn("__fp", _fingerprint(raw_text(text_col)))
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")))
-    if not found.where(F.col("n") > 1).isEmpty():
-        rows = rows.dropDuplicates([id_col, "__fp"])
-    return rows.select(*docs.columns)
+    groups = cut(spread_join(named, lowest, "label").select("fp", "component"), "simhash-groups")
+    release(distinct, named)
+    return spread_join(fps, groups, "fp").select("id", "fp", "component")

@@ -83,18 +83,10 @@ def test_table_against_brute_force(docs):
         assert got[r.doc_id, signed] == min(members, default=None)
 
 
-def test_representatives_keep_one_row_per_group(docs, empty):
-    kept = simhash.representatives(docs)
-    assert kept.columns == docs.columns
-    rows = kept.collect()
-    assert len(rows) == simhash.near_duplicates(docs).select("component").distinct().count()
-    assert sum(r.doc_id == 8 for r in rows) == 1
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.representatives(empty).count() == 0
-
-
-def test_representatives_of_null_and_repeated_ids(spark):
-    texts = ["red apples grow on old trees in autumn", "my train was late again this monday morning", "numbers and figures fill the quarterly report", "a fox sleeps under the wooden bridge"]
-    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (9, texts[2])]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    got = simhash.representatives(table).collect()
-    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("7", texts[3])])
+def test_copies_of_one_text_are_no_hot_key(spark):
+    rows = [(i, "one text that a third of all rows have" if i % 3 == 0 else f"text number {i * 7919} of its own {i}") for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    got = simhash.near_duplicates(table)
+    found = {r.id: r.component for r in got.collect()}
+    assert len(found) == 3000 and {found[i] for i in range(0, 3000, 3)} == {0}
+    assert simhash.near_duplicates(table.limit(0)).count() == 0

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from cairn.llm import langid, mixing, packing, quality, simhash
+from cairn.llm import langid, mixing, near_texts, packing, quality
 from cairn.llm.common import held_out_expr, raw_text, shared_path
 
 #: A language must be told with more than this score, and a text be of quality with at least that.
@@ -37,8 +37,8 @@ def good(spark, docs, sf_dir):
 
 
 def distinct(spark, docs, sf_dir):
-    """Keep one document of each group of near-duplicates, the one with the smallest id."""
-    return simhash.representatives(docs)
+    """Keep one document of each group of texts whose five-word shingles agree to 0.8 or more, the one with the smallest id."""
+    return near_texts.representatives(docs)
 
 
 def mixed(spark, docs, sf_dir):

@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline as p
-from cairn.llm import mixing, simhash
+from cairn.llm import mixing, near_texts
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def test_stages_keep_columns_and_their_decisions_take_effect(spark, sf):
     kept = p.good(spark, told, sf)
     assert kept.columns == docs.columns and {0, 1, 3} <= {r.doc_id for r in kept.collect()}
     once = p.distinct(spark, docs, sf)
-    assert once.count() == simhash.near_duplicates(docs).select("component").distinct().count()
+    assert once.count() == near_texts.groups(docs)[1].select("label").distinct().count()
     assert {0} == {r.doc_id for r in once.collect()} & {0, 1}
     in_order = p.mixed(spark, docs, sf)
     assert in_order.columns == docs.columns and in_order.count() == docs.count()

@@ -2,9 +2,10 @@
 
 A text becomes words (runs of letters, digits and non-ASCII characters, A-Z
 lower-cased).  Rules are regular expressions over single-space word strings,
-with keywords, a priority and a weight.  A text must have one of the words
-that all rules need, and one of a family's keywords, before any expression of the
-family is tried; every match of a rule has one of its keywords.  Each match is an interval of
+with a priority and a weight.  A text must have one of the words that all rules
+need, and one of a family's keywords, before any expression of the family is
+tried; keywords are worked out from the expressions, so that every match of a
+rule has one of them.  Each match is an interval of
 words; an interval that lies inside one of a stronger rule (higher priority, or
 equal priority and longer) is suppressed.  Base phrases are never suppressed.
 
@@ -25,57 +26,125 @@ from pyspark.sql import functions as F
 
 #: Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Label, keywords of the names (``|`` between alternatives), SPDX-style identifier, names of the license (word expressions).
+#: Label, SPDX-style identifier, names of the license (word expressions).
 NAMES = [
-    ("mit", "mit", "mit", "mit( x11)?"),
-    ("mit-0", "mit", "mit 0", "mit (0|no attribution)"),
-    ("apache-1", "apache", "apache 1( [01])?", "apache( software)?( license)?( version)? 1( [01])?"),
-    ("apache-2", "apache", "apache 2( 0)?", "apache( software)?( license)?( version)? (2|v2)( 0)?"),
-    ("bsd-2", "bsd", "bsd 2 clause", "(bsd 2 clause|2 clause bsd|simplified bsd)"),
-    ("bsd-3", "bsd", "bsd 3 clause", "(bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd)"),
-    ("bsd-4", "bsd", "bsd 4 clause", "(bsd 4 clause|4 clause bsd|original bsd)"),
-    ("0bsd", "0bsd", "0bsd", "0bsd"),
-    ("gpl-1", "general public", "gpl 1( 0)?( only| or later)?", "gnu general public license( as published by the free software foundation)?( either)? version 1"),
-    ("gpl-2", "general public", "gpl 2( 0)?( only| or later)?", "(gnu )?general public license( as published by the free software foundation)?( either)? (version 2|v2)"),
-    ("gpl-3", "general public", "gpl 3( 0)?( only| or later)?", "(gnu )?general public license( as published by the free software foundation)?( either)? (version 3|v3)"),
-    ("gpl-2", "gpl", "gpl v2", "(gnu )?(gplv2|gpl (v2|version 2|2))"),
-    ("gpl-3", "gpl", "gpl v3", "(gnu )?(gplv3|gpl (v3|version 3|3))"),
-    ("lgpl-2", "lgpl", "lgpl 2( [01])?( only| or later)?", "(gnu )?(lgplv2|lgpl (v2|version 2|2)( 1)?)"),
-    ("lgpl-3", "lgpl", "lgpl 3( 0)?( only| or later)?", "(gnu )?(lgplv3|lgpl (v3|version 3|3))"),
-    ("lgpl-2", "lesser general", "lgpl 2 1", "(gnu )?lesser general public license( either)? (version 2|v2)( 1)?"),
-    ("lgpl-3", "lesser general", "lgpl 3 0", "(gnu )?lesser general public license( either)? (version 3|v3)"),
-    ("agpl-3", "agpl", "agpl 3( 0)?( only| or later)?", "(gnu )?(agplv3|agpl (v3|version 3|3))"),
-    ("agpl-3", "affero", "agpl 3 0", "(gnu )?affero general public license( version 3| v3)?"),
-    ("mpl-1", "mozilla", "mpl 1( [01])?", "mozilla public license( version| v)? 1( [01])?"),
-    ("mpl-2", "mozilla", "mpl 2( 0)?", "mozilla public license( version| v)? 2( 0)?"),
-    ("epl-1", "eclipse", "epl 1( 0)?", "eclipse public license( version| v)? 1( 0)?"),
-    ("epl-2", "eclipse", "epl 2( 0)?", "eclipse public license( version| v)? 2( 0)?"),
-    ("cddl-1", "common development", "cddl 1( [01])?", "common development and distribution license"),
-    ("cpl-1", "common public", "cpl 1( 0)?", "common public license"),
-    ("isc", "isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib", "zlib( libpng)?"),
-    ("boost-1", "boost", "bsl 1( 0)?", "boost software license"),
-    ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl|do what the fuck", "wtfpl", "(wtfpl|do what the fuck you want to public license)"),
-    ("artistic-2", "artistic", "artistic 2( 0)?", "artistic license 2( 0)?"),
-    ("ofl-1", "open font", "ofl 1( 1)?", "sil open font license( version)?( 1 1)?"),
-    ("eupl-1", "eupl|european union public", "eupl 1( [12])?", "(eupl|european union public licen[cs]e)"),
-    ("psf-2", "python software", "psf 2( 0)?", "python software foundation license"),
-    ("postgresql", "postgresql", "postgresql", "postgresql license"),
-    ("openssl", "openssl", "openssl", "openssl license"),
-    ("ms-pl", "microsoft public", "ms pl", "microsoft public license"),
-    ("odbl-1", "open database", "odbl 1( 0)?", "open database license"),
-    ("gfdl-1", "free documentation", "gfdl 1( [123])?", "gnu free documentation license"),
-    ("cc0-1", "cc0", "cc0 1( 0)?", "cc0( 1 0)?( universal)?"),
-    ("cc-by", "cc by", "cc by [1-4]( [05])?", "(creative commons )?cc by( [1-4]( [05])?)?"),
-    ("cc-by-sa", "cc by sa", "cc by sa [1-4]( [05])?", "(creative commons )?cc by sa( [1-4]( [05])?)?"),
-    ("cc-by-nd", "cc by nd", "cc by nd [1-4]( [05])?", "(creative commons )?cc by nd( [1-4]( [05])?)?"),
-    ("cc-by-nc", "cc by nc", "cc by nc [1-4]( [05])?", "(creative commons )?cc by nc( [1-4]( [05])?)?"),
-    ("cc-by-nc-sa", "cc by nc sa", "cc by nc sa [1-4]( [05])?", "(creative commons )?cc by nc sa( [1-4]( [05])?)?"),
-    ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd [1-4]( [05])?", "(creative commons )?cc by nc nd( [1-4]( [05])?)?"),
-    ("cc-by", "creative commons", "cc by 4 0 international", "creative commons attribution( [1-4] [05])?( international)?( license)?"),
-    ("cc-by-sa", "creative commons", "cc by sa 4 0 international", "creative commons attribution share ?alike( [1-4] [05])?( international)?( license)?"),
-    ("cc-by-nc", "creative commons", "cc by nc 4 0 international", "creative commons attribution non ?commercial( [1-4] [05])?( international)?( license)?"),
+    ("mit", "mit", "mit( x11)?"),
+    ("mit", "x11", "(x11|mit x consortium|expat)"),
+    ("mit-0", "mit 0", "mit (0|no attribution)"),
+    ("apache-1", "apache 1( [01])?", "apache( software)?( license)?( version)? 1( [01])?"),
+    ("apache-2", "apache 2( 0)?", "apache( software)?( license)?( version)? (2|v2)( 0)?"),
+    ("bsd-1", "bsd 1 clause", "(bsd 1 clause|1 clause bsd)"),
+    ("bsd-2", "bsd 2 clause", "(bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    ("bsd-3", "bsd 3 clause", "(bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd)"),
+    ("bsd-4", "bsd 4 clause", "(bsd 4 clause|4 clause bsd|original bsd)"),
+    ("bsd-2-patent", "bsd 2 clause patent", "bsd plus patent"),
+    ("0bsd", "0bsd", "(0bsd|zero clause bsd|free public license 1 0 0)"),
+    ("gpl-1", "gpl 1( 0)?( only| or later)?", "gnu general public license( as published by the free software foundation)?( either)? version 1"),
+    ("gpl-2", "gpl 2( 0)?( only| or later)?", "(gnu )?general public license( as published by the free software foundation)?( either)? (version 2|v2)"),
+    ("gpl-3", "gpl 3( 0)?( only| or later)?", "(gnu )?general public license( as published by the free software foundation)?( either)? (version 3|v3)"),
+    ("gpl-2", "gpl v2", "(gnu )?(gplv2|gpl (v2|version 2|2))"),
+    ("gpl-3", "gpl v3", "(gnu )?(gplv3|gpl (v3|version 3|3))"),
+    ("lgpl-2", "lgpl 2( [01])?( only| or later)?", "(gnu )?(lgplv2|lgpl (v2|version 2|2)( 1)?)"),
+    ("lgpl-3", "lgpl 3( 0)?( only| or later)?", "(gnu )?(lgplv3|lgpl (v3|version 3|3))"),
+    ("lgpl-2", "lgpl 2 1 only", "(gnu )?(lesser|library) general public license( either)? (version 2|v2)( [01])?"),
+    ("lgpl-3", "lgpl 3 0 only", "(gnu )?lesser general public license( either)? (version 3|v3)"),
+    ("agpl-3", "agpl 3( 0)?( only| or later)?", "(gnu )?(agplv3|agpl (v3|version 3|3))"),
+    ("agpl-3", "agpl 3 0 only", "(gnu )?affero general public license( version 3| v3)?"),
+    ("agpl-1", "agpl 1( 0)?( only| or later)?", "affero general public license version 1"),
+    ("sspl-1", "sspl 1( 0)?", "server side public license( version 1| v1)?"),
+    ("busl-1", "busl 1( 1)?", "business source license( 1 1| version 1 1)?"),
+    ("elastic-2", "elastic 2( 0)?", "elastic license( version)? 2( 0)?"),
+    ("commons-clause", "commons clause", "commons clause( license)?( condition)?( v1 0)?"),
+    ("mpl-1", "mpl 1( [01])?", "mozilla public license( version| v)? 1( [01])?"),
+    ("mpl-2", "mpl 2( 0)?", "mozilla public license( version| v)? 2( 0)?"),
+    ("epl-1", "epl 1( 0)?", "eclipse public license( version| v)? 1( 0)?"),
+    ("epl-2", "epl 2( 0)?", "eclipse public license( version| v)? 2( 0)?"),
+    ("edl-1", "edl 1( 0)?", "eclipse distribution license( version| v)?( 1 0)?"),
+    ("cddl-1", "cddl 1( [01])?", "common development and distribution license"),
+    ("cpl-1", "cpl 1( 0)?", "common public license"),
+    ("ipl-1", "ipl 1( 0)?", "ibm public license"),
+    ("cpal-1", "cpal 1( 0)?", "common public attribution license"),
+    ("apsl-2", "apsl 2( 0)?", "apple public source license"),
+    ("npl-1", "npl 1( [01])?", "netscape public license"),
+    ("spl-1", "spl 1( 0)?", "sun public license"),
+    ("sissl", "sissl( 1 2)?", "sun industry standards source license"),
+    ("qpl-1", "qpl 1( 0)?", "q public license"),
+    ("rpl-1", "rpl 1( [15])?", "reciprocal public license"),
+    ("osl-3", "osl 3( 0)?", "open software license( version)? 3( 0)?"),
+    ("osl-2", "osl 2( [01])?", "open software license( version)? 2( [01])?"),
+    ("afl-3", "afl 3( 0)?", "academic free license( version)? 3( 0)?"),
+    ("afl-2", "afl 2( [01])?", "academic free license( version)? 2( [01])?"),
+    ("ecl-2", "ecl 2( 0)?", "educational community license( version)?( 2 0)?"),
+    ("ncsa", "ncsa", "(ncsa|university of illinois ncsa open source)"),
+    ("isc", "isc", "isc"),
+    ("zlib", "zlib", "zlib( libpng)?"),
+    ("libpng-2", "libpng 2( 0)?", "libpng"),
+    ("ijg", "ijg", "independent jpeg group"),
+    ("libtiff", "libtiff", "libtiff"),
+    ("curl", "curl", "curl"),
+    ("bzip2", "bzip2 1 0 [56]", "bzip2"),
+    ("info-zip", "info zip", "info zip"),
+    ("boost-1", "bsl 1( 0)?", "boost software license"),
+    ("unlicense", "unlicense", "(the )?unlicense"),
+    ("wtfpl", "wtfpl", "(wtfpl|do what the fuck you want to public license)"),
+    ("beerware", "beerware", "beer ?ware"),
+    ("artistic-1", "artistic 1( 0)?( perl| cl8)?", "(artistic license 1( 0)?|the artistic license)"),
+    ("artistic-2", "artistic 2( 0)?", "artistic license 2( 0)?"),
+    ("clartistic", "clartistic", "clarified artistic license"),
+    ("ofl-1", "ofl 1( [01])?", "sil open font license( version)?( 1 [01])?"),
+    ("eupl-1", "eupl 1( [012])?", "(eupl|european union public licen[cs]e)"),
+    ("cecill-2", "cecill 2( [01])?", "cecill( license)?( version)? 2( [01])?"),
+    ("cecill-b", "cecill b", "cecill b"),
+    ("cecill-c", "cecill c", "cecill c"),
+    ("lppl-1", "lppl 1( [0123])?[abc]?", "latex project public license"),
+    ("psf-2", "psf 2( 0)?", "python software foundation license"),
+    ("python-2", "python 2( 0)?( 1)?", "python license( version)? 2( 0)?"),
+    ("php-3", "php 3( 0)?( 01)?", "php license( version)?( 3 01| 3 0| 3)?"),
+    ("ruby", "ruby", "(the )?ruby"),
+    ("perl", "perl", "same terms as perl itself"),
+    ("tcl", "tcl", "tcl tk"),
+    ("vim", "vim", "vim"),
+    ("w3c", "w3c( 20150513)?", "w3c( software)?( notice and)?( document)?"),
+    ("zpl-2", "zpl 2( [01])?", "zope public license( version)?( 2( [01])?)?"),
+    ("postgresql", "postgresql", "postgresql license"),
+    ("openssl", "openssl", "openssl license"),
+    ("openldap", "oldap 2( [0-8])?", "openldap public license"),
+    ("ms-pl", "ms pl", "microsoft public license"),
+    ("ms-rl", "ms rl", "microsoft reciprocal license"),
+    ("odbl-1", "odbl 1( 0)?", "open database license"),
+    ("odc-by-1", "odc by 1( 0)?", "open data commons attribution license"),
+    ("pddl-1", "pddl 1( 0)?", "(open data commons public domain dedication|public domain dedication and license)"),
+    ("ogl-uk", "ogl uk [123]( 0)?", "open government licen[cs]e( v?[123]( 0)?)?"),
+    ("cdla-permissive", "cdla permissive [12]( 0)?", "community data license agreement permissive"),
+    ("cdla-sharing", "cdla sharing 1( 0)?", "community data license agreement sharing"),
+    ("openrail-m", "openrail m", "(creativeml )?open ?rail( m| m)?"),
+    ("llama", "llama [23]", "llama( [23])? community license"),
+    ("gfdl-1", "gfdl 1( [123])?( only| or later)?", "(gnu )?free documentation license"),
+    ("fal-1", "lal 1( [23])?", "free art license"),
+    ("ddl-1", "pdl 1( 0)?", "public documentation license"),
+    ("opl-1", "opubl 1( 0)?", "open publication license"),
+    ("mulan-2", "mulanpsl 2( 0)?", "mulan (psl|permissive software license)( v2| version 2)?"),
+    ("upl-1", "upl 1( 0)?", "universal permissive license"),
+    ("blueoak-1", "blueoak 1( 0 0)?", "blue oak model license"),
+    ("hippocratic", "hippocratic [23]( [01])?", "hippocratic license"),
+    ("parity-7", "parity 7( 0 0)?", "parity public license"),
+    ("polyform-nc", "polyform noncommercial 1( 0 0)?", "polyform noncommercial license"),
+    ("nasa-1", "nasa 1( 3)?", "nasa open source agreement"),
+    ("intel", "intel", "intel open source license"),
+    ("nokia", "nokia", "nokia open source license"),
+    ("watcom-1", "watcom 1( 0)?", "sybase open watcom public license"),
+    ("cc0-1", "cc0 1( 0)?", "cc0( 1 0)?( universal)?"),
+    ("cc-by", "cc by [1-4]( [05])?", "(creative commons )?cc by( [1-4]( [05])?)?"),
+    ("cc-by-sa", "cc by sa [1-4]( [05])?", "(creative commons )?cc by sa( [1-4]( [05])?)?"),
+    ("cc-by-nd", "cc by nd [1-4]( [05])?", "(creative commons )?cc by nd( [1-4]( [05])?)?"),
+    ("cc-by-nc", "cc by nc [1-4]( [05])?", "(creative commons )?cc by nc( [1-4]( [05])?)?"),
+    ("cc-by-nc-sa", "cc by nc sa [1-4]( [05])?", "(creative commons )?cc by nc sa( [1-4]( [05])?)?"),
+    ("cc-by-nc-nd", "cc by nc nd [1-4]( [05])?", "(creative commons )?cc by nc nd( [1-4]( [05])?)?"),
+    ("cc-by", "cc by 4 0 international", "creative commons attribution( [1-4] [05])?( international)?( license)?"),
+    ("cc-by-sa", "cc by sa 4 0 international", "creative commons attribution share ?alike( [1-4] [05])?( international)?( license)?"),
+    ("cc-by-nd", "cc by nd 4 0 international", "creative commons attribution no ?deriv(s|ative works|atives)( [1-4] [05])?( international)?( license)?"),
+    ("cc-by-nc", "cc by nc 4 0 international", "creative commons attribution non ?commercial( [1-4] [05])?( international)?( license)?"),
+    ("cc-by-nc-sa", "cc by nc sa 4 0 international", "creative commons attribution non ?commercial share ?alike( [1-4] [05])?( international)?( license)?"),
 ]
 #: Ways to mention a license: priority, weight, expression ({n}: name, {i}: identifier).
 FORMS = [
@@ -85,41 +154,175 @@ FORMS = [
     (4, 0.9, "licen[cs]e {n}( licen[cs]e)?"),
     (3, 0.8, "{n} licen[cs]e( (version|v) ?[0-9]+( [0-9]+)?)?"),
 ]
-#: Rules of their own: priority, weight, label, keyword, expression.
+#: Rules of their own: priority, weight, label, expression.  First sentences of license texts, then notices, then leads.
 OWN = [
-    (2, 0.6, "public-domain", "public domain", "(released|placed|dedicated|is) (in|into|to) the public domain"),
-    (2, 0.6, "gpl", "general public", "gnu general public license"),
-    (2, 0.6, "gpl", "gpl", "(under|licensed under) (the )?(gnu )?gpl"),
-    (2, 0.6, "lgpl", "lesser general", "gnu lesser general public license"),
-    (2, 0.6, "bsd", "bsd", "(under )?(the |a )?bsd (style )?licen[cs]e"),
-    (2, 0.6, "apache", "apache", "(under )?the apache( software)? licen[cs]e"),
-    (2, 0.6, "creative-commons", "creative commons", "creative commons( public)? licen[cs]e"),
-    (2, 0.5, "proprietary", "all rights reserved", "all rights reserved"),
-    (2, 0.5, "proprietary", "confidential", "(proprietary and confidential|confidential and proprietary)"),
-    (1, 0.3, "unknown-license", "license", "licensed (under|to you)( the)?"),
-    (1, 0.3, "unknown-license", "licence", "licenced under( the)?"),
-    (1, 0.3, "unknown-license", "license", "(see|read) (the )?(accompanying )?license( file)?( for details)?"),
+    (5, 0.95, "mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    (5, 0.9, "mit", "the above copyright notice and this permission notice shall be included in all copies"),
+    (5, 0.9, "mit", "to deal in the software without restriction including without limitation the rights"),
+    (5, 0.95, "boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    (5, 0.95, "ofl-1", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    (5, 0.95, "isc", "permission to use copy modify (and )?(and or )?distribute this software for any purpose with or without fee is hereby granted"),
+    (5, 0.9, "0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    (5, 0.9, "bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    (5, 0.9, "bsd", "redistributions of source code must retain the above copyright notice"),
+    (5, 0.9, "bsd", "redistributions in binary form must reproduce the above copyright notice"),
+    (5, 0.9, "bsd-3", "neither the name of (the copyright holder|the author|the university|the project|the organization)( nor the names of)?( its)?( contributors)?"),
+    (5, 0.9, "bsd-4", "all advertising materials mentioning features or use of this software"),
+    (5, 0.95, "apache-2", "you may not use this file except in compliance with the license"),
+    (5, 0.9, "apache-2", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    (5, 0.9, "gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    (5, 0.9, "lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license"),
+    (5, 0.8, "gpl", "you should have received a copy of the gnu general public license"),
+    (5, 0.8, "lgpl", "you should have received a copy of the gnu (lesser|library) general public license"),
+    (5, 0.8, "agpl-3", "you should have received a copy of the gnu affero general public license"),
+    (4, 0.8, "gpl-2", "either version 2 of the license or at your option any later version"),
+    (4, 0.8, "gpl-3", "either version 3 of the license or at your option any later version"),
+    (4, 0.8, "lgpl-2", "either version 2 1 of the license or at your option any later version"),
+    (5, 0.95, "mpl-2", "this source code form is subject to the terms of the mozilla public license"),
+    (5, 0.9, "mpl-1", "the contents of this file are subject to the mozilla public license"),
+    (5, 0.9, "cddl-1", "the contents of this file are subject to the terms of the common development and distribution license"),
+    (5, 0.9, "epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    (5, 0.9, "zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    (5, 0.9, "zlib", "altered source versions must be plainly marked as such"),
+    (5, 0.9, "zlib", "the origin of this software must not be misrepresented"),
+    (5, 0.95, "unlicense", "this is free and unencumbered software released into the public domain"),
+    (5, 0.9, "wtfpl", "you just do what the fuck you want to"),
+    (5, 0.9, "beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer"),
+    (5, 0.9, "cc0-1", "has waived all copyright and related or neighboring rights"),
+    (5, 0.8, "cc0-1", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    (4, 0.8, "creative-commons", "this work is licensed under a creative commons"),
+    (4, 0.8, "creative-commons", "except where otherwise noted content on this (site|wiki|page) is licensed under"),
+    (4, 0.8, "cc-by-sa", "text is available under the creative commons attribution share ?alike license"),
+    (5, 0.9, "gfdl-1", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    (5, 0.9, "artistic-1", "this is free software you can redistribute it and or modify it under the same terms as (the )?perl"),
+    (5, 0.9, "lppl-1", "this work may be distributed and or modified under the conditions of the latex project public license"),
+    (5, 0.9, "psf-2", "this license agreement is between the python software foundation"),
+    (5, 0.9, "php-3", "this product includes php software freely available from"),
+    (5, 0.9, "openssl", "this product includes software developed by the openssl project"),
+    (5, 0.9, "apache-1", "this product includes software developed by the apache (group|software foundation)"),
+    (5, 0.9, "eupl-1", "licensed under the eupl version 1 [012]"),
+    (5, 0.9, "w3c", "by obtaining using and or copying this (work|software) you the licensee agree"),
+    (5, 0.9, "ncsa", "to deal with the software without restriction"),
+    (5, 0.9, "mulan-2", "you can use this software according to the terms and conditions of the mulan psl v2"),
+    (5, 0.9, "odbl-1", "is made available under the open database license"),
+    (5, 0.9, "ogl-uk", "contains public sector information licen[cs]ed under the open government licen[cs]e"),
+    (5, 0.9, "sspl-1", "you must make the service source code available"),
+    (5, 0.9, "busl-1", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    (5, 0.9, "commons-clause", "the grant of rights under the license will not include and the license does not grant to you the right to sell the software"),
+    (4, 0.7, "ms-pl", "if you use the software you accept this license if you do not accept the license do not use the software"),
+    (4, 0.7, "proprietary", "this software is the confidential and proprietary information of"),
+    (4, 0.7, "proprietary", "unauthorized copying of this file via any medium is strictly prohibited"),
+    (4, 0.7, "proprietary", "no part of this (publication|book|work|document) may be reproduced"),
+    (4, 0.7, "proprietary", "by (downloading|installing|using) (this|the) software you agree to (be bound by )?the terms"),
+    (4, 0.7, "proprietary", "end user license agreement"),
+    (4, 0.7, "proprietary", "for internal use only"),
+    (4, 0.7, "us-government", "this is a work of the (u s|us|united states) government"),
+    (4, 0.7, "us-government", "not subject to copyright protection in the united states"),
+    (3, 0.7, "non-commercial", "for (non ?commercial|personal)( and educational)?( use| purposes)? only"),
+    (3, 0.7, "non-commercial", "(may|can) not be used for commercial purposes"),
+    (3, 0.7, "research-only", "for (academic|research)( and educational)? (use|purposes) only"),
+    (3, 0.7, "no-derivatives", "no derivative works( are)? (allowed|permitted)"),
+    (3, 0.6, "no-ai-training", "(may|must|can) not be used (to train|for training) (machine learning|artificial intelligence|ai|language) (models|systems)"),
+    (3, 0.6, "freeware", "this (software|program) is freeware"),
+    (3, 0.6, "shareware", "this (software|program) is shareware"),
+    (2, 0.6, "public-domain", "(released|placed|dedicated|is) (in|into|to) the public domain"),
+    (2, 0.6, "public-domain", "this (work|file|software|code|document) is public domain"),
+    (2, 0.6, "public-domain", "no (copyright|rights) (is )?(claimed|reserved)"),
+    (2, 0.6, "gpl", "gnu general public license"),
+    (2, 0.6, "gpl", "(under|licensed under) (the )?(gnu )?gpl"),
+    (2, 0.6, "lgpl", "gnu lesser general public license"),
+    (2, 0.6, "lgpl", "(under|licensed under) (the )?(gnu )?lgpl"),
+    (2, 0.6, "agpl-3", "(under|licensed under) (the )?(gnu )?agpl"),
+    (2, 0.6, "bsd", "(under )?(the |a )?bsd (style )?licen[cs]e"),
+    (2, 0.6, "mit", "(an |the )?mit style licen[cs]e"),
+    (2, 0.6, "apache", "(under )?the apache( software)? licen[cs]e"),
+    (2, 0.6, "mpl", "mozilla public licen[cs]e"),
+    (2, 0.6, "epl", "eclipse public licen[cs]e"),
+    (2, 0.6, "creative-commons", "creative commons( public)? licen[cs]e"),
+    (2, 0.5, "copyleft", "(strong |weak )?copyleft licen[cs]e"),
+    (2, 0.5, "permissive", "permissive (open source |free software )?licen[cs]e"),
+    (2, 0.5, "proprietary", "all rights reserved"),
+    (2, 0.5, "proprietary", "(proprietary and confidential|confidential and proprietary)"),
+    (2, 0.5, "proprietary", "proprietary licen[cs]e"),
+    (2, 0.5, "commercial", "(commercial|paid) licen[cs]e (is )?(required|available)"),
+    (1, 0.3, "unknown-license", "licensed (under|to you)( the)?"),
+    (1, 0.3, "unknown-license", "licenced under( the)?"),
+    (1, 0.3, "unknown-license", "(see|read) (the )?(accompanying )?license( file)?( for details)?"),
+    (1, 0.3, "unknown-license", "license (terms|text|agreement|header|notice)"),
+    (1, 0.3, "unknown-license", "open source licen[cs]e"),
 ]
 BASE_PRIORITY = 9
-#: Keyword of the rules for SPDX-style identifiers, which do not have the words of the names.
-SPDX = "spdx license identifier"
 #: Words of which every rule's expression has one: a text without any is looked at no further.
-GATE = " (licen[cs]e|spdx |under |subject to |governed by |pursuant to |public domain|all rights reserved|confidential |cc by )"
+GATE = " (licen[cs]e|licen[cs]ed |spdx |under |subject to |governed by |pursuant to |public domain|all rights reserved|confidential |cc by |permission |redistributions? |software |copyright |copyleft |neither the name of |altered source |the origin of |advertising |proprietary |is public |for (internal|non|personal|academic|research)|be used |derivative works |no (copyright|rights)|you just do |buy me a beer |not subject |unauthorized |may be reproduced |united states government |us government |u s government |related or neighboring |is freeware |is shareware |service source code )"
 
 
 class Rule(NamedTuple):
     priority: int
     weight: float
     label: str
-    keyword: str
     expression: str
 
+    @property
+    def keywords(self) -> tuple[str, ...]:
+        return keywords(self.expression)
+
+
+def _sequence(text: str, at: int, close: str):
+    """Alternatives of a (sub)expression, each a list of (kind, value, optional), and where it ends."""
+    branches, items = [], []
+    while at < len(text) and text[at] != close:
+        c = text[at]
+        if c == "|":
+            branches.append(items)
+            items, at = [], at + 1
+            continue
+        if c == "(":
+            inner, at = _sequence(text, at + 1, ")")
+            item = ["group", inner]
+        elif c == "[":
+            at = text.index("]", at)
+            item = ["any", None]
+        else:
+            item = ["text", c]
+        at += 1
+        optional = at < len(text) and text[at] == "?"
+        at += at < len(text) and text[at] in "?+"
+        items.append((*item, optional))
+    return [*branches, items], at
+
+
+def _needed(branches) -> tuple[str, ...] | None:
+    """Strings of which every match has one: for each branch its best run or group; None if a branch needs nothing."""
+    found = []
+    for items in branches:
+        runs, run = [], ""
+        for kind, value, optional in [*items, ("any", None, False)]:
+            if kind == "text" and not optional:
+                run += value
+                continue
+            if run:
+                runs.append((run,))
+            run = ""
+            if kind == "group" and not optional:
+                runs.append(_needed(value))
+        runs = [r for r in runs if r]
+        if not runs:
+            return None
+        found += max(runs, key=lambda r: (min(map(len, r)), -len(r)))
+    return tuple(dict.fromkeys(found))
+
+
+def keywords(expression: str) -> tuple[str, ...]:
+    """The keywords of a rule, worked out from its expression: every match has one of them."""
+    branches, _ = _sequence(expression, 0, "")
+    return _needed(branches)
+
 
 def rules() -> list[Rule]:
     """Base phrases, every name in every form, and the rules of their own, strongest first."""
-    out = [Rule(BASE_PRIORITY, 1.0, label, max(phrase.split(), key=len), phrase) for phrase, label in BASE.items()]
-    for label, keyword, ident, name in NAMES:
-        out += [Rule(p, w, label, SPDX if form.startswith(SPDX) else keyword, form.format(n=f"({name})", i=f"({ident})")) for p, w, form in FORMS]
+    out = [Rule(BASE_PRIORITY, 1.0, label, phrase) for phrase, label in BASE.items()]
+    for label, ident, name in NAMES:
+        out += [Rule(p, w, label, form.format(n=f"({name})", i=f"({ident})")) for p, w, form in FORMS]
     out += [Rule(*r) for r in OWN]
     return sorted(out, key=lambda r: -r.priority)
 
@@ -174,10 +377,10 @@ def spans(words: Column, table: list[Rule] | None = None) -> Column:
     table = table or rules()
     families = {}
     for r in table:
-        families.setdefault(r.keyword, []).append(r)
+        families.setdefault(r.keywords, []).append(r)
     literal = F.array(
         *[
-            F.struct(F.array(*[F.lit(f" {x}") for x in k.split("|")]).alias("keywords"), F.array(*[F.struct(F.lit(r.expression).alias("expression"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight")) for r in found]).alias("rules"))
+            F.struct(F.array(*[F.lit(x) for x in k]).alias("keywords"), F.array(*[F.struct(F.lit(r.expression).alias("expression"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight")) for r in found]).alias("rules"))
             for k, found in families.items()
         ]
     )

@@ -12,7 +12,7 @@ def plain(text):
 
 def test_rules_are_many_and_ordered():
     table = licenses.rules()
-    assert len(table) > 200 and [r.priority for r in table] == sorted((r.priority for r in table), reverse=True)
+    assert len(table) > 600 and len(licenses.OWN) > 80 and [r.priority for r in table] == sorted((r.priority for r in table), reverse=True)
     for r in table:
         re.compile(r.expression)
 
@@ -72,23 +72,6 @@ def test_many_places_in_a_long_text(spark):
     assert (r.n_base, r.first_word, r.last_word, r.n_words) == (2000, 4, 4 + 8 * 1999, 16_000)
 
 
-def test_every_rule_passes_the_gate():
-    def shortest(expression):
-        """A text that the expression matches, without its optional parts."""
-        while True:
-            new = re.sub(r"\((?:[^()|]*)\)\?|.\?", "", expression, count=1) if "?" in expression else expression
-            new = re.sub(r"\(([^()|]*)(?:\|[^()]*)?\)(?!\?)", r"\1", new, count=1)
-            if new == expression:
-                return re.sub(r"\[(.)[^]]*\]\+?", r"\1", new)
-            expression = new
-
-    for r in licenses.rules():
-        text = f" {shortest(r.expression)} "
-        if re.search(rf"(?<= )({r.expression})(?= )", text):  # the shortening is only a guess
-            assert re.search(licenses.GATE, text), r
-    assert sum(bool(re.search(rf"(?<= )({r.expression})(?= )", f" {shortest(r.expression)} ")) for r in licenses.rules()) > 150
-
-
 def test_every_match_has_a_keyword_of_its_rule():
     from re import _parser
 
@@ -113,7 +96,7 @@ def test_every_match_has_a_keyword_of_its_rule():
         for optional in (False, True):
             for text in texts(_parser.parse(r.expression), optional):
                 assert re.fullmatch(r.expression, text), (r, text)
-                assert any(f" {k}" in f" {text} " for k in r.keyword.split("|")), (r, text)
+                assert any(k in f" {text} " for k in r.keywords), (r, text)
                 assert re.search(licenses.GATE, f" {text} "), (r, text)
 
 
@@ -126,3 +109,33 @@ def test_identifiers_and_long_names_alone(spark):
         "under the do what the fuck you want to public license",
     )
     assert got == ["gpl-2", "mpl-2", "eupl-1", "wtfpl"]
+
+
+def test_gated_scan_equals_the_ungated_one(spark):
+    """Every alternative of every rule as a text of its own: gates hide no match."""
+    from re import _parser
+
+    def texts(items):
+        out = [""]
+        for op, arg in items:
+            if op is _parser.LITERAL:
+                found = [chr(arg)]
+            elif op is _parser.IN:
+                found = [chr(arg[-1][1] if arg[-1][0] is _parser.LITERAL else arg[-1][1][1])]
+            elif op is _parser.SUBPATTERN:
+                found = texts(arg[3])
+            elif op is _parser.BRANCH:
+                found = [t for branch in arg[1] for t in texts(branch)]
+            else:
+                found = texts(arg[2])[:1] + ([""] if not arg[0] else [])
+            out = [a + b for a in out[:40] for b in found[:12]]
+        return out
+
+    made = sorted({t for r in licenses.rules() for t in texts(_parser.parse(r.expression))[:12]})
+    table = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = {r.doc_id: sorted(tuple(s) for s in r.spans) for r in licenses.scan(table.repartition(8)).collect()}
+    found = [(r, re.compile(f"(?<= )({r.expression})(?= )")) for r in licenses.rules()]
+    for i, text in list(enumerate(made))[:: max(1, len(made) // 700)]:
+        words = f" {text} "
+        want = sorted((words[: m.start()].count(" ") - 1, -(words[: m.end()].count(" ") - 1), -r.priority, r.label, r.weight) for r, p in found for m in p.finditer(words))
+        assert got[i] == want, text

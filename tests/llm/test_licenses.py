@@ -133,7 +133,7 @@ def test_gated_scan_equals_the_ungated_one(spark):
 
     made = sorted({t for r in licenses.rules() for t in texts(_parser.parse(r.expression))[:12]})
     table = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
-    got = {r.doc_id: sorted(tuple(s) for s in r.spans) for r in licenses.scan(table.repartition(8)).collect()}
+    got = {r.id: sorted(tuple(s) for s in r.spans) for r in licenses.scan(table.repartition(8)).collect()}
     found = [(r, re.compile(f"(?<= )({r.expression})(?= )")) for r in licenses.rules()]
     for i, text in list(enumerate(made))[:: max(1, len(made) // 700)]:
         words = f" {text} "

@@ -5,6 +5,8 @@ Addresses are DECIMAL(20,0), so that all of u64 fits; text forms are made at the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,53 @@ def parse_address(text: Column) -> Column:
     return (sign * found).cast(ADDRESS)
 
 
+def address_literal(text: str) -> int | None:
+    """The same literals for one value of the driver; None if it is none."""
+    t = text.strip().lower().replace("_", "")
+    sign, body = (-1, t[1:]) if t[:1] == "-" else (1, t.removeprefix("+"))
+    for pattern, base in (("0x[0-9a-f]+", 16), ("0b[01]+", 2), ("0o[0-7]+", 8), ("[0-9]+", 10), ("[0-9a-f]+", 16)):
+        if re.fullmatch(pattern, body):
+            return sign * int(body, base)
+    return None
+
+
+def permissions(r: Column, w: Column, x: Column) -> Column:
+    """``rwx`` with ``-`` for what is missing."""
+    return F.concat(*[F.when(c, letter).otherwise("-") for c, letter in ((r, "r"), (w, "w"), (x, "x"))])
+
+
+def pointers(content: Column, offset: Column, bits: int, endian: str = "little") -> Column:
+    """The number stored at a byte offset, as wide as a pointer; null beyond the end."""
+    size = bits // 8
+    raw = F.substring(content, offset.cast("int") + 1, F.lit(size))
+    text = F.hex(raw)
+    if endian == "little":
+        text = F.concat(*[F.substring(text, 2 * i + 1, 2) for i in reversed(range(size))])
+    return F.when((offset >= 0) & (F.octet_length(raw) == size), F.conv(text, 16, 10).cast(ADDRESS))
+
+
+def read_at(points: DataFrame, images: DataFrame, sections: DataFrame, by: list[str], length: int, va: str = "va", out: str = "bytes", width: float | None = None) -> DataFrame:
+    """``points`` with up to ``length`` bytes at their addresses, clipped to the section's file bytes; null if there are none.
+
+    ``images`` has ``by`` and ``content``.
+    """
+    spans = sections.withColumn("va_end", F.col("va") + F.greatest("vsize", "filesize")).withColumn("__start", F.col("va"))
+    got = locate(points, spans.withColumnRenamed("va", "__va"), by, va, "__va", "va_end", ["__start", "fileoff", "filesize"], width=width)
+    delta = F.col(va) - F.col("__start")
+    got = got.withColumns({"__at": (F.col("fileoff") + delta).cast("int"), "__n": F.least(F.lit(length), F.col("filesize") - delta).cast("int")})
+    read = F.when(F.col("__n") > 0, F.substring(F.col("content"), F.col("__at") + 1, F.col("__n")))
+    return got.join(images.select(*by, "content"), by, "left").withColumn(out, read).drop("content", "__start", "fileoff", "filesize", "__at", "__n")
+
+
+def unmapped(points: DataFrame, sections: DataFrame, by: list[str], va: str = "va", width: float | None = None) -> DataFrame:
+    """The points that no section holds, each with its image's section table as text (what an address error shows)."""
+    spans = sections.withColumn("va_end", F.col("va") + F.greatest("vsize", "filesize")).withColumn("__start", F.col("va"))
+    got = locate(points, spans.withColumnRenamed("va", "__va"), by, va, "__va", "va_end", ["__start"], width=width)
+    line = F.concat_ws(" ", F.col("name"), hex_text(F.col("va")), hex_text(F.col("va") + F.greatest("vsize", "filesize")))
+    listed = sections.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(line)), "; ").alias("sections"))
+    return got.where(F.col("__start").isNull()).drop("__start").join(listed, by, "left")
+
+
 def locate(points: DataFrame, sections: DataFrame, by: list[str], point: str, start: str, end: str, take: list[str], ordinal: str | None = None, width: float | None = None) -> DataFrame:
     """``points`` with ``take`` of the section they are in, null if in none.
 
@@ -48,35 +97,36 @@ def locate(points: DataFrame, sections: DataFrame, by: list[str], point: str, st
     return got.select(*others, *[F.when(inside, F.col(c)).alias(c) for c in take])
 
 
-def offset_to_va(points: DataFrame, sections: DataFrame, by: list[str], offset: str = "offset", out: str = "va") -> DataFrame:
+def offset_to_va(points: DataFrame, sections: DataFrame, by: list[str], offset: str = "offset", out: str = "va", width: float | None = None) -> DataFrame:
     """The virtual address of a file offset, null if no section's file bytes hold it."""
     files = sections.withColumn("file_end", F.col("fileoff") + F.col("filesize")).withColumnRenamed("va", "__va")
-    got = locate(points, files, by, offset, "fileoff", "file_end", ["__va", "fileoff"])
+    got = locate(points, files, by, offset, "fileoff", "file_end", ["__va", "fileoff"], width=width)
     return got.withColumn(out, (F.col("__va") + F.col(offset) - F.col("fileoff")).cast(ADDRESS)).drop("__va", "fileoff")
 
 
-def va_to_offset(points: DataFrame, sections: DataFrame, by: list[str], va: str = "va", out: str = "offset") -> DataFrame:
+def va_to_offset(points: DataFrame, sections: DataFrame, by: list[str], va: str = "va", out: str = "offset", width: float | None = None) -> DataFrame:
     """The file offset of a virtual address, null if unmapped or in a section's virtual tail."""
     spans = sections.withColumn("va_end", F.col("va") + F.greatest("vsize", "filesize")).withColumn("__start", F.col("va"))
-    got = locate(points, spans.withColumnRenamed("va", "__va"), by, va, "__va", "va_end", ["__start", "fileoff", "filesize"])
+    got = locate(points, spans.withColumnRenamed("va", "__va"), by, va, "__va", "va_end", ["__start", "fileoff", "filesize"], width=width)
     delta = F.col(va) - F.col("__start")
     return got.withColumn(out, F.when(delta < F.col("filesize"), F.col("fileoff") + delta).cast("long")).drop("__start", "fileoff", "filesize")
 
 
-def translate(points: DataFrame, sections: DataFrame, images: DataFrame, by: list[str], address: str = "address") -> DataFrame:
+def translate(points: DataFrame, sections: DataFrame, images: DataFrame, by: list[str], address: str = "address", width: float | None = None) -> DataFrame:
     """Up to three readings of each address (as virtual, relative, file offset) with section and file bytes.
 
-    Adds ``space, va, rva, offset, section, mapped, has_file_bytes``.
+    Adds ``space, va, rva, offset, section, mapped, has_file_bytes`` and, where the sections say, ``perms``.
     """
+    told = {"r", "w", "x"} <= set(sections.columns)
     based = points.join(images.select(*by, "image_base"), by)
     raw = F.col(address).cast(ADDRESS)
     as_va = based.select("*", F.lit("va").alias("space"), raw.alias("va"))
     as_rva = based.select("*", F.lit("rva").alias("space"), (raw + F.col("image_base")).cast(ADDRESS).alias("va"))
-    as_file = offset_to_va(based.withColumn("__off", raw), sections, by, "__off").select(*based.columns, F.lit("file").alias("space"), "va")
-    spans = sections.withColumn("va_end", F.col("va") + F.greatest("vsize", "filesize")).select(*by, F.col("va").alias("__start"), "va_end", F.col("name").alias("section"))
+    as_file = offset_to_va(based.withColumn("__off", raw), sections, by, "__off", width=width).select(*based.columns, F.lit("file").alias("space"), "va")
+    spans = sections.withColumn("va_end", F.col("va") + F.greatest("vsize", "filesize")).select(*by, F.col("va").alias("__start"), "va_end", F.col("name").alias("section"), *([permissions(F.col("r"), F.col("w"), F.col("x")).alias("perms")] if told else []))
     every = as_va.unionByName(as_rva).unionByName(as_file)
-    named = locate(every, spans, by, "va", "__start", "va_end", ["section"])
-    got = va_to_offset(named, sections, by)
+    named = locate(every, spans, by, "va", "__start", "va_end", ["section", *(["perms"] if told else [])], width=width)
+    got = va_to_offset(named, sections, by, width=width)
     return got.withColumns(
         {"rva": (F.col("va") - F.col("image_base")).cast(ADDRESS), "mapped": F.col("section").isNotNull(), "has_file_bytes": F.col("offset").isNotNull()}
     ).drop("image_base")

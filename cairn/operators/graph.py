@@ -21,13 +21,65 @@ def degrees(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return ends.groupBy("node").agg(F.sum("out").alias("callees"), F.sum("into").alias("callers"))
 
 
+def busiest(calls: DataFrame, names: DataFrame | None = None, imports: DataFrame | None = None, k: int | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """Functions by degree, greatest first (ties by node): ``node, name, callees, callers, imports_used``.
+
+    ``calls``: ``src, dst``; ``imports``: ``src, name`` of what a function uses;
+    ``names``: ``node, name`` and, where several name a node, ``ord`` (the last counts).
+    ``starts`` (``node``) lists functions that are to appear without any call, too.
+    """
+    got = degrees(calls)
+    if starts is not None:
+        got = starts.select("node").distinct().join(got, "node", "left")
+    if imports is None:
+        got = got.withColumn("imports_used", F.lit(0).cast("long"))
+    else:
+        used = imports.groupBy(F.col("src").alias("node")).agg(F.countDistinct("name").alias("imports_used"))
+        got = got.join(used, "node", "left")
+    got = got.na.fill(0, ["callees", "callers", "imports_used"])
+    if names is None:
+        got = got.withColumn("name", F.lit(None).cast("string"))
+    else:
+        last = F.max_by("name", "ord") if "ord" in names.columns else F.max("name")
+        got = got.join(names.groupBy("node").agg(last.alias("name")), "node", "left")
+    got = got.select("node", "name", "callees", "callers", "imports_used").orderBy(F.desc(F.col("callees") + F.col("callers")), "node")
+    return got if k is None else got.limit(k)
+
+
+def widest(calls: DataFrame, k: int = 25) -> DataFrame:
+    """Functions by distinct callees, greatest first (ties by node): ``node, callees``."""
+    per = calls.select("src", "dst").distinct().groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("callees"))
+    return per.orderBy(F.desc("callees"), "node").limit(k)
+
+
+def summary(sites: DataFrame) -> DataFrame:
+    """One row of totals over call sites (``src`` null: in no function; ``dst`` null: indirect; ``kind`` call or import)."""
+    direct = F.col("dst").isNotNull()
+    pairs = sites.groupBy("kind", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    per = pairs.groupBy("kind", "src").agg(F.count_if(direct).alias("callees"), F.sum(F.when(direct, F.col("n"))).alias("sites"), F.sum(F.when(~direct, F.col("n"))).alias("indirect"), F.sum("n").alias("all"))
+    call, known = F.col("kind") == "call", F.col("src").isNotNull() & (F.col("callees") > 0)
+
+    def total(when, value):
+        return F.coalesce(F.sum(F.when(when, F.col(value))), F.lit(0))
+
+    return per.agg(
+        F.count_if(call & known).alias("functions"),
+        total(call & known, "callees").alias("edges"),
+        F.max(F.when(call & known, F.col("callees"))).alias("widest"),
+        total(call & known, "sites").alias("sites"),
+        total(call & F.col("src").isNull(), "sites").alias("unattributed"),
+        total(call, "indirect").alias("indirect"),
+        total(F.col("kind") == "import", "all").alias("import_sites"),
+    )
+
+
 def reach(edges: DataFrame, start: DataFrame, depth: int | None, src: str = "src", dst: str = "dst") -> DataFrame:
     """``origin, node, level``: nodes reached from every ``start`` row (``origin``), at their least level (0 is the start).
 
     One join and one anti-join per level; each level is written to the shared
     folder, so that plans stay short. ``depth=None`` goes on until nothing is new.
     """
-    steps = edges.select(F.col(src).alias("__s"), F.col(dst).alias("__d")).distinct()
+    steps = cut(edges.select(F.col(src).alias("__s"), F.col(dst).alias("__d")).distinct(), "steps")
     seen = cut(start.select("origin", F.col("origin").alias("node"), F.lit(0).alias("level")).distinct(), "reach")
     front, level = seen, 0
     while depth is None or level < depth:
@@ -74,11 +126,8 @@ def cyclomatic(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
 # ---- one graph per task: control flow graphs are small
 
 
-def dominator_sets(nodes: list, succ: dict, entry) -> dict:
-    """For every node the set of its dominators; a node that ``entry`` does not reach has itself alone.
-
-    Sets shrink to the intersection over predecessors, in reverse postorder, until nothing changes.
-    """
+def reverse_postorder(nodes: list, succ: dict, entry) -> list:
+    """Nodes in reverse postorder from ``entry``; those it does not reach follow in their given order."""
     order, seen, stack = [], {entry}, [(entry, iter(succ.get(entry, ())))]
     while stack:
         node, rest = stack[-1]
@@ -91,6 +140,15 @@ def dominator_sets(nodes: list, succ: dict, entry) -> dict:
             order.append(node)
             stack.pop()
     order.reverse()
+    return order + [n for n in nodes if n not in seen]
+
+
+def dominator_sets(nodes: list, succ: dict, entry) -> dict:
+    """For every node the set of its dominators; a node that ``entry`` does not reach has itself alone.
+
+    Sets shrink to the intersection over predecessors, in reverse postorder, until nothing changes.
+    """
+    order = [n for n in reverse_postorder([], succ, entry)]
     pred = {}
     for n in order:
         for s in succ.get(n, ()):
@@ -172,6 +230,26 @@ def post_dominators(edges: DataFrame, by: str) -> DataFrame:
     return edges.select(by, "src", "dst").groupBy(by).applyInPandas(run, f"{by} {kind}, node long, dominators array<long>, idom long")
 
 
+def back_edges(edges: DataFrame, by: str, entry: str = "entry") -> DataFrame:
+    """Edges whose head dominates their tail: ``by, tail, header``; a node's edge to itself is one."""
+    return loops(edges, by, entry).select(by, "tail", "header")
+
+
+def rollup(edges: DataFrame, by: str, entry: str = "entry") -> DataFrame:
+    """One row a graph: ``nodes, edges, complexity, loops, depth, exits, single_exit`` and its nodes in reverse postorder."""
+
+    def run(pdf):
+        nodes, succ = _graph(pdf)
+        first = int(pdf[entry].iloc[0])
+        found = natural_loops(nodes, succ, first)
+        n_edges, exits = sum(map(len, succ.values())), sum(not succ.get(n) for n in nodes)
+        row = (pdf[by].iloc[0], len(nodes), n_edges, n_edges - len(nodes) + 2, len(found), max((x["depth"] for x in found), default=0), exits, exits == 1, reverse_postorder(nodes, succ, first))
+        return pd.DataFrame([row], columns=[by, "nodes", "edges", "complexity", "loops", "depth", "exits", "single_exit", "order"])
+
+    kind = edges.schema[by].dataType.simpleString()
+    return edges.select(by, "src", "dst", entry).groupBy(by).applyInPandas(run, f"{by} {kind}, nodes int, edges int, complexity int, loops int, depth int, exits int, single_exit boolean, order array<long>")
+
+
 def loops(edges: DataFrame, by: str, entry: str = "entry") -> DataFrame:
     """Natural loops of every graph: ``by, header, tail, body, exits, depth``."""
     names = ["header", "tail", "body", "exits", "depth"]

@@ -39,6 +39,12 @@ def universe(own: DataFrame, provided: DataFrame, name: str = "name", order: str
     return first_definition(both, [name], ["__side", F.col(order)]).drop("__side")
 
 
+def counted_members(members: DataFrame, classes: DataFrame, by: tuple[str, ...] = ("order",)) -> DataFrame:
+    """Members of the definitions that count: those of an overridden copy of a class are no longer there."""
+    first = classes.select(F.col("name").alias("owner"), *by).distinct()
+    return members.join(first, ["owner", *by], "left_semi")
+
+
 def missing_owners(requirements: DataFrame, classes: DataFrame) -> DataFrame:
     """Required classes that nothing provides, each with its first witness: ``owner, from_class, uses``.
 
@@ -140,10 +146,31 @@ def broken_overrides(classes: DataFrame, interfaces: DataFrame, members: DataFra
     return close.groupBy("owner", "name", "descriptor").agg(F.slice(F.array_sort(F.collect_set(F.concat_ws(".", "node", F.concat("name", "other")))), 1, listed).alias("overrides"))
 
 
+#: What data files are called, and folders that hold none.
+DATA_SUFFIXES, NO_DATA = ("csv", "json", "faction", "ship", "variant"), ("out", "test-out", "build", "target", "lib", "jars", "src")
+#: A qualified class name: lower-case packages, then a capital.
+CLASS_NAME = r"\b((?:[a-z][A-Za-z0-9_]*\.)+[A-Z][A-Za-z0-9_$]*)\b"
+
+
+def is_data_path(path: Column) -> Column:
+    """Whether a path (relative to the folder asked about) is a data file's: under ``data`` or at the top, no hidden part."""
+    parts = F.split(path, "/")
+    suffix = F.element_at(F.split(path, r"\."), -1).isin(*DATA_SUFFIXES)
+    hidden = F.exists(parts, lambda p: F.startswith(p, F.lit(".")))
+    first = F.element_at(parts, 1)
+    return suffix & ~hidden & ~first.isin(*NO_DATA) & ((first == "data") | (F.size(parts) == 1))
+
+
+def class_names(texts: DataFrame, file: str, value: str) -> DataFrame:
+    """``file, class``: the qualified class names in data files, each once a file."""
+    names = F.array_distinct(F.regexp_extract_all(value, F.lit(CLASS_NAME), F.lit(1)))
+    return texts.select(F.col(file).alias("file"), F.explode(names).alias("class")).distinct()
+
+
 def data_references(refs: DataFrame, classes: DataFrame, listed: int = 4) -> DataFrame:
     """Classes that data files name (``class, file``) and nothing defines: ``missing`` if the package is ours, else ``unresolved_external``."""
     package = F.regexp_extract("class", r"^(.*)\.[^.]*$", 1)
     own = classes.select(F.regexp_extract("name", r"^(.*)\.[^.]*$", 1).alias("package"), F.lit(True).alias("own")).distinct()
-    lost = refs.join(classes.select(F.col("name").alias("class")), "class", "left_anti").withColumn("package", package)
+    lost = refs.where(~is_platform(F.col("class"))).join(classes.select(F.col("name").alias("class")), "class", "left_anti").withColumn("package", package)
     rolled = lost.groupBy("class", "package").agg(F.countDistinct("file").alias("files"), F.slice(F.array_sort(F.collect_set("file")), 1, listed).alias("listed"))
     return rolled.join(own, "package", "left").select("class", "files", "listed", F.when(F.col("own"), "missing").otherwise("unresolved_external").alias("kind"))

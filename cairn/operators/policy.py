@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.asof import next_join
+
 #: Class, cap on confidence, verifiable, needs an artifact.
 PROVENANCE = [
     ("structural_guess", 0.20, False, False),
@@ -35,20 +37,27 @@ def _caps(classes: Column) -> Column:
     return F.array_max(F.transform(classes, lambda c: F.element_at(caps, c)))
 
 
+def last_of_kind(evidence: Column) -> Column:
+    """The entries of an evidence array after which no other of their kind comes: the last of every kind counts."""
+    later = lambda e, i: F.exists(F.slice(evidence, i + 2, F.greatest(F.size(evidence), F.lit(1))), lambda x: x["kind"].eqNullSafe(e["kind"]))
+    return F.filter(evidence, lambda e, i: ~later(e, i))
+
+
 def evaluate(claims: DataFrame, verified: str | None = None) -> DataFrame:
     """``claims`` with ``cap``, ``violations`` (in the order of the rules) and ``accepted``.
 
     ``claims``: ``confidence`` (double), ``provenance`` (array), ``evidence``
-    (array of structs with ``kind`` and ``artifact``). ``verified`` names an
-    array column of the classes whose evidence a verifier has confirmed; without
-    it nothing is asked of verifiers.
+    (array of structs with ``kind`` and ``artifact``; of a kind the last entry
+    counts). ``verified`` names an array column of the classes whose evidence a
+    verifier has confirmed (see ``verified_classes``); without it nothing is asked
+    of verifiers.
     """
     known = F.array(*[F.lit(n) for n, *_ in PROVENANCE])
     need_artifact = F.array(*[F.lit(n) for n, _, _, a in PROVENANCE if a])
     checkable = F.array(*[F.lit(n) for n, _, v, _ in PROVENANCE if v])
     classes = F.array_distinct(F.coalesce("provenance", F.array().cast("array<string>")))
     kinds = F.transform(F.coalesce(F.col("evidence"), F.array().cast(claims.schema["evidence"].dataType)), lambda e: e["kind"])
-    proven = F.transform(F.filter("evidence", lambda e: F.coalesce(F.length(F.trim(e["artifact"])) > 0, F.lit(False))), lambda e: e["kind"])
+    proven = F.transform(F.filter(last_of_kind(F.col("evidence")), lambda e: F.coalesce(F.length(F.trim(e["artifact"])) > 0, F.lit(False))), lambda e: e["kind"])
     c = F.col("confidence")
     cap = _caps(F.array_intersect(classes, known))
     rules = [
@@ -67,11 +76,82 @@ def evaluate(claims: DataFrame, verified: str | None = None) -> DataFrame:
     return claims.withColumns({"cap": cap, "violations": out}).withColumn("accepted", F.size("violations") == 0)
 
 
-def verify_site(claims: DataFrame, sites: DataFrame, by: list[str], low: str, high: str, site: str, out: str = "verified") -> DataFrame:
-    """Whether any site of the claim's key lies in ``[low, high)``."""
-    keyed = claims.withColumn("__row", F.monotonically_increasing_id())
-    hit = keyed.join(sites.select(*by, site), by).where((F.col(site) >= F.col(low)) & (F.col(site) < F.col(high))).select("__row").distinct().withColumn("__hit", F.lit(True))
-    return keyed.join(hit, "__row", "left").withColumn(out, F.coalesce("__hit", F.lit(False))).drop("__row", "__hit")
+def verify_site(claims: DataFrame, sites: DataFrame, by: list[str], low: str, high: str, site: str, out: str = "verified", width: float | None = None) -> DataFrame:
+    """Whether any site of the claim's key lies in ``[low, high)``: the first site at or after ``low`` is compared with ``high``."""
+    left = claims.withColumn("__at", F.col(low))
+    right = sites.select(*by, F.col(site).alias("__at"), F.col(site).alias("__site"))
+    got = next_join(left, right, by, "__at", ["__site"], width)
+    return got.withColumn(out, F.coalesce(F.col("__site") < F.col(high), F.lit(False))).select(*claims.columns, out)
+
+
+# ---- verifiers: each returns the ``claim`` keys whose evidence the image bears out
+#
+# Claims have ``claim, sha256, va, low, high`` (the function's extent) and what
+# their evidence names; a claim that names nothing is not borne out.
+
+
+def _inside(sites: DataFrame) -> DataFrame:
+    return sites.where((F.col("site") >= F.col("low")) & (F.col("site") < F.col("high"))).select("claim").distinct()
+
+
+def verify_string_xref(claims: DataFrame, places: DataFrame, refs: DataFrame) -> DataFrame:
+    """A reference in the extent to a place of the claim's ``string``; ``places``: ``sha256, string, va``, ``refs``: ``sha256, site, target`` (all of them, not a capped list)."""
+    found = claims.where(F.length("string") > 0).join(places.select("sha256", "string", F.col("va").alias("target")), ["sha256", "string"])
+    return _inside(found.join(refs.select("sha256", "site", "target"), ["sha256", "target"]))
+
+
+def verify_import_xref(claims: DataFrame, import_sites: DataFrame, slots: DataFrame, refs: DataFrame) -> DataFrame:
+    """A call in the extent of an import whose qualified name has the claim's ``import`` in it (ignoring case), or a reference to its slot.
+
+    ``import_sites``: ``sha256, site, qualified``; ``slots``: ``sha256, slot, qualified``.
+    """
+    wanted = claims.where(F.length("import") > 0)
+    names = import_sites.select("sha256", "qualified").unionByName(slots.select("sha256", "qualified")).distinct()
+    named = wanted.join(names, "sha256").where(F.contains(F.lower("qualified"), F.lower("import")))
+    called = named.join(import_sites.select("sha256", "qualified", "site"), ["sha256", "qualified"])
+    kept = named.join(slots.select("sha256", "qualified", F.col("slot").alias("target")), ["sha256", "qualified"]).join(refs.select("sha256", "site", "target"), ["sha256", "target"])
+    return _inside(called.select("claim", "low", "high", "site").unionByName(kept.select("claim", "low", "high", "site")))
+
+
+def verify_constant_xref(claims: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """The claim's ``constant`` is among the constants of the function that starts at its address."""
+    wanted = claims.where(F.col("constant").isNotNull())
+    return wanted.join(fingerprints.select("sha256", "va", "constants"), ["sha256", "va"]).where(F.array_contains("constants", F.col("constant").cast("long"))).select("claim").distinct()
+
+
+def verify_callgraph_position(claims: DataFrame, calls: DataFrame) -> DataFrame:
+    """The function calls the claim's ``calls``, or is called by its ``called_by``; ``calls``: ``sha256, src, dst``."""
+    edges = calls.select("sha256", "src", "dst").distinct()
+    down = claims.where(F.col("calls").isNotNull()).join(edges, (claims["sha256"] == edges["sha256"]) & (F.col("va") == F.col("src")) & (F.col("calls") == F.col("dst"))).select("claim")
+    up = claims.where(F.col("called_by").isNotNull()).join(edges, (claims["sha256"] == edges["sha256"]) & (F.col("va") == F.col("dst")) & (F.col("called_by") == F.col("src"))).select("claim")
+    return down.union(up).distinct()
+
+
+def verify_named(claims: DataFrame, symbols: DataFrame) -> DataFrame:
+    """A symbol (or export) at the claim's address."""
+    return claims.join(symbols.select("sha256", "va").distinct(), ["sha256", "va"], "left_semi").select("claim").distinct()
+
+
+#: What a match must reach to be evidence.
+MATCH_SCORE, MATCH_AGREEING = 0.55, 2
+
+
+def verify_cross_build_match(claims: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """The claim's ``score`` and ``agreeing`` reach what a match needs, and, where ``matches`` (``va, matched_build, score``) are stored, one of them says so."""
+    good = claims.where((F.col("score") >= MATCH_SCORE) & (F.col("agreeing") >= MATCH_AGREEING) & (F.length("matched_build") > 0))
+    if matches is not None:
+        good = good.join(matches.where(F.col("score") >= MATCH_SCORE).select("va", "matched_build").distinct(), ["va", "matched_build"], "left_semi")
+    return good.select("claim").distinct()
+
+
+def verified_classes(claims: DataFrame, found: dict[str, DataFrame], out: str = "verified") -> DataFrame:
+    """``claims`` with the sorted classes whose verifiers returned them (empty: none)."""
+    rows = None
+    for name, keys in found.items():
+        one = keys.select("claim", F.lit(name).alias("__class"))
+        rows = one if rows is None else rows.unionByName(one)
+    listed = rows.groupBy("claim").agg(F.array_sort(F.collect_set("__class")).alias(out))
+    return claims.join(listed, "claim", "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
 def register_builds(known: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -120,7 +120,7 @@ def policy_evaluate(spark, sf_dir):
     """,
 )
 def kb_upsert_history(spark, sf_dir):
-    """KBS-10, KBS-11: events as saves of a symbol: the last one, how many came before, the last confidence."""
+    """KBS-11: events as saves of a symbol: the last one, how many came before, the last confidence."""
     saves = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", F.col("value").alias("confidence"))
     got = policy.revisions(saves, ["user_id", "event_type"], ["ts"])
     return got.select("user_id", "event_type", "event_id", "confidence", "revisions", "previous_confidence", "downgraded")
@@ -144,21 +144,181 @@ def kb_lookup(spark, sf_dir):
     """,
 )
 def verify_site_interval(spark, sf_dir):
-    """JON-13, KBS-03..09: whether any site of the claim's image lies in its extent."""
+    """JON-13: whether any site of the claim's image lies in its extent."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     claims = events.where("event_type = 'purchase'").select("user_id", "event_id", F.col("event_id").alias("low"), (F.col("event_id") + 200).alias("high"))
     sites = events.where("event_type = 'error'").select("user_id", F.col("event_id").alias("site"))
-    return policy.verify_site(claims, sites, ["user_id"], "low", "high", "site").select("event_id", "verified")
+    return policy.verify_site(claims, sites, ["user_id"], "low", "high", "site", width=5000.0).select("event_id", "verified")
+
+
+#: Orders as claims about functions: order k of customer u is the function at address k of image u, 100 long; line items are its sites.
+FUNCTION = ["o_orderkey AS claim", "CAST(o_custkey % 50 AS STRING) AS sha256", "o_orderkey AS va", "o_orderkey AS low", "o_orderkey + 100 AS high"]
+EVIDENCE = {
+    "string_xref": "concat('s', o_orderkey % 7) AS string",
+    "import_xref": "IF(o_orderkey % 4 = 0, '', concat('FUN', o_orderkey % 9)) AS import",
+    "constant_xref": "IF(o_orderkey % 5 = 0, NULL, o_orderkey % 11) AS constant",
+    "callgraph_position": "o_orderkey + 3 AS calls, IF(o_orderkey % 2 = 0, o_orderkey + 5, NULL) AS called_by",
+    "cross_build_match": "CAST(o_orderkey % 10 AS DOUBLE) / 10 AS score, CAST(o_orderkey % 4 AS INT) AS agreeing, concat('b', o_orderkey % 3) AS matched_build",
+}
+
+
+def function_claims(spark, sf_dir):
+    return table(spark, sf_dir, "orders").selectExpr(*FUNCTION, *[e for v in EVIDENCE.values() for e in _expressions(v)])
+
+
+def _expressions(text: str) -> list[str]:
+    """Comma-separated ``expression AS name`` items (commas inside parentheses belong to an item)."""
+    out, depth, item = [], 0, ""
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(item.strip())
+            item = ""
+        else:
+            item += c
+    return [*out, item.strip()]
+
+
+def claim_sites(spark, sf_dir):
+    """References (``sha256, site, target``): line l of order k refers from k + 10 l to target (part % 40) of the image."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.selectExpr("CAST(o_custkey % 50 AS STRING) AS sha256", "o_orderkey + 10 * l_linenumber AS site", "l_partkey % 40 AS target", "concat('lib!Fun', l_suppkey % 9, '_') AS qualified", "l_linenumber")
+
+
+CLAIMS_SQL = """
+    c AS (SELECT o_orderkey AS claim, o_custkey % 50 AS img, o_orderkey AS va, o_orderkey AS low, o_orderkey + 100 AS high FROM orders),
+    r AS (SELECT o_custkey % 50 AS img, o_orderkey + 10 * l_linenumber AS site, l_partkey % 40 AS target, 'lib!Fun' || (l_suppkey % 9) || '_' AS qualified, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+"""
+
+
+@query(
+    "verify_string_xref",
+    f"WITH {CLAIMS_SQL} SELECT DISTINCT claim FROM c JOIN r ON r.img = c.img AND site >= low AND site < high WHERE target < 14 AND target % 7 = claim % 7",
+)
+def verify_string_xref(spark, sf_dir):
+    """KBS-03, JON-13: a reference in the extent to a place of the claimed string; strings s0 to s6 stand at targets 0 to 13."""
+    claims, refs = function_claims(spark, sf_dir), claim_sites(spark, sf_dir)
+    places = spark.range(50).selectExpr("CAST(id AS STRING) AS sha256", "explode(sequence(0L, 13L)) AS va").selectExpr("sha256", "va", "concat('s', va % 7) AS string")
+    return policy.verify_string_xref(claims, places, refs)
+
+
+@query(
+    "verify_import_xref",
+    f"""
+    WITH {CLAIMS_SQL} SELECT DISTINCT claim FROM c JOIN r ON r.img = c.img AND site >= low AND site < high
+    WHERE claim % 4 <> 0 AND ((l_linenumber = 1 AND contains(lower(qualified), 'fun' || (claim % 9))) OR (target >= 30 AND (target - 30) = claim % 9))
+    """,
+)
+def verify_import_xref(spark, sf_dir):
+    """KBS-04: a call of the claimed import in the extent, or a reference to its slot; imports Fun0 to Fun8 have slots 30 to 38."""
+    refs = claim_sites(spark, sf_dir)
+    slots = spark.range(50).selectExpr("CAST(id AS STRING) AS sha256", "explode(sequence(30L, 38L)) AS slot").selectExpr("sha256", "slot", "concat('lib!Fun', slot - 30, '_') AS qualified")
+    return policy.verify_import_xref(function_claims(spark, sf_dir), refs.where("l_linenumber = 1").select("sha256", "site", "qualified"), slots, refs)
+
+
+@query(
+    "verify_constant_xref",
+    "SELECT DISTINCT o_orderkey AS claim FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 5 <> 0 AND l_partkey % 11 = o_orderkey % 11",
+)
+def verify_constant_xref(spark, sf_dir):
+    """KBS-05: the claimed constant is one of the function's."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    prints = lines.groupBy(F.expr("CAST(o_custkey % 50 AS STRING)").alias("sha256"), F.col("o_orderkey").alias("va")).agg(F.array_sort(F.collect_set(F.col("l_partkey") % 11)).alias("constants"))
+    return policy.verify_constant_xref(function_claims(spark, sf_dir), prints)
+
+
+@query(
+    "verify_callgraph_position",
+    """
+    WITH c AS (SELECT o_orderkey AS k, o_custkey % 50 AS img FROM orders)
+    SELECT k AS claim FROM c WHERE EXISTS (SELECT 1 FROM c e WHERE e.img = c.img AND e.k = c.k AND e.k % 3 = 0) OR (k % 2 = 0 AND EXISTS (SELECT 1 FROM c e WHERE e.img = c.img AND e.k = c.k + 5 AND e.k % 3 = 1))
+    """,
+)
+def verify_callgraph_position(spark, sf_dir):
+    """KBS-06: the function calls, or is called by, the claimed peer."""
+    orders = table(spark, sf_dir, "orders").selectExpr("CAST(o_custkey % 50 AS STRING) AS sha256", "o_orderkey AS k")
+    calls = orders.where("k % 3 = 0").selectExpr("sha256", "k AS src", "k + 3 AS dst").unionByName(orders.where("k % 3 = 1").selectExpr("sha256", "k AS src", "k - 5 AS dst"))
+    return policy.verify_callgraph_position(function_claims(spark, sf_dir), calls)
+
+
+@query(
+    "verify_symbols_and_exports",
+    "SELECT o_orderkey AS claim, 'symbol_table' AS class FROM orders WHERE o_orderkey % 6 = 0 UNION ALL SELECT o_orderkey, 'export_table' FROM orders WHERE o_orderkey % 10 = 0",
+)
+def verify_symbols_and_exports(spark, sf_dir):
+    """KBS-07, KBS-08: a symbol, or an export, at the claimed address."""
+    orders = table(spark, sf_dir, "orders").selectExpr("CAST(o_custkey % 50 AS STRING) AS sha256", "o_orderkey AS va")
+    claims = function_claims(spark, sf_dir)
+    named = policy.verify_named(claims, orders.where("va % 6 = 0")).withColumn("class", F.lit("symbol_table"))
+    return named.unionByName(policy.verify_named(claims, orders.where("va % 10 = 0")).withColumn("class", F.lit("export_table")))
+
+
+@query(
+    "verify_cross_build_match",
+    "SELECT o_orderkey AS claim FROM orders WHERE CAST(o_orderkey % 10 AS DOUBLE) / 10 >= 0.55 AND o_orderkey % 4 >= 2 AND o_orderkey % 3 = 1 AND o_orderkey % 7 < 5",
+)
+def verify_cross_build_match(spark, sf_dir):
+    """KBS-09: the claimed match reaches the thresholds, and a stored match says the same."""
+    stored = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 1").selectExpr("o_orderkey AS va", "'b1' AS matched_build", "IF(o_orderkey % 7 < 5, 0.9D, 0.1D) AS score")
+    return policy.verify_cross_build_match(function_claims(spark, sf_dir), stored)
+
+
+@query(
+    "verified_policy",
+    """
+    WITH k AS (SELECT o_orderkey AS id, o_orderkey % 6 = 0 AS symbol, o_orderkey % 10 = 0 AS export, CASE o_orderkey % 4 WHEN 0 THEN ['symbol_table'] WHEN 1 THEN ['symbol_table', 'export_table'] WHEN 2 THEN ['structural_guess'] ELSE ['export_table', 'community_source'] END AS classes FROM orders)
+    SELECT id, array_to_string(list_sort(list_filter([CASE WHEN export THEN 'export_table' END, CASE WHEN symbol THEN 'symbol_table' END], lambda x: x IS NOT NULL)), ',') AS verified,
+           array_to_string(list_filter([CASE WHEN (list_contains(classes, 'symbol_table') AND NOT symbol) OR (list_contains(classes, 'export_table') AND NOT export) THEN 'not_verified' END], lambda x: x IS NOT NULL), ',') AS violations
+    FROM k
+    """,
+)
+def verified_policy(spark, sf_dir):
+    """KBS-02, KBS-03b: claims with what their image bears out, and the rules they break with it."""
+    claims = function_claims(spark, sf_dir)
+    symbols = table(spark, sf_dir, "orders").selectExpr("CAST(o_custkey % 50 AS STRING) AS sha256", "o_orderkey AS va")
+    found = {"symbol_table": policy.verify_named(claims, symbols.where("va % 6 = 0")), "export_table": policy.verify_named(claims, symbols.where("va % 10 = 0"))}
+    marked = policy.verified_classes(claims, found).selectExpr(
+        "claim AS id", "verified", "0.2D AS confidence",
+        "element_at(array(array('symbol_table'), array('symbol_table', 'export_table'), array('structural_guess'), array('export_table', 'community_source')), CAST(claim % 4 + 1 AS INT)) AS provenance",
+    )
+    marked = marked.withColumn("evidence", F.transform("provenance", lambda p: F.struct(p.alias("kind"), F.lit("").alias("artifact"))))
+    return policy.evaluate(marked, "verified").select("id", F.array_join("verified", ",").alias("verified"), F.array_join("violations", ",").alias("violations"))
+
+
+@query(
+    "register_builds",
+    """
+    WITH new AS (SELECT 'b' || s_suppkey AS build_id, 'sha' || (s_suppkey % 4) AS sha256 FROM supplier), known AS (SELECT 'b' || s_suppkey AS build_id, 'sha' || (s_suppkey % 2) AS sha256 FROM supplier WHERE s_suppkey % 3 = 0)
+    SELECT build_id, sha256, 'kept' AS state FROM known
+    UNION ALL SELECT n.build_id, n.sha256, CASE WHEN k.build_id IS NULL THEN 'kept' ELSE 'rejected' END FROM new n LEFT JOIN known k ON n.build_id = k.build_id WHERE k.build_id IS NULL OR k.sha256 <> n.sha256
+    """,
+)
+def register_builds(spark, sf_dir):
+    """KBS-10: new builds are kept unless their id is known with another content."""
+    build = lambda n: ["concat('b', s_suppkey) AS build_id", f"concat('sha', s_suppkey % {n}) AS sha256"]
+    suppliers = table(spark, sf_dir, "supplier")
+    kept, rejected = policy.register_builds(suppliers.where("s_suppkey % 3 = 0").selectExpr(*build(2)), suppliers.selectExpr(*build(4)))
+    return kept.withColumn("state", F.lit("kept")).unionByName(rejected.withColumn("state", F.lit("rejected")))
+
+
+@query("policy_document", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({cap} AS DOUBLE), {str(v).lower()}, {str(a).lower()})" for n, cap, v, a in policy.PROVENANCE) + ") AS p(name, cap, verifiable, requires_artifact)")
+def policy_document(spark, sf_dir):
+    """KBS-01: the policy as a table."""
+    return policy.document(spark)
 
 
 @query(
     "evidence_json",
-    "SELECT user_id, event_type, arg_max(CAST(json_extract(props, '$.k') AS BIGINT), ts) AS k, count(*) AS n FROM events GROUP BY user_id, event_type",
+    """
+    WITH e AS (SELECT user_id, event_type AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) AS n FROM events)
+    SELECT user_id, kind, k FROM e WHERE n = 1
+    """,
 )
 def evidence_json(spark, sf_dir):
-    """JSN-01: free-form evidence, the last object of every kind wins."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by(k, "ts").alias("k"), F.count(F.lit(1)).alias("n"))
+    """JSN-01, SET-06: free-form evidence, the last object of every kind counts."""
+    entry = F.struct("ts", F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    lists = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(entry)).alias("evidence"))
+    return lists.select("user_id", F.explode(policy.last_of_kind(F.col("evidence"))).alias("e")).select("user_id", "e.kind", "e.k")
 
 
 @query(

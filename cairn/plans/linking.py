@@ -23,30 +23,122 @@ def unresolved_references(spark, sf_dir):
     return linkage.missing_owners(required, provided).withColumn("owner", F.expr("substring(owner, 2)").cast("long"))
 
 
+NONE = "CAST(array() AS ARRAY<STRING>)"
+
+
+def types(spark, sf_dir):
+    """Customers as classes that extend their nations, which extend the root; nations of regions 3 and 4 are not provided."""
+    classes = table(spark, sf_dir, "customer").where("c_acctbal > 0").selectExpr("concat('demo.C', c_custkey) AS name", "concat('demo.N', c_nationkey) AS parent", f"{NONE} AS access")
+    nations = table(spark, sf_dir, "nation").where("n_regionkey < 3").selectExpr("concat('demo.N', n_nationkey) AS name", "'java.lang.Object' AS parent", f"{NONE} AS access")
+    return classes.unionByName(nations)
+
+
+def held(spark, sf_dir):
+    """Members: ``P`` of rich customers, ``F`` of even and ``O`` of odd nations."""
+    shape = ["'method' AS kind", "'()V' AS descriptor", "false AS is_abstract", "false AS is_static", "true AS has_code"]
+    own = table(spark, sf_dir, "customer").where("c_acctbal > 5000").selectExpr("concat('demo.C', c_custkey) AS owner", "'P' AS name", *shape)
+    above = table(spark, sf_dir, "nation").where("n_regionkey < 3").selectExpr("concat('demo.N', n_nationkey) AS owner", "IF(n_nationkey % 2 = 0, 'F', 'O') AS name", *shape)
+    return own.unionByName(above)
+
+
+def wanted(spark, sf_dir):
+    """Every order asks its customer for a method named by its status, and for the customer itself."""
+    member = ["concat('demo.C', o_custkey) AS owner", "concat('demo.U', o_orderkey) AS from_class", "o_orderkey AS seq"]
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    asked = orders.selectExpr("'method' AS kind", "o_orderstatus AS name", "'()V' AS descriptor", *member)
+    whole = orders.where("o_orderkey % 2 = 0").selectExpr("'class' AS kind", "CAST(NULL AS STRING) AS name", "CAST(NULL AS STRING) AS descriptor", *member)
+    platform = orders.where("o_orderkey % 5 = 0").selectExpr("'class' AS kind", "CAST(NULL AS STRING) AS name", "CAST(NULL AS STRING) AS descriptor", "concat('java.util.', o_orderstatus) AS owner", *member[1:])
+    return asked.unionByName(whole).unionByName(platform)
+
+
+RESOLVED = """
+    c AS (SELECT c_custkey AS k, c_acctbal > 5000 AS rich, c_nationkey % 2 AS odd, n_regionkey < 3 AS known FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0),
+    r AS (SELECT DISTINCT k, o_orderstatus AS name, CASE
+        WHEN (o_orderstatus = 'P' AND rich) OR (known AND ((o_orderstatus = 'F' AND odd = 0) OR (o_orderstatus = 'O' AND odd = 1))) THEN 'found'
+        WHEN NOT known THEN 'unchecked' ELSE 'missing' END AS outcome FROM orders JOIN c ON o_custkey = k)
+"""
+
+
+def resolved(spark, sf_dir):
+    classes = types(spark, sf_dir)
+    none = classes.selectExpr("name", "parent").limit(0)
+    return linkage.resolve_members(wanted(spark, sf_dir), classes, none, held(spark, sf_dir))
+
+
+@query("member_resolution_3way", f"WITH {RESOLVED} SELECT 'demo.C' || k AS owner, name, outcome FROM r")
+def member_resolution_3way(spark, sf_dir):
+    """JON-08, LNK-03, FLT-11: found in the class or above it, unchecked (the chain leaves what is known) or missing."""
+    return resolved(spark, sf_dir).select("owner", "name", "outcome")
+
+
 @query(
-    "member_resolution_3way",
+    "linkage_scorecard",
+    f"""
+    WITH {RESOLVED}, q AS (SELECT DISTINCT * FROM (
+            SELECT 'method' AS kind, 'demo.C' || o_custkey AS owner, o_orderstatus AS name, o_custkey AS k FROM orders
+            UNION ALL SELECT 'class', 'demo.C' || o_custkey, NULL, o_custkey FROM orders WHERE o_orderkey % 2 = 0
+            UNION ALL SELECT 'class', 'java.util.' || o_orderstatus, NULL, NULL FROM orders WHERE o_orderkey % 5 = 0)),
+         m AS (SELECT q.*, outcome, c.k IS NOT NULL AS known, starts_with(owner, 'java.') AS platform FROM q LEFT JOIN r ON q.k = r.k AND q.name = r.name LEFT JOIN c ON q.k = c.k)
+    SELECT count(*) AS distinct_references, count(*) FILTER (WHERE platform) AS platform_references,
+           count(*) FILTER (WHERE NOT platform AND (outcome = 'found' OR (name IS NULL AND known))) AS resolved,
+           count(*) FILTER (WHERE outcome = 'unchecked') AS unchecked, count(*) FILTER (WHERE outcome = 'missing') AS missing_members,
+           count(DISTINCT CASE WHEN NOT platform AND NOT known THEN owner END) AS missing_classes FROM m
+    """,
+)
+def linkage_scorecard(spark, sf_dir):
+    """AGG-14, LNK-03: one row of totals over distinct references."""
+    return linkage.scorecard(wanted(spark, sf_dir), types(spark, sf_dir), resolved(spark, sf_dir))
+
+
+@query(
+    "entrypoint_check",
     """
-    SELECT o_orderkey AS id, CASE WHEN c.c_custkey IS NULL THEN 'missing' WHEN n.n_nationkey IS NULL THEN 'unchecked' ELSE 'found' END AS outcome
-    FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c.c_custkey
-    LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON c.c_nationkey = n.n_nationkey
+    WITH e AS (SELECT 'demo.C' || s_suppkey AS entrypoint, s_suppkey AS k, s_suppkey % 3 AS way FROM supplier),
+         c AS (SELECT c_custkey AS k, c_acctbal > 5000 AS made FROM customer WHERE c_acctbal > 0),
+         x AS (SELECT e.entrypoint AS entrypoint, c.k IS NULL AS gone, coalesce(made, false) AS made, way FROM e LEFT JOIN c ON e.k = c.k)
+    SELECT entrypoint, CASE WHEN gone THEN 'missing' ELSE array_to_string(list_filter([CASE WHEN way = 1 THEN 'abstract' END, CASE WHEN NOT made THEN 'no_constructor' END], lambda v: v IS NOT NULL), ',') END AS problems,
+           CASE WHEN gone THEN 'other.' || substr(entrypoint, 6) ELSE '' END AS near, NOT gone AND made AND way <> 1 AS ok FROM x
     """,
 )
-def member_resolution_3way(spark, sf_dir):
-    """JON-08, AGG-14: found, unchecked (the chain leaves what is known) or missing."""
-    customer = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", "c_nationkey")
-    nation = table(spark, sf_dir, "nation").where("n_regionkey < 3").select("n_nationkey")
-    joined = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return joined.select(F.col("o_orderkey").alias("id"), F.when(F.col("c_custkey").isNull(), "missing").when(F.col("n_nationkey").isNull(), "unchecked").otherwise("found").alias("outcome"))
+def entrypoint_check(spark, sf_dir):
+    """JON-16, LNK-05: named classes that are missing (with near matches), abstract or without a constructor."""
+    way = "IF(c_custkey % 3 = 1, array('abstract'), CAST(array() AS ARRAY<STRING>))"
+    customers = table(spark, sf_dir, "customer")
+    classes = customers.where("c_acctbal > 0").selectExpr("concat('demo.C', c_custkey) AS name", f"{way} AS access")
+    classes = classes.unionByName(customers.selectExpr("concat('other.C', c_custkey) AS name", f"{NONE} AS access"))
+    made = customers.where("c_acctbal > 5000").selectExpr("concat('demo.C', c_custkey) AS owner", "'method' AS kind", "'<init>' AS name")
+    asked = table(spark, sf_dir, "supplier").selectExpr("concat('demo.C', s_suppkey) AS entrypoint")
+    got = linkage.entrypoints(asked, classes, made)
+    near = F.array_join(F.filter("near", lambda x: F.startswith(x, F.lit("other."))), ",")
+    return got.select("entrypoint", F.array_join("problems", ",").alias("problems"), near.alias("near"), "ok")
 
 
 @query(
     "universe_precedence",
-    "SELECT sha256(text) AS name, arg_min(doc_id, source || lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS doc_id, min(source) AS source FROM documents GROUP BY text",
+    """
+    WITH d AS (SELECT sha256(text) AS name, doc_id, source, CASE WHEN source = 'src0' THEN 0 ELSE 1 END AS side FROM documents)
+    SELECT name, arg_min(doc_id, side || source || lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS doc_id FROM d GROUP BY name
+    """,
 )
 def universe_precedence(spark, sf_dir):
-    """JON-09, LNK-01: one definition per name, the first in the order of sources."""
-    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("name"), "doc_id", "source")
-    return grouping.first_definition(docs, ["name"], ["source", "doc_id"]).select("name", "doc_id", "source")
+    """JON-09, LNK-01: one definition per name: own ones (of one source) before provided ones, those in the order of sources."""
+    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("name"), "doc_id", "source", F.struct("source", "doc_id").alias("seq"))
+    return linkage.universe(docs.where("source = 'src0'"), docs.where("source <> 'src0' OR source IS NULL")).select("name", "doc_id")
+
+
+@query(
+    "shadowed_members",
+    """
+    WITH d AS (SELECT c_nationkey AS n, c_mktsegment AS s, c_custkey % 3 AS ord FROM customer), f AS (SELECT n, min(ord) AS ord FROM d GROUP BY n)
+    SELECT DISTINCT 'demo.N' || d.n AS owner, s AS name FROM d JOIN f ON d.n = f.n AND d.ord = f.ord
+    """,
+)
+def shadowed_members(spark, sf_dir):
+    """JON-09: members of the copy of a class that counts; three sources define every nation's class."""
+    members = table(spark, sf_dir, "customer").selectExpr("concat('demo.N', c_nationkey) AS owner", "c_mktsegment AS name", "CAST(c_custkey % 3 AS INT) AS order").distinct()
+    classes = members.selectExpr("owner AS name", "order", "order AS seq").distinct()
+    first = linkage.universe(classes.where("order = 0"), classes.where("order > 0"))
+    return linkage.counted_members(members, first).select("owner", "name")
 
 
 @query(
@@ -59,55 +151,85 @@ def duplicate_definitions(spark, sf_dir):
     return grouping.duplicates(docs, "name", "source").withColumn("sources", F.array_join("sources", ","))
 
 
+def bodies(rows, **columns):
+    """Rows as members: methods, not static; ``columns`` are expressions for the rest."""
+    return rows.selectExpr("'method' AS kind", "false AS is_static", *[f"{v} AS {k}" for k, v in columns.items()])
+
+
 @query(
     "required_minus_implemented",
     """
-    WITH o AS (SELECT n_nationkey AS k, n_regionkey AS r, o_orderpriority || strftime(o_orderdate, ' %Y-%m') AS p, o_totalprice AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-         req AS (SELECT DISTINCT n.n_nationkey AS k, o.p FROM nation n JOIN (SELECT DISTINCT r, p FROM o) o ON n.n_regionkey = o.r)
-    SELECT k AS nation, p AS priority FROM (SELECT * FROM req EXCEPT SELECT DISTINCT k, p FROM o WHERE t > 300000)
+    WITH s AS (SELECT DISTINCT c_mktsegment AS seg FROM customer),
+         made AS (SELECT DISTINCT c_nationkey AS n, c_mktsegment AS seg FROM customer WHERE c_acctbal > 9000)
+    SELECT 'demo.N' || n_nationkey AS owner, seg AS name, 'demo.R' || n_regionkey AS declared_in FROM nation, s
+    WHERE n_regionkey < 4 AND NOT EXISTS (SELECT 1 FROM made WHERE made.n = n_nationkey AND made.seg = s.seg)
     """,
 )
 def required_minus_implemented(spark, sf_dir):
-    """JON-11, SET-03, HLT-01: what a type must have (from its region) and has not."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", F.concat("o_orderpriority", F.lit(" "), F.date_format("o_orderdate", "yyyy-MM")).alias("priority"), "o_totalprice")
-    home = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
-    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
-    made = orders.join(home, "o_custkey").join(nation, "nation").select("nation", "region", "priority", "o_totalprice")
-    required = nation.join(made.select("region", "priority").distinct(), "region").select("nation", "priority")
-    return required.join(made.where("o_totalprice > 300000").select("nation", "priority").distinct(), ["nation", "priority"], "left_anti")
+    """JON-11, SET-03, HLT-01, LNK-06, GRF-02: regions as abstract classes whose methods nations must have; region 4 is unknown, so its nations are not judged."""
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    regions = table(spark, sf_dir, "region").where("r_regionkey < 4")
+    classes = nation.selectExpr("concat('demo.N', n_nationkey) AS name", "concat('demo.R', n_regionkey) AS parent", f"{NONE} AS access")
+    classes = classes.unionByName(regions.selectExpr("concat('demo.R', r_regionkey) AS name", "'java.lang.Object' AS parent", "array('abstract') AS access"))
+    segments = customer.select("c_mktsegment").distinct().agg(F.collect_list("c_mktsegment").alias("all"))
+    asked = regions.join(F.broadcast(segments)).select("r_regionkey", F.explode("all").alias("seg"))  # one row of segments
+    members = bodies(asked, owner="concat('demo.R', r_regionkey)", name="seg", descriptor="'()V'", is_abstract="true", has_code="false")
+    done = customer.where("c_acctbal > 9000").select("c_nationkey", "c_mktsegment").distinct()
+    members = members.unionByName(bodies(done, owner="concat('demo.N', c_nationkey)", name="c_mktsegment", descriptor="'()V'", is_abstract="false", has_code="true"))
+    return linkage.unimplemented(classes, classes.select("name", "parent").limit(0), members).select("owner", "name", "declared_in")
 
 
 @query(
     "broken_overrides",
     """
-    WITH m AS (SELECT p_partkey AS owner, p_type AS name, p_size AS arity, p_brand AS descriptor FROM part),
-         base AS (SELECT name, arity, descriptor FROM m WHERE owner % 4 = 0),
-         alone AS (SELECT * FROM m WHERE owner % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.name = m.name AND b.arity = m.arity AND b.descriptor = m.descriptor))
-    SELECT a.owner AS owner, a.name AS name, a.descriptor AS descriptor, array_to_string(list_slice(list_sort(list(DISTINCT b.descriptor)), 1, 4), ',') AS overrides
-    FROM alone a JOIN base b ON a.name = b.name AND a.arity = b.arity GROUP BY a.owner, a.name, a.descriptor
+    SELECT 'demo.C' || p_partkey AS owner, 'm' || (p_size % 5) AS name, '(J)V' AS descriptor, 'demo.T.' || replace(p_brand, '#', '') || '.m' || (p_size % 5) || '(I)V' AS overrides
+    FROM part WHERE p_size % 5 % 2 = 0 AND p_partkey % 3 = 1
     """,
 )
 def broken_overrides(spark, sf_dir):
-    """JON-12, HLT-02: same name and size, another signature; every fourth part plays the supertype."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("owner"), F.col("p_type").alias("name"), F.col("p_size").alias("arity"), F.col("p_brand").alias("descriptor"))
-    base = parts.where("owner % 4 = 0").select("name", "arity", "descriptor").distinct()
-    alone = parts.where("owner % 4 <> 0").join(base, ["name", "arity", "descriptor"], "left_anti")
-    listed = base.groupBy("name", "arity").agg(F.array_join(F.slice(F.array_sort(F.collect_set("descriptor")), 1, 4), ",").alias("overrides"))
-    return alone.join(listed, ["name", "arity"]).select("owner", "name", "descriptor", "overrides")
+    """JON-12, HLT-02, STR-11: a brand's class declares five methods; parts extend it, some with another parameter of as many."""
+    part = table(spark, sf_dir, "part")
+    brand = "concat('demo.T.', replace(p_brand, '#', ''))"
+    classes = part.selectExpr("concat('demo.C', p_partkey) AS name", f"{brand} AS parent", f"{NONE} AS access")
+    bases = part.select("p_brand").distinct()
+    classes = classes.unionByName(bases.selectExpr(f"{brand} AS name", "'java.lang.Object' AS parent", f"{NONE} AS access"))
+    declared = bases.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    members = bodies(declared, owner=brand, name="concat('m', k)", descriptor="IF(k % 2 = 0, '(I)V', '(IJ)V')", is_abstract="false", has_code="true")
+    own = "element_at(array('(I)V', '(J)V', '(IJ)V'), CAST(p_partkey % 3 + 1 AS INT))"
+    members = members.unionByName(bodies(part, owner="concat('demo.C', p_partkey)", name="concat('m', p_size % 5)", descriptor=own, is_abstract="false", has_code="true"))
+    got = linkage.broken_overrides(classes, classes.select("name", "parent").limit(0), members)
+    return got.select("owner", "name", "descriptor", F.array_join("overrides", ",").alias("overrides"))
 
 
 @query(
     "data_class_refs",
     """
-    WITH r AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS class FROM pages),
-         known AS (SELECT DISTINCT '/' || word AS class FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{3,}')) AS word FROM benchmark))
-    SELECT class, count(DISTINCT page_id) AS files, CASE WHEN starts_with(class, '/') THEN 'missing' ELSE 'unresolved_external' END AS kind
+    WITH r AS (SELECT DISTINCT page_id, 'demo.' || substr(w, 1, 2) || '.X' || w AS class FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([a-z]{3,})"', 1)) AS w FROM pages)),
+         known AS (SELECT DISTINCT 'demo.' || substr(w, 1, 2) || '.X' || w AS class FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS w FROM benchmark)),
+         own AS (SELECT DISTINCT substr(class, 1, 7) AS package FROM known)
+    SELECT class, count(DISTINCT page_id) AS files, CASE WHEN substr(class, 1, 7) IN (SELECT package FROM own) THEN 'missing' ELSE 'unresolved_external' END AS kind
     FROM r WHERE NOT EXISTS (SELECT 1 FROM known WHERE known.class = r.class) GROUP BY class
     """,
 )
 def data_class_refs(spark, sf_dir):
-    """STR-14, SRC-20, JON-14, AGG-18, HLT-03: targets that data names and nothing defines."""
-    refs = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("class"))
-    known = table(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0)))).alias("word")).select(F.concat(F.lit("/"), "word").alias("class")).distinct()
-    lost = refs.join(known, "class", "left_anti").groupBy("class").agg(F.countDistinct("page_id").alias("files"))
-    return lost.withColumn("kind", F.when(F.startswith("class", F.lit("/")), "missing").otherwise("unresolved_external"))
+    """STR-14, JON-14, AGG-18, HLT-03: class names that data holds and nothing defines, of our packages or of others."""
+    named = lambda c: F.concat(F.lit("demo."), F.substring(c, 1, 2), F.lit(".X"), F.col(c))
+    words = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([a-z]{3,})"'), F.lit(1))).alias("w"))
+    texts = words.select(F.col("page_id").alias("file"), F.concat(F.lit("script: "), named("w"), F.lit(", other")).alias("value"))
+    refs = linkage.class_names(texts, "file", "value")
+    known = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0))).alias("w")).distinct()
+    return linkage.data_references(refs, known.select(named("w").alias("name"))).select("class", "files", "kind")
+
+
+@query(
+    "data_file_paths",
+    """
+    WITH f AS (SELECT page_id, list_element(['data/a.csv', 'top.json', 'src/x.csv', '.git/data/x.json', 'data/deep/b.ship', 'notes.txt', 'out/data/c.csv', 'data/.hid/d.csv', 'mods/data/e.csv'], CAST(page_id % 9 AS INTEGER) + 1) AS path FROM pages)
+    SELECT page_id, path FROM f WHERE path IN ('data/a.csv', 'top.json', 'data/deep/b.ship')
+    """,
+)
+def data_file_paths(spark, sf_dir):
+    """SRC-20: which files of a folder are data: under ``data`` or at its top, no tooling, no hidden parts."""
+    paths = ["data/a.csv", "top.json", "src/x.csv", ".git/data/x.json", "data/deep/b.ship", "notes.txt", "out/data/c.csv", "data/.hid/d.csv", "mods/data/e.csv"]
+    one = F.element_at(F.array(*[F.lit(p) for p in paths]), (F.col("page_id") % 9 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", one.alias("path")).where(linkage.is_data_path(F.col("path")))

@@ -48,9 +48,22 @@ def check_target(path: str, most: int = MOST_BYTES) -> str:
     return str(p)
 
 
+def _names(schema: str) -> list[str]:
+    """Names of a schema's top-level columns."""
+    out, depth, item = [], 0, ""
+    for c in schema + ",":
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append(item.split()[0])
+            item = ""
+        else:
+            item += c
+    return out
+
+
 def _table(found: DataFrame, parse, schema: str) -> DataFrame:
     """Rows that ``parse(sha256, content)`` yields as tuples of ``schema``."""
-    names = [x.strip().split(" ")[0] for x in re.split(r",(?![^<(]*[>)])", schema)]
+    names = _names(schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -159,6 +172,53 @@ def needles(found: DataFrame, patterns: dict[str, bytes]) -> DataFrame:
     return _table(found, parse, "sha256 string, label string, offset long")
 
 
+def _wanted(found: DataFrame, wanted: DataFrame, item: str) -> DataFrame:
+    """Files beside the list of what is looked for in each."""
+    return found.select("sha256", "content").join(wanted.groupBy("sha256").agg(F.array_sort(F.collect_set(item)).alias("wanted")), "sha256")
+
+
+def string_places(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``sha256, string, offset, encoding``: every place of the strings that are wanted of each file, in ASCII and both UTF-16 orders."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for sha, content, texts in zip(pdf["sha256"], pdf["content"], pdf["wanted"]):
+                for text in texts:
+                    for name, needle in (("ascii", text.encode()), ("utf-16-le", text.encode("utf-16-le")), ("utf-16-be", text.encode("utf-16-be"))):
+                        at = content.find(needle) if needle else -1
+                        while at >= 0:
+                            rows.append((sha, text, at, name))
+                            at = content.find(needle, at + 1)
+            yield pd.DataFrame(rows, columns=["sha256", "string", "offset", "encoding"])
+
+    return _wanted(found, wanted, "string").mapInPandas(run, "sha256 string, string string, offset long, encoding string")
+
+
+def stored_addresses(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``sha256, target, offset, size``: where the wanted ``target`` addresses are stored as pointers, at any alignment."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for sha, content, targets in zip(pdf["sha256"], pdf["content"], pdf["wanted"]):
+                try:
+                    image = containers.load(bytes(content))
+                except CairnError:
+                    continue
+                size = image.bits // 8
+                for target in targets:
+                    if 0 <= int(target) < 1 << image.bits:
+                        needle = int(target).to_bytes(size, image.endian)
+                        at = content.find(needle)
+                        while at >= 0:
+                            rows.append((sha, target, at, size))
+                            at = content.find(needle, at + 1)
+            yield pd.DataFrame(rows, columns=["sha256", "target", "offset", "size"])
+
+    return _wanted(found, wanted, "target").mapInPandas(run, "sha256 string, target decimal(20,0), offset long, size int")
+
+
 def dump(found: DataFrame, offset: int, length: int) -> DataFrame:
     """Rows of sixteen bytes from an offset, as hexadecimal and printable text."""
     span = F.substring("content", offset + 1, min(max(length, 1), 4096))
@@ -284,9 +344,107 @@ def disassembly(found: DataFrame, **raw) -> DataFrame:
             body = data[s.fileoff : s.fileoff + s.filesize]
             for i in native.sweep(body, s.va, image.arch, image.bits, image.endian):
                 at = i.va - s.va
-                yield sha, _big(i.va), i.size, body[at : at + i.size].hex(), i.mnemonic, _big(i.target)
+                own = body[at : at + i.size]
+                yield sha, _big(i.va), i.size, own.hex(), i.mnemonic, native.text_of(own, i, image.arch, image.bits), _big(i.target)
+
+    return _table(found, parse, "sha256 string, va decimal(20,0), size int, bytes string, mnemonic string, operands string, target decimal(20,0)")
+
+
+def listing(found: DataFrame, address: int, count: int = 40, **raw) -> DataFrame:
+    """Up to ``count`` (1 to 512) instructions from an address on, whatever kind of section it is in."""
+
+    def parse(sha, data):
+        image = containers.load(data, **raw)
+        s = next((s for s in reversed(image.sections) if s.va <= address < s.va + s.filesize), None)
+        if s is None:
+            return
+        body = data[s.fileoff + address - s.va : s.fileoff + s.filesize]
+        for n, i in enumerate(native.sweep(body, address, image.arch, image.bits, image.endian)):
+            if n == min(max(count, 1), 512):
+                return
+            own = body[i.va - address : i.va - address + i.size]
+            yield sha, _big(i.va), i.size, own.hex(), i.mnemonic, native.text_of(own, i, image.arch, image.bits), _big(i.target), s.x
+
+    return _table(found, parse, "sha256 string, va decimal(20,0), size int, bytes string, mnemonic string, operands string, target decimal(20,0), executable boolean")
+
+
+def control_flow(found: DataFrame, address: int | None = None, **raw) -> DataFrame:
+    """One row per function (or of the one at an address): blocks with their calls, edges, loops and exits."""
+
+    def parse(sha, data):
+        image = containers.load(data, **raw)
+        starts = sorted(native.function_starts(image, data))
+        for va in starts if address is None else [address]:
+            row = native.control_flow(image, data, va, starts)
+            if row:
+                blocks = [{**b, "start": _big(b["start"]), "end": _big(b["end"]), "succ": [_big(t) for t in b["succ"]]} for b in row["blocks"]]
+                loops = [{**x, "header": _big(x["header"]), "tail": _big(x["tail"]), "body": [_big(b) for b in x["body"]]} for x in row["loops"]]
+                yield sha, _big(va), _big(row["end"]), row["insns"], blocks, row["edges"], row["complexity"], loops, [_big(e) for e in row["exits"]], row["single_exit"]
+
+    a = "decimal(20,0)"
+    return _table(
+        found,
+        parse,
+        f"sha256 string, va {a}, end {a}, insns int, blocks array<struct<start:{a},end:{a},insns:int,terminator:string,succ:array<{a}>,calls:array<string>>>, edges int, complexity int, loops array<struct<header:{a},tail:{a},size:int,body:array<{a}>,depth:int>>, exits array<{a}>, single_exit boolean",
+    )
+
+
+def warnings(found: DataFrame, include_packed: bool = False, indexed: bool = False, **raw) -> DataFrame:
+    """``sha256, code, impact, detail``: what to know of an image and (``indexed``) of its code index."""
+
+    def parse(sha, data):
+        image = containers.load(data, **raw)
+        rows = native.code_rows(image, data, include_packed) if indexed and native.supported(image.arch, image.bits, image.endian) else ()
+        for w in [*containers.image_warnings(image, data), *(native.index_warnings(image, data, include_packed, rows) if indexed else [])]:
+            yield sha, w["code"], w["impact"], w["detail"]
+
+    return _table(found, parse, "sha256 string, code string, impact string, detail string")
+
+
+def code_sections(found: DataFrame, include_packed: bool = False, **raw) -> DataFrame:
+    """Sections by what they are good for: ``executable``, ``packed``, ``analyzable`` (worth decoding), ``holds_data``."""
+    rows = sections(found, **raw)
+    packed = F.col("x") & (F.coalesce("entropy", F.lit(0.0)) >= containers.PACKED)
+    kept = F.col("x") & (F.col("filesize") > 0)
+    return rows.withColumns({"executable": F.col("x"), "packed": packed, "analyzable": kept if include_packed else kept & ~packed, "holds_data": ~F.col("x") & (F.col("filesize") > 0)})
+
+
+def jars(found: DataFrame) -> DataFrame:
+    """One row per archive: numbers of classes and resources, manifest, packages, and what could not be parsed."""
+
+    def parse(sha, data):
+        got = managed.scan_jar(data)
+        yield sha, len(got["classes"]), got["resources"], got["manifest"], got["packages"], [(u["entry"], u["reason"]) for u in got["unparsed"]], got["truncated"]
+
+    return _table(found, parse, "sha256 string, classes int, resources int, manifest map<string,string>, packages map<string,int>, unparsed array<struct<entry:string,reason:string>>, truncated boolean")
+
+
+def constants(found: DataFrame) -> DataFrame:
+    """Constant pools: ``index, tag`` and what the constant stands for as text."""
+
+    def parse(sha, data):
+        for _, body in class_entries(data):
+            c = managed.parse_class(body)
+            for i, tag in enumerate(c.pool.tags):
+                if tag:
+                    yield sha, c.name, i, tag, c.pool.describe(i)
+
+    return _table(found, parse, "sha256 string, owner string, index int, tag int, text string")
+
+
+def lines(found: DataFrame) -> DataFrame:
+    """Every instruction of every method with its line and the names of the locals that live there."""
+    from cairn.jvm import bytecode
+
+    def parse(sha, data):
+        for _, body in class_entries(data):
+            c = managed.parse_class(body)
+            for m in c.methods:
+                for i in bytecode.decode(m.code.code)[0] if m.code else ():
+                    names = [m.code.local_name(slot, i.pc) for slot in range(m.code.max_locals)]
+                    yield sha, c.name, m.name, m.descriptor, i.pc, m.code.line_for(i.pc), [n or "" for n in names]
 
-    return _table(found, parse, "sha256 string, va decimal(20,0), size int, bytes string, mnemonic string, target decimal(20,0)")
+    return _table(found, parse, "sha256 string, owner string, method string, descriptor string, pc int, line int, locals array<string>")
 
 
 def algorithm_hits(found: DataFrame, **raw) -> DataFrame:

@@ -57,7 +57,7 @@ def test_code(analyst, target):
     graph = good(analyst.callgraph(target)).result
     assert (graph["edges"], graph["unattributed"]) == (1, 0)
     assert [int(r["node"]) for r in good(analyst.callgraph(target, "0x401000")).result] == [0x40100B]
-    assert [r["via"] for r in good(analyst.xrefs(target, "0x40100b")).result] == ["code_operand"]
+    assert [r["via"] for r in good(analyst.xrefs(target, "0x40100b")).result] == ["direct_call"]
     assert "string_not_found" in codes(good(analyst.xrefs(target, "absent text", is_string=True)))
     assert good(analyst.fingerprint(target, "0x40100b")).result["insns"] >= 6
     assert good(analyst.function_cfg(target, "0x401000")).result["complexity"] == 1
@@ -80,7 +80,8 @@ def test_failures_are_answers(analyst, target, tmp_path):
     assert analyst.identify(str(tmp_path))["error"] == "target_error"
     assert analyst.identify("")["error"] == "target_error"
     assert analyst.disasm(target, "0x1")["error"] == "address_error"
-    assert analyst.disasm(target, "garbage")["error"] == "internal_error"
+    assert analyst.disasm(target, "no address")["error"] == "address_error"
+    assert good(analyst.disasm(target, "40100b", 1)).result == good(analyst.disasm(target, "0x40100B", 1)).result  # any literal
     assert analyst.translate(target, "zz")["error"] == "address_error"
 
 
@@ -91,13 +92,26 @@ def test_knowledge_base(analyst, target, tmp_path):
     other = tmp_path / "b.exe"
     other.write_bytes(minimal_pe())
     assert analyst.register_build(str(other), "one")["error"] == "policy_error"
-    good(analyst.save_symbol("f", "one", "0x1000", 0.4, ["string_xref"], [{"kind": "string_xref", "artifact": "x"}]))
-    got = good(analyst.save_symbol("f", "one", "0x1000", 0.2, ["string_xref", "community_source"], []))
+    calls = [{"kind": "callgraph_position", "calls": "0x40100b"}]
+    refused = analyst.save_symbol("f", "one", "0x0", 0.4, ["callgraph_position"], [{"kind": "callgraph_position", "calls": "0x401009"}])
+    assert refused["context"]["violations"] == ["not_verified"]
+    for kind, said in (("string_xref", {"string": "hello world"}), ("import_xref", {"import": "x"}), ("constant_xref", {"constant": 5}), ("symbol_table", {}), ("export_table", {}), ("cross_build_match", {"score": 0.9, "agreeing_signals": 1, "matched_build": "b"})):
+        assert analyst.save_symbol("g", "one", "0x1000", 0.2, [kind], [{"kind": kind, **said}])["context"]["violations"] == ["not_verified"], kind
+    assert good(analyst.save_symbol("f", "one", "0x0", 0.4, ["callgraph_position"], calls)).result["verified"] == ["callgraph_position"]
+    assert good(analyst.save_symbol("k", "one", "0xb", 0.4, ["constant_xref"], [{"kind": "constant_xref", "constant": "0x67452301"}])).result["verified"] == ["constant_xref"]
+    got = good(analyst.save_symbol("f", "one", "0x0", 0.2, ["callgraph_position", "community_source"], calls))
     assert got.result["previous_confidence"] == 0.4 and got.result["downgraded"] and "unverified_provenance" in codes(got)
-    assert analyst.save_symbol("f", "one", "0x1000", 0.9, ["string_xref"], [])["context"]["violations"] == ["above_cap", "needs_corroboration"]
+    assert analyst.save_symbol("f", "one", "0x0", 0.9, ["callgraph_position"], calls)["context"]["violations"] == ["above_cap", "needs_corroboration"]
     assert [r["name"] for r in good(analyst.lookup_symbol("F", "one")).result] == ["f"] and not good(analyst.lookup_symbol(min_confidence=0.9)).result
 
 
+def test_packed_code_is_told_of(analyst, tmp_path):
+    path = tmp_path / "p.elf"
+    path.write_bytes(minimal_elf(bytes(range(256)) * 16))
+    assert {"packed_exec_section", "packed_sections_skipped"} <= codes(good(analyst.functions(str(path))))
+    assert {"packed_exec_section", "packed_sections_included"} <= codes(good(analyst.functions(str(path), include_packed=True)))
+
+
 @pytest.fixture(scope="module")
 def jars(tmp_path_factory):
     """A host in two versions and a plug-in compiled against the first."""
@@ -136,6 +150,9 @@ def test_linkage_and_health_over_versions(analyst, jars):
     assert fine.result == {"unimplemented": [], "broken_overrides": []}
     drift = good(analyst.jvm_health(jars["plug"], [jars["v2"]]))
     assert [r["name"] for r in drift.result["unimplemented"]] == ["extra"] and [r["name"] for r in drift.result["broken_overrides"]] == ["size"]
+    # the first copy of a class counts, with its members alone
+    both = good(analyst.jvm_linkage(jars["plug"], [jars["v2"], jars["v1"], "/nowhere.jar"]))
+    assert "classpath_entry_unusable" in codes(both) and [x["usable"] for x in both.result["sources"]] == [True, True, False]
     twice = good(analyst.jvm_duplicates([jars["v1"], jars["v2"]]))
     assert [r["name"] for r in twice.result] == ["p.Base", "p.Host"] and not good(analyst.jvm_duplicates([jars["v1"]])).result
 

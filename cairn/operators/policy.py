@@ -162,6 +162,11 @@ def register_builds(known: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFr
     return known.unionByName(fresh), joined.where(clash).drop("__known")
 
 
+def stamped(rows: DataFrame, out: str = "updated") -> DataFrame:
+    """Rows with the time of their save, in whole seconds."""
+    return rows.withColumn(out, F.date_trunc("second", F.current_timestamp()))
+
+
 def revisions(saves: DataFrame, key: list[str], order: list[str], confidence: str = "confidence") -> DataFrame:
     """The state after all saves in ``order``: one row per key.
 

@@ -21,7 +21,7 @@ WEEK = 7 * 86_400
     """,
 )
 def asof_site_to_function(spark, sf_dir):
-    """ADR-10, JON-01: every event with its user's latest purchase at or before it."""
+    """ADR-10, JON-01, WIN-02: every event with its user's latest purchase at or before it."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
     starts = events.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("function_id"), F.col("value").alias("function_value"))
     return asof_join(events.select("user_id", "ts", "event_id"), starts, ["user_id"], "ts", ["function_id", "function_value"], width=WEEK).select("event_id", "function_id", "function_value")

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from cairn.plans import addressing, binaries, graphs, knowledge, linking, matches, readers, streams, texts  # noqa: F401  (they register their queries)
+from cairn.plans import addressing, binaries, graphs, knowledge, linking, matches, readers, stores, streams, texts  # noqa: F401  (they register their queries)
 from cairn.plans.registry import ORACLE, QUERIES  # noqa: F401

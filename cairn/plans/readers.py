@@ -406,7 +406,7 @@ def function_starts(spark, sf_dir):
 
 @query("prologue_starts", "SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(4096 + c_custkey % 9 + 1 AS BIGINT) AS va, 'prologue' AS evidence FROM customer")
 def prologue_starts(spark, sf_dir):
-    """SET-02, WIN-05: where nothing is named, byte patterns that functions begin with."""
+    """SET-02, SRC-07: in raw files where nothing is named, byte patterns that functions begin with."""
     found = made(spark, sf_dir, lambda k: b"\xc3" * (k % 9 + 1) + b"\x55\x48\x8b\xec\xc3", "customer", "c_custkey")
     return tables.functions(found, arch="x86", bits=64, base=0x1000).select(key(), whole("va"), "evidence")
 

@@ -536,7 +536,7 @@ class Analyst:
         verdict = policy.evaluate(claim, "verified").first()
         if not verdict.accepted:
             raise PolicyError("the claim breaks the policy", violations=verdict.violations)
-        saved = claim.withColumn("updated", F.date_trunc("second", F.current_timestamp())).withColumn("seq", F.lit((self.symbols.version() or 0) + 1))
+        saved = policy.stamped(claim).withColumn("seq", F.lit((self.symbols.version() or 0) + 1))
         before = self.symbols.read()
         self.symbols.save(saved if before is None else before.unionByName(saved))
         state = policy.revisions(self.symbols.read().select("name", "build_id", "seq", "confidence"), ["name", "build_id"], ["seq"]).where((F.col("name") == name) & (F.col("build_id") == build_id)).first()

@@ -282,6 +282,22 @@ def class_entries(data: bytes):
             yield name, body
 
 
+def class_named(found: DataFrame, class_name: str) -> DataFrame:
+    """``sha256, entry, content`` of one class of every archive: by its exact name, else by the end of it, the first in the archive's order."""
+    wanted = class_name.replace(".", "/").removesuffix("/class")
+
+    def parse(sha, data):
+        entries = list(class_entries(data))
+        for exact in (True, False):
+            for entry, body in entries:
+                bare = entry.removesuffix(".class")
+                if not entry or (bare == wanted if exact else bare.endswith(wanted)):
+                    yield sha, entry, body
+                    return
+
+    return _table(found, parse, "sha256 string, entry string, content binary")
+
+
 def assemblies(found: DataFrame) -> DataFrame:
     def parse(sha, data):
         i = managed.parse_cli(data)

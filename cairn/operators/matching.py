@@ -13,25 +13,25 @@ CANDIDATE_WEIGHTS = {"strings": 4, "imports": 3, "constants": 2, "ngrams": 1}
 CANDIDATES = 64
 
 
-def candidates(a: DataFrame, b: DataFrame, key: str = "key", weights: dict[str, int] = CANDIDATE_WEIGHTS, keep: int = CANDIDATES) -> DataFrame:
-    """``a, b, weight`` and ``shared_<kind>``: for each row of ``a`` the ``keep`` rows of ``b`` that share most features, ties by key.
+def candidates(a: DataFrame, b: DataFrame, key: str = "key", weights: dict[str, int] = CANDIDATE_WEIGHTS, keep: int | None = CANDIDATES) -> DataFrame:
+    """``a, b, weight`` and ``shared_<kind>``: for each row of ``a`` the ``keep`` rows of ``b`` that share most features (None: all), ties by key.
 
     Features of all kinds go through one join; within a side each is distinct,
     so the rows of a pair count what its sets have in common.
     """
+    def marked(kind, w):
+        return F.transform(F.array_distinct(F.col(kind).cast("array<string>")), lambda f: F.struct(F.lit(kind).alias("kind"), F.lit(w).alias("w"), f.alias("feature")))
+
     def exploded(df, name):
-        parts = None
-        for kind, w in weights.items():
-            if kind not in df.columns:
-                continue
-            one = df.select(F.col(key).alias(name), F.lit(kind).alias("kind"), F.lit(w).alias("w"), F.explode(F.array_distinct(F.col(kind).cast("array<string>"))).alias("feature"))
-            parts = one if parts is None else parts.unionByName(one)
-        return parts
+        # one pass over the rows, whatever the number of kinds
+        none = F.array().cast("array<struct<kind:string,w:int,feature:string>>")
+        lists = [F.coalesce(marked(kind, w), none) for kind, w in weights.items() if kind in df.columns]
+        return df.select(F.col(key).alias(name), F.explode(F.concat(*lists)).alias("f")).select(name, "f.*")
 
     pairs = exploded(a, "a").join(exploded(b, "b").drop("w"), ["kind", "feature"])
     shared = [F.count_if(F.col("kind") == k).alias(f"shared_{k}") for k in weights if k in a.columns and k in b.columns]
     weighed = pairs.groupBy("a", "b").agg(F.sum("w").alias("weight"), *shared)
-    return top_per_group(weighed, ["a"], [F.desc("weight"), F.col("b")], keep).drop("rank")
+    return weighed if keep is None else top_per_group(weighed, ["a"], [F.desc("weight"), F.col("b")], keep).drop("rank")
 
 
 def _sides(pairs: DataFrame, a: DataFrame, b: DataFrame, key: str, columns) -> DataFrame:

@@ -134,7 +134,7 @@ def test_instruction_lengths_and_targets():
     wide = list(native.sweep(bytes.fromhex("488d0510000000 48b88877665544332211 0fb6c0 c5f877 c3".replace(" ", "")), 0x1000, "x86", 64))
     assert [i.size for i in wide] == [7, 10, 3, 3, 1] and wide[0].memory == 0x1017 and wide[1].immediate == 0x1122334455667788
     with pytest.raises(UnsupportedError):
-        list(native.sweep(b"\0", 0, "mips", 32))
+        list(native.sweep(b"\0", 0, "m68k", 32))
 
 
 def test_code_index_of_a_pe():

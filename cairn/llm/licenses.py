@@ -3,9 +3,9 @@
 A text becomes words (runs of letters, digits and non-ASCII characters, A-Z
 lower-cased).  Rules are regular expressions over single-space word strings,
 with a priority and a weight.  A text must have one of the words that all rules
-need, and one of a family's keywords, before any expression of the family is
-tried; keywords are worked out from the expressions, so that every match of a
-rule has one of them.  Each match is an interval of
+need, and one of each set of a rule's keywords, before its expression is tried;
+the sets are worked out from the expressions, so that every match of a rule has
+one of each.  Each match is an interval of
 words; an interval that lies inside one of a stronger rule (higher priority, or
 equal priority and longer) is suppressed.  Base phrases are never suppressed.
 
@@ -252,8 +252,13 @@ OWN = [
     (1, 0.3, "unknown-license", "open source licen[cs]e"),
 ]
 BASE_PRIORITY = 9
-#: Words of which every rule's expression has one: a text without any is looked at no further.
-GATE = " (licen[cs]e|licen[cs]ed |spdx |under |subject to |governed by |pursuant to |public domain|all rights reserved|confidential |cc by |permission |redistributions? |software |copyright |copyleft |neither the name of |altered source |the origin of |advertising |proprietary |is public |for (internal|non|personal|academic|research)|be used |derivative works |no (copyright|rights)|you just do |buy me a beer |not subject |unauthorized |may be reproduced |united states government |us government |u s government |related or neighboring |is freeware |is shareware |service source code )"
+#: Strings of which every match of a rule has one: a text without any is looked at no further.
+GATE = [
+    "licen", "spdx ", " under ", "subject to ", "governed by ", "pursuant to ", "public domain", "all rights reserved", "confidential ", "cc by ", "permission ", "redistribution", " software ",
+    "copyleft ", "neither the name of ", "altered source ", "the origin of ", "advertising ", "proprietary ", " is public ", "for internal ", "for non", "for personal ", "for academic ", "for research ",
+    "be used ", "derivative works ", "no copyright ", "no rights ", "you just do ", "buy me a beer ", "unauthorized copying ", "copyright protection ", "may be reproduced ", "united states government ", " us government ", " u s government ",
+    "copyright and related ", "copyright notice ", "is freeware ", "is shareware ", "service source code ",
+]
 
 
 class Rule(NamedTuple):
@@ -263,10 +268,14 @@ class Rule(NamedTuple):
     expression: str
 
     @property
-    def keywords(self) -> tuple[str, ...]:
+    def keywords(self) -> tuple[tuple[str, ...], ...]:
         return keywords(self.expression)
 
 
+#: Words of the forms: sets with one of them are no good first question.
+COMMON = ("licen", "under", "subject to", "released", "published", "provided")
+
+
 def _sequence(text: str, at: int, close: str):
     """Alternatives of a (sub)expression, each a list of (kind, value, optional), and where it ends."""
     branches, items = [], []
@@ -291,31 +300,54 @@ def _sequence(text: str, at: int, close: str):
     return [*branches, items], at
 
 
-def _needed(branches) -> tuple[str, ...] | None:
-    """Strings of which every match has one: for each branch its best run or group; None if a branch needs nothing."""
-    found = []
-    for items in branches:
-        runs, run = [], ""
-        for kind, value, optional in [*items, ("any", None, False)]:
-            if kind == "text" and not optional:
-                run += value
-                continue
-            if run:
-                runs.append((run,))
-            run = ""
-            if kind == "group" and not optional:
-                runs.append(_needed(value))
-        runs = [r for r in runs if r]
-        if not runs:
-            return None
-        found += max(runs, key=lambda r: (min(map(len, r)), -len(r)))
-    return tuple(dict.fromkeys(found))
-
-
-def keywords(expression: str) -> tuple[str, ...]:
-    """The keywords of a rule, worked out from its expression: every match has one of them."""
+def _starts_with_space(branches) -> bool:
+    """Whether everything that the branches match starts with a space."""
+    return all(bool(items) and not items[0][2] and (items[0][1] == " " if items[0][0] == "text" else items[0][0] == "group" and _starts_with_space(items[0][1])) for items in branches)
+
+
+def _ends_with_space(branches) -> bool:
+    return all(bool(items) and not items[-1][2] and (items[-1][1] == " " if items[-1][0] == "text" else items[-1][0] == "group" and _ends_with_space(items[-1][1])) for items in branches)
+
+
+def _sets(items, before: bool, after: bool) -> list[tuple[str, ...]]:
+    """Sets of strings, of each of which every match of a sequence has one; ``before`` and ``after``: whether spaces surround it."""
+    left, right, space = [], [], before
+    for kind, value, optional in items:  # is the place before each item surely behind a space, and that after it before one
+        left.append(space)
+        own = value == " " if kind == "text" else kind == "group" and _ends_with_space(value)
+        space = own and (space or not optional)
+    space = after
+    for kind, value, optional in reversed(items):
+        right.append(space)
+        own = value == " " if kind == "text" else kind == "group" and _starts_with_space(value)
+        space = own and (space or not optional)
+    right.reverse()
+    out, run, begin = [], "", 0
+    for i, (kind, value, optional) in enumerate([*items, ("any", None, False)]):
+        if kind == "text" and not optional:
+            begin = i if not run else begin
+            run += value
+            continue
+        if run:
+            text = (" " if left[begin] and run[0] != " " else "") + run + (" " if right[i - 1] and run[-1] != " " else "")
+            out.append((text,))
+        run = ""
+        if kind == "group" and not optional:
+            found = [max(_sets(branch, left[i], right[i]), key=_worth, default=None) for branch in value]
+            if None not in found:
+                out.append(tuple(dict.fromkeys(k for f in found for k in f)))
+    return [x for x in out if min(map(len, x)) > 2]
+
+
+def _worth(found: tuple[str, ...]):
+    return not any(c in k for k in found for c in COMMON), min(map(len, found)), -len(found)
+
+
+def keywords(expression: str) -> tuple[tuple[str, ...], ...]:
+    """Sets of strings, the most telling first: every match of the expression has one of each set (with the spaces around it)."""
     branches, _ = _sequence(expression, 0, "")
-    return _needed(branches)
+    (items,) = branches
+    return tuple(sorted(_sets(items, True, True), key=_worth, reverse=True))
 
 
 def rules() -> list[Rule]:
@@ -377,16 +409,26 @@ def spans(words: Column, table: list[Rule] | None = None) -> Column:
     table = table or rules()
     families = {}
     for r in table:
-        families.setdefault(r.keywords, []).append(r)
-    literal = F.array(
-        *[
-            F.struct(F.array(*[F.lit(x) for x in k]).alias("keywords"), F.array(*[F.struct(F.lit(r.expression).alias("expression"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight")) for r in found]).alias("rules"))
-            for k, found in families.items()
-        ]
-    )
-    hit = F.flatten(F.transform(F.filter(literal, lambda f: F.exists(f["keywords"], lambda k: F.contains(words, k))), lambda f: f["rules"]))
+        families.setdefault(r.keywords[0], []).append(r)
+
+    def strings(values):
+        return F.array(*[F.lit(x) for x in values])
+
+    def rule(r):
+        others = F.array(*[strings(x) for x in r.keywords[1:4]]) if len(r.keywords) > 1 else F.array().cast("array<array<string>>")
+        return F.struct(F.lit(r.expression).alias("expression"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"), others.alias("others"))
+
+    def has(found):
+        return F.exists(found, lambda k: F.contains(words, k))
+
+    literal = F.array(*[F.struct(strings(k).alias("keywords"), F.array(*[rule(r) for r in found]).alias("rules")) for k, found in families.items()])
+    hit = F.flatten(F.transform(F.filter(literal, lambda f: has(f["keywords"])), lambda f: f["rules"]))
+    hit = F.filter(hit, lambda r: F.forall(r["others"], has))
     found = F.array_sort(F.flatten(F.transform(hit, lambda r: _places(words, r))))
-    return F.when(words.rlike(GATE), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    gate = F.lit(False)
+    for word in GATE:
+        gate = gate | F.contains(words, F.lit(word))
+    return F.when(gate, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: list[Rule] | None = None) -> DataFrame:

@@ -331,3 +331,91 @@ def test_snapshots_keep_generations(spark, tmp_path):
         assert kb.save(spark.range(n).toDF("v")) == n
     assert kb.read().count() == 4 and sorted(p.name for p in (tmp_path / "kb").glob("v=*")) == ["v=2", "v=3", "v=4"] or sorted(p.name for p in (tmp_path / "kb").glob("v=*")) == ["v=3", "v=4"]
     assert math.isfinite(kb.version())
+
+
+# ---- keys without a value, repeated rows, overridden definitions
+
+
+@pytest.mark.parametrize("width", [None, 10])
+def test_null_keys_never_match(spark, width):
+    left = spark.createDataFrame([(None, 30, 1), ("a", 30, 2)], "k string, t long, id long")
+    right = spark.createDataFrame([(None, 3, 30), ("a", 3, 40)], "k string, t long, v long")
+    assert {r.id: r.v for r in asof_join(left, right, ["k"], "t", ["v"], width).collect()} == {1: None, 2: 40}
+
+
+@pytest.mark.parametrize("width", [None, 7.0])
+def test_verify_site_against_brute_force(spark, width):
+    rng = random.Random(9)
+    claims = [(rng.choice("ab"), low, low + rng.randint(0, 9)) for low in rng.choices(range(80), k=60)] * 2  # repeated rows stay
+    sites = [(rng.choice("abc"), rng.randint(0, 90)) for _ in range(25)]
+    got = policy.verify_site(spark.createDataFrame(claims, "img string, low long, high long"), spark.createDataFrame(sites, "img string, site long"), ["img"], "low", "high", "site", width=width).collect()
+    want = sorted((i, a, b, any(j == i and a <= s < b for j, s in sites)) for i, a, b in claims)
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_extent_of_points(spark):
+    from cairn.operators.asof import extent_of
+
+    starts = spark.createDataFrame([("i", 10), ("i", 50), ("i", 900)], "img string, va long")
+    points = spark.createDataFrame([("i", 5), ("i", 10), ("i", 49), ("i", 60), ("j", 1)], "img string, va long")
+    got = {(r.img, r.va): (r.extent_start, r.extent_end) for r in extent_of(points, starts, ["img"], "va", "va", 100).collect()}
+    assert got == {("i", 5): (5, 105), ("i", 10): (10, 50), ("i", 49): (10, 50), ("i", 60): (50, 150), ("j", 1): (1, 101)}
+
+
+def test_members_of_an_overridden_copy_are_gone(spark):
+    classes = spark.createDataFrame([("C", None, [], 0, 0), ("C", None, [], 1, 1), ("D", None, [], 1, 1)], "name string, parent string, access array<string>, order int, seq int")
+    members = spark.createDataFrame([("C", "method", "here", "()V", 0), ("C", "method", "old", "()V", 1), ("D", "method", "other", "()V", 1)], "owner string, kind string, name string, descriptor string, order int")
+    first = linkage.universe(classes.where("order = 0"), classes.where("order > 0"))
+    kept = linkage.counted_members(members, first)
+    assert {(r.owner, r.name) for r in kept.collect()} == {("C", "here"), ("D", "other")}
+    needs = spark.createDataFrame([("method", "C", "old", "()V")], "kind string, owner string, name string, descriptor string")
+    none = spark.createDataFrame([], "name string, parent string")
+    top = first.withColumn("parent", F.lit("java.lang.Object"))
+    assert linkage.resolve_members(needs, top, none, kept).first().outcome == "missing"
+
+
+def test_last_entry_of_a_kind_counts(spark):
+    row = spark.createDataFrame([([("a", 1), ("b", 2), ("a", 3), (None, 4), (None, 5)],)], "e array<struct<kind:string,n:int>>")
+    assert [x.n for x in row.select(policy.last_of_kind(F.col("e")).alias("e")).first().e] == [2, 3, 5]
+
+
+def test_literals_of_the_driver_and_of_columns_agree(spark):
+    texts = ["0x10", "0X1f", "dead", "12", "0b101", "0o17", " 7_000 ", "-0x4", "zz", "", "0x", "1e"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse_address(F.col("t")).alias("v")).collect()
+    assert {r.t: None if r.v is None else int(r.v) for r in rows} == {t: addresses.address_literal(t) for t in texts}
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    from cairn.streaming import ingest
+
+    folder, out = str(tmp_path / "in"), {}
+
+    def keep(batch, number):
+        out.update({int(r.s): r.n for r in batch.selectExpr("CAST(start AS LONG) AS s", "n").collect()})
+
+    for minute, name in ((0, "a"), (600, "b"), (1, "late"), (601, "c")):
+        spark.sql(f"SELECT timestamp_seconds({minute * 60}) AS ts, '{name}' AS kind").coalesce(1).write.mode("append").parquet(folder)
+        counted = ingest.window_counts(spark.readStream.schema("ts timestamp, kind string").parquet(folder), "ts", [], "10 minutes", "1 minute")
+        counted.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    assert out == {0: 1, 36_000: 2}
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from cairn import storage
+
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "x"
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Elsewhere)
+    table = storage.cut(spark.range(3).toDF("x"), "test-cut")
+    path = table._cut_path
+    storage.release(table, table)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path)

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from cairn.llm import langid, quality
+from cairn.llm import langid, quality, registry
 from cairn.llm.common import held_out_expr, raw_text
 
 
@@ -85,3 +85,169 @@ def test_every_language_is_learned(spark):
     rows = [(i, f"x{i:02d}", f"{letters[i % 26] * 3}{letters[i // 26] * 2} " * 5) for i in range(66)]
     table = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     assert langid.fit(table, F.lit(True)).langs == [f"x{i:02d}" for i in range(66)]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain_grams(text):
+    """Rows of the table for 3- and 4-grams of the lower-cased letters, one by one."""
+    raw = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in text.lower().encode("utf-8", "replace"))
+    x = b" " + b" ".join(raw.split()) + b"  "
+    out = []
+    for i in range(len(x) - 2):
+        tri = x[i] << 16 | x[i + 1] << 8 | x[i + 2]
+        out.append((tri * 0x85EBCA6B % (1 << 32)) >> (32 - langid.BITS))
+    for i in range(len(x) - 3):
+        four = (x[i] << 24 | x[i + 1] << 16 | x[i + 2] << 8 | x[i + 3]) % (1 << 32)
+        out.append(((four * 0x9E3779B1 + 0x7F4A7C15) % (1 << 32)) >> (32 - langid.BITS))
+    return out
+
+
+def plain_language(model, text):
+    """Family by the first machines, then votes of the machines between two languages; every sum in a loop."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und"
+    found = plain_grams(text)
+    margin = []
+    for j in range(model.table.shape[1]):
+        total = 0.0
+        for g in found:
+            total += float(model.table[g, j])
+        margin.append(total / len(found) + model.bias[j])
+    k = len(model.family_machines)
+    if k == 0:
+        family = model.families[0]
+    elif k == 1:
+        family = model.families[0] if margin[0] >= 0 else model.families[1]
+    else:
+        family = model.families[max(range(k), key=lambda i: margin[i])]
+    votes = {lang: 0 for lang in model.members[family]}
+    for (f, a, b), m in zip(model.pairs, margin[k:]):
+        if f == family:
+            votes[a if m >= 0 else b] += 1
+    return max(sorted(votes), key=lambda x: votes[x])
+
+
+def test_language_query_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs, ~held_out_expr("doc_id", 3, 1))
+    got = {r.doc_id: r for r in registry.QUERIES["op8_language_id"](spark, SF).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows[::2]:
+        text = r.text if r.text is None else r.text[:3000]
+        if r.text is not None and len(r.text) > 3000:
+            continue  # loops over the longest texts take too long here
+        assert got[r.doc_id].lang_pred == plain_language(model, text), r.doc_id
+
+
+def test_machine_between_two_languages_against_brute_force():
+    """The same hinge-loss descent with dictionaries."""
+    rng = np.random.default_rng(6)
+    rows, sign = [], []
+    for i in range(24):
+        gram, count = np.unique(rng.integers(0, 40, 30) + (20 if i % 2 else 0), return_counts=True)
+        rows.append((gram, (count / count.sum()).astype(np.float32)))
+        sign.append(1 if i % 2 else -1)
+    weight, bias = langid._machine(rows, np.array(sign))
+    size, mass = 1 << langid.BITS, [{}, {}]
+    for (gram, freq), s in zip(rows, sign):
+        for g, f in zip(gram.tolist(), freq.tolist()):
+            mass[s > 0][g] = mass[s > 0].get(g, 1.0) + f * 50
+    totals = [size + sum(v - 1 for v in m.values()) for m in mass]
+    ratio = {g: np.log(mass[1].get(g, 1.0) / totals[1]) - np.log(mass[0].get(g, 1.0) / totals[0]) for g in range(60)}
+    factor, b, order, sums, n = dict.fromkeys(range(60), 1.0), 0.0, np.random.default_rng(7), dict.fromkeys(range(60), 0.0), 0
+    share = sum(s > 0 for s in sign) / len(sign)
+    for epoch in range(6):
+        rate = 0.5 / (1 + epoch)
+        for i in order.permutation(len(rows)):
+            x = {g: f * ratio[g] for g, f in zip(rows[i][0].tolist(), rows[i][1].tolist())}
+            if sign[i] * (sum(v * factor[g] for g, v in x.items()) + b) < 1:
+                w = 0.5 if sign[i] > 0 else 0.5 / (1 - share)
+                for g, v in x.items():
+                    factor[g] += rate * w * sign[i] * v
+                b += 0.02 * rate * w * sign[i]
+        for g in factor:
+            factor[g] += rate * 1e-3 * (1 - factor[g])
+        if epoch >= 3:
+            n += 1
+            for g in factor:
+                sums[g] += factor[g]
+    assert np.isclose(bias, b) and np.allclose(weight[:60], [ratio[g] * sums[g] / n for g in range(60)], rtol=1e-4)
+
+
+def plain_quality(machine, text, n_chars):
+    """The machine's score with the sum over all pairs of inputs written out."""
+    import zlib
+
+    words = (text or "").encode().lower().split()
+    counts = {}
+    for w in words:
+        counts[w] = counts.get(w, 0) + 1
+    norm = sum(counts.values()) ** 0.5
+    vector = []
+    for w, n in counts.items():
+        vector.append((zlib.crc32(w) % (1 << quality.BITS), n**0.5 / norm))
+    at, value = quality.features((text or "").encode(), (n_chars,))
+    vector += [(int(a), float(v)) for a, v in zip(at[len(counts) :], value[len(counts) :])]
+    assert len(vector) == len(at)
+    z = machine.bias + sum(x * float(machine.linear[a]) for a, x in vector)
+    for i in range(len(vector)):
+        for j in range(i):
+            z += vector[i][1] * vector[j][1] * float(machine.pairs[vector[i][0]].astype(float) @ machine.pairs[vector[j][0]].astype(float))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_quality_query_against_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    machine = quality.fit(docs, labels, ~held_out_expr("doc_id", 5, 0))
+    got = {r.doc_id: r for r in registry.QUERIES["op1_quality_classifier"](spark, SF).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    short = [r for r in rows if r.text is None or len(r.text.split()) < 150][:12]
+    assert len(short) > 3
+    for r in short:
+        want = plain_quality(machine, r.text, r.n_chars)
+        assert np.isclose(got[r.doc_id].score, want, atol=1e-4) and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
+
+
+def test_structure_statistics_one_by_one():
+    text = b"One two, TWO!\n\nline 3 #tag\nOne two, TWO!\n"
+    words = text.lower().split()
+    counts = {w: words.count(w) for w in words}
+    got = quality.statistics(text, words, __import__("collections").Counter(words))
+    lines = text.split(b"\n")
+    assert np.isclose(got[0], sum(65 <= c <= 90 for c in text) / len(text)) and np.isclose(got[2], 1 / len(text))
+    tail = [len(counts) / len(words), max(counts.values()) / len(words), 1 - len(set(lines)) / len(lines), len(lines) / len(words)]
+    assert np.allclose(got[len(quality.CLASSES) + 1 : len(quality.CLASSES) + 5], tail)
+
+
+def test_fit_against_brute_force():
+    """Adagrad on the logistic loss, with the gradient of every pair written out."""
+    rng = np.random.default_rng(3)
+    rows = [(rng.choice(40, 5, replace=False), rng.random(5).astype(np.float32)) for _ in range(12)]
+    labels = [int(i % 3 > 0) for i in range(12)]
+    machine = quality.Machine(0)
+    start = machine.pairs.copy()
+    machine.fit(rows, labels, epochs=2)
+    bias, linear, pairs = float(np.log((8 / 12) / (4 / 12))), np.zeros(40), start[:40].copy()
+    g_bias, g_linear, g_pairs, order = 1e-6, np.full(40, 1e-6), np.full((40, quality.RANK), 1e-6), np.random.default_rng(5)
+    for _ in range(2):
+        for i in order.permutation(12):
+            at, x = rows[i][0], rows[i][1].astype(float)
+            z = bias + sum(x[k] * linear[a] for k, a in enumerate(at)) + sum(x[k] * x[m] * (pairs[at[k]] @ pairs[at[m]]) for k in range(5) for m in range(k))
+            d = 1 / (1 + np.exp(-z)) - labels[i]
+            g_bias += d * d
+            bias -= 0.1 * d / np.sqrt(g_bias)
+            steps = [x[k] * sum((x[m] * pairs[at[m]] for m in range(5) if m != k), np.zeros(quality.RANK)) for k in range(5)]
+            for k, a in enumerate(at):
+                g = d * x[k] + 1e-4 * linear[a]
+                g_linear[a] += g * g
+                linear[a] -= 0.1 * g / np.sqrt(g_linear[a])
+            old = pairs.copy()
+            for k, a in enumerate(at):
+                g = d * steps[k] + 1e-4 * old[a]
+                g_pairs[a] += g * g
+                pairs[a] -= 0.05 * g / np.sqrt(g_pairs[a])
+    assert np.isclose(machine.bias, bias) and np.allclose(machine.linear[:40], linear, atol=1e-5) and np.allclose(machine.pairs[:40], pairs, atol=1e-5)

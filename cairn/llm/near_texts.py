@@ -44,8 +44,10 @@ BITS = 256
 #: Differing bits up to which a candidate is checked: 39 are expected at 0.8, with a deviation of 5.7.
 RADIUS = 62
 RECALL = 0.99
-#: Fingerprints of one chunk of a hot key; a group has at most two chunks.
-CHUNK = 1024
+#: Fingerprints of one chunk of a hot key (a group has at most two chunks), and keys that are looked up by broadcast at most.
+CHUNK, MOST_HOT = 4096, 200_000
+#: Places that the copies of one fingerprint are spread over where they meet others.
+SALTS = 16
 #: Lanes that lie side by side.
 AT_ONCE = 1 << 16
 _ODD = np.random.default_rng(23).integers(1, 1 << 62, 4).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -245,7 +247,9 @@ def candidates(fps: DataFrame, n: int, similarity: float = SIMILARITY, radius: i
     bits, tables = table_shape(n, similarity)
     keys = fps.select("fp").mapInArrow(_keys(bits, tables), "key long, fp binary")
     hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
-    hot = hot.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("g"))
+    hot = cut(hot.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("g")), "near-hot")
+    if hot.count() <= MOST_HOT:
+        hot = F.broadcast(hot)
     # with g chunks, chunk c meets each chunk j in the group (least, greatest)
     c = F.pmod(F.xxhash64("fp"), F.coalesce("g", F.lit(1))).cast("int")
     dealt = keys.join(hot, "key", "left").select("key", "fp", c.alias("c"), F.coalesce("g", F.lit(1)).alias("g"))
@@ -268,22 +272,27 @@ def _similar(similarity):
     return run
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """``id, fp`` of every row, and ``fp, label`` of every fingerprint: equal labels are near-duplicates."""
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """``id, fp`` of every row, and ``fp, label`` of every fingerprint: equal labels are near-duplicates; and the tables to release after use."""
     rows = docs.select(F.col(id_col).alias("id"), raw_text(text_col).alias("raw"))
     kind = rows.schema["id"].dataType.simpleString()
     fps = cut(rows.mapInArrow(_fingerprints(words), f"id {kind}, fp binary, shingles binary"), "near-fp")
     distinct = cut(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "near-distinct")
     edges = cut(candidates(distinct, distinct.count(), similarity), "near-edges")
     ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = fps.join(ends, "fp", "left_semi").groupBy("fp").agg(F.max("shingles").alias("shingles"))
-    sets = cut(sets, "near-sets")
+    ends = cut(ends, "near-ends")
+    if ends.count() <= MOST_HOT:
+        copies = fps.join(F.broadcast(ends), "fp", "left_semi")
+    else:  # the copies of a fingerprint meet its end in several places, and one of them goes on from each
+        spread = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        copies = fps.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["fp", "salt"], "left_semi")
+    sets = cut(copies.groupBy("fp").agg(F.max("shingles").alias("shingles")), "near-sets")
     paired = edges.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
     links = cut(paired.mapInArrow(_similar(similarity), "a binary, b binary"), "near-links")
-    labels = components(links, "near-labels")
+    labels = cut(components(links, "near-labels"), "near-named")
     named = distinct.select("fp").join(labels.select(F.col("v").alias("fp"), "label"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
-    release(edges, sets)
-    return fps.select("id", "fp"), named
+    release(edges, ends, sets, links)
+    return fps.select("id", "fp"), named, [fps, distinct, labels]
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -291,14 +300,16 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Groups are told apart by their labels, as ids may be null or repeated.
     """
-    fps, named = groups(docs, id_col, text_col, words, similarity)
+    fps, named, held = groups(docs, id_col, text_col, words, similarity)
     # copies are put together before anything is sent by fingerprint
     first = fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id")).alias("first"))
     least = first.join(named, "fp").groupBy("label").agg(F.min(F.struct("first.null", "first.id", "fp")).alias("least"))
     rows_of = fps.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     kept = least.select(F.col("least.id").alias("__id"), F.col("least.fp").alias("__fp"))
-    kept = cut(kept.join(rows_of, F.col("__id").eqNullSafe(F.col("id"))).select("__id", "__fp", (F.col("n") == 1).alias("__alone")), "near-kept")
-    alone = docs.join(kept.where("__alone").select("__id"), F.col(id_col) == F.col("__id")).select(*docs.columns)
+    kept = cut(kept.join(rows_of, F.col("__id").eqNullSafe(F.col("id"))).select("__id", "__fp", ((F.col("n") == 1) & F.col("__id").isNotNull()).alias("__alone")), "near-kept")
+    release(*held)
+    # as many ids as documents: a merge at every size
+    alone = docs.join(kept.where("__alone").select("__id").hint("merge"), F.col(id_col) == F.col("__id")).select(*docs.columns)
     shared = kept.where("NOT __alone")
     if shared.isEmpty():
         return alone

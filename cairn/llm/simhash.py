@@ -264,7 +264,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id, fp, component`` for every row; ``component`` is the smallest id reachable."""
     fps = cut(fingerprints(docs, id_col, text_col), "simhash-fp")
     distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
-    labels = components(links(distinct.select("fp")))
+    edges = cut(links(distinct.select("fp")), "simhash-links")
+    labels = components(edges)
+    release(edges)
     named = distinct.join(labels, distinct.fp == labels.v, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     named = cut(named, "simhash-named")
     lowest = named.groupBy("label").agg(F.min("first").alias("component"))

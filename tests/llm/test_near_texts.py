@@ -121,3 +121,11 @@ def test_shingles_of_short_texts(text):
     (found,) = t.shingle_hashes([text.encode()])
     assert len(found) == len(shingles(text))
     assert (t.fingerprint(found) == bytes(32)) == (not text)
+
+
+def test_without_broadcasts_the_result_is_the_same(spark, monkeypatch):
+    texts = made(11, 160)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = sorted(r.doc_id for r in t.representatives(table).collect())
+    monkeypatch.setattr(t, "MOST_HOT", -1)
+    assert sorted(r.doc_id for r in t.representatives(table).collect()) == want

@@ -195,8 +195,12 @@ def pieces(raw: bytes, size: int = AT_ONCE):
     yield raw[at:]
 
 
+#: ASCII that is plain wherever it stands; without it the bytes of other letters stay side by side.
+_ASCII = bytes(c for c in range(0x80) if not COMPLEX.match(bytes([c])))
+
+
 def _plain(raws: list[bytes]) -> bool:
-    return not any(map(COMPLEX.search, raws))
+    return not any(b"<|" in r or COMPLEX.search(r.translate(None, _ASCII)) for r in raws)
 
 
 def encoded(raws: list[bytes], path: str, end: int = END):

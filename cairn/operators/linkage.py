@@ -34,9 +34,9 @@ def arity(descriptor: Column) -> Column:
 
 
 def universe(own: DataFrame, provided: DataFrame, name: str = "name", order: str = "seq") -> DataFrame:
-    """One definition per name: own ones override provided ones, and earlier ones later ones."""
+    """One definition per name: own ones override provided ones, and earlier ones later ones; those without an order come last."""
     both = own.withColumn("__side", F.lit(0)).unionByName(provided.withColumn("__side", F.lit(1)))
-    return first_definition(both, [name], ["__side", F.col(order)]).drop("__side")
+    return first_definition(both, [name], ["__side", F.col(order).asc_nulls_last()]).drop("__side")
 
 
 def counted_members(members: DataFrame, classes: DataFrame, by: tuple[str, ...] = ("order",)) -> DataFrame:

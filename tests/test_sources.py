@@ -294,3 +294,44 @@ def test_class_tables(spark, tmp_path, sample):
     assert methods.decompiled(found).where("structured").count() == 10
     assert methods.instructions(found).where("op = 'iinc' AND line IS NOT NULL").count() == 3
     assert methods.control_flow(found).where("loops = 1").count() == 2
+
+
+def test_a_prologue_inside_an_operand_is_none():
+    from cairn.plans.readers import caller
+
+    # the number 0x15340 has the bytes of "push rbx" with a prefix
+    data = caller(0x5340)
+    image = containers.load(data)
+    assert native.function_starts(image, data) == {0x401000: "entry", 0x401000 + 5 * (0x5340 % 3 + 1) + 3: "call"}
+    blob = bytes.fromhex("c3 b940530100 c3 000000 4053 c3 000000 554883ec10 4053 8b4053 c3".replace(" ", ""))
+    assert list(native.function_starts(containers.raw_image(blob, "x86", 64), blob)) == [10, 17, 21]
+
+
+def test_immediates_of_32_bit_code_are_unsigned_numbers_of_32_bits():
+    code = bytes.fromhex("b8000000f0 c3".replace(" ", ""))
+    assert list(native.code_rows(containers.raw_image(code, "x86", 32, base=0x1000), code)) == [("immediate", 0x1000, 0xF0000000, "mov")]
+
+
+def test_a_sweep_decodes_equal_windows_once(monkeypatch):
+    code = bytes.fromhex("b8010000f0 e800000000 8b0510000000 ".replace(" ", "")) * 2 + b"\xcc" * 600 + b"\x00" * 601 + b"\x66\xb8\x01"
+    decode, calls = native.decode_one, []
+    want, at = [], 0
+    while at < len(code):
+        one = decode(code, at, 0x1000 + at, 64)
+        want += [one] if one else []
+        at += one.size if one else 1
+    monkeypatch.setattr(native, "decode_one", lambda *a: calls.append(a) or decode(*a))
+    assert list(native.sweep(code, 0x1000, "x86", 64)) == want and len(want) > 900
+    assert len(calls) < 150
+
+
+def test_a_task_parses_equal_contents_once(spark):
+    found = spark.createDataFrame([(str(i), bytearray(b"ab"[i % 2 : i % 2 + 1])) for i in range(200)], "sha256 string, content binary").coalesce(1)
+    seen = []
+
+    def parse(sha, data):
+        seen.append(data)
+        yield sha, data.decode(), len(seen)
+
+    rows = tables._table(found, parse, "sha256 string, text string, calls int").collect()
+    assert {(r.sha256, r.text) for r in rows} == {(str(i), "ab"[i % 2]) for i in range(200)} and max(r.calls for r in rows) == 2

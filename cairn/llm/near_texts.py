@@ -215,13 +215,25 @@ def spanning(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
     return np.array(taken, np.int64)
 
 
-def _edges(radius):
+def _edges(radius, labelled: bool = False):
+    """Edges within every list: a shortest spanning forest, and the ends of pairs that it leaves out with themselves; or (``labelled``) all pairs of different labels."""
+
     def flush(lists):
         sizes = np.array([len(x) for x in lists])
-        fps = np.frombuffer(b"".join(f for x in lists for f in x), np.uint8).reshape(-1, BITS // 8)
+        fps = np.frombuffer(b"".join(r["fp"] for x in lists for r in x), np.uint8).reshape(-1, BITS // 8)
         a, b = close_pairs(fps, np.repeat(np.arange(len(lists)), sizes), radius)
-        words = fps.view(np.uint64)
-        taken = spanning(a, b, np.bitwise_count(words[a] ^ words[b]).sum(axis=1))
+        if labelled:
+            codes: dict[bytes, int] = {}
+            label = np.array([codes.setdefault(r["label"], len(codes)) for x in lists for r in x])
+            taken = label[a] != label[b]
+        else:
+            words = fps.view(np.uint64)
+            forest = spanning(a, b, np.bitwise_count(words[a] ^ words[b]).sum(axis=1))
+            out = np.ones(len(a), bool)
+            out[forest] = False
+            ends = np.unique(np.concatenate([a[out], b[out]]))
+            a, b = np.concatenate([a[forest], ends]), np.concatenate([b[forest], ends])
+            taken = slice(None)
         a, b = fps[a[taken]], fps[b[taken]]
         return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in side], pa.binary()) for side in (a, b)], names=["a", "b"])
 
@@ -229,7 +241,9 @@ def _edges(radius):
         held, n = [], 0
         for batch in batches:
             for row in batch.column(0):
-                fps = sorted(set(row.as_py()))
+                fps = [r for _, r in sorted({r["fp"]: r for r in row.as_py()}.items())]
+                if labelled and len({r["label"] for r in fps}) == 1:
+                    continue
                 held.append(fps)
                 n += len(fps)
                 if n >= AT_ONCE:
@@ -242,8 +256,15 @@ def _edges(radius):
     return run
 
 
-def candidates(fps: DataFrame, n: int, similarity: float = SIMILARITY, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Edges ``a, b`` (a < b) between distinct ``fp`` that are close in bits: a forest for every group of every table."""
+def candidates(fps: DataFrame, n: int, similarity: float = SIMILARITY, radius: int = RADIUS, chunk: int = CHUNK, labels: DataFrame | None = None, ends: bool = False) -> DataFrame:
+    """Edges ``a, b`` (a < b) between distinct ``fp`` that are close in bits: a forest for every group of every table.
+
+    With ``ends`` also the ends of pairs that forests leave out, as edges to
+    themselves; with ``labels`` (``v, label``; a text without one is its own) all
+    pairs of different labels.
+    """
+    if labels is not None:
+        fps = cut(fps.join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "near-labelled")
     bits, tables = table_shape(n, similarity)
     keys = fps.select("fp").mapInArrow(_keys(bits, tables), "key long, fp binary")
     hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
@@ -254,9 +275,13 @@ def candidates(fps: DataFrame, n: int, similarity: float = SIMILARITY, radius: i
     c = F.pmod(F.xxhash64("fp"), F.coalesce("g", F.lit(1))).cast("int")
     dealt = keys.join(hot, "key", "left").select("key", "fp", c.alias("c"), F.coalesce("g", F.lit(1)).alias("g"))
     dealt = dealt.select("key", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"))
-    groups = dealt.groupBy("key", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j")).agg(F.collect_list("fp").alias("fps"))
-    found = groups.where(F.size("fps") > 1).select("fps").mapInArrow(_edges(radius), "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    item = F.struct("fp")
+    if labels is not None:
+        dealt, item = dealt.join(fps, "fp"), F.struct("fp", "label")
+    groups = dealt.groupBy("key", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j")).agg(F.collect_list(item).alias("fps"))
+    found = groups.where(F.size("fps") > 1).select("fps").mapInArrow(_edges(radius, labels is not None), "a binary, b binary")
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found if ends else found.where("a <> b")
 
 
 def _similar(similarity):
@@ -272,13 +297,8 @@ def _similar(similarity):
     return run
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """``id, fp`` of every row, and ``fp, label`` of every fingerprint: equal labels are near-duplicates; and the tables to release after use."""
-    rows = docs.select(F.col(id_col).alias("id"), raw_text(text_col).alias("raw"))
-    kind = rows.schema["id"].dataType.simpleString()
-    fps = cut(rows.mapInArrow(_fingerprints(words), f"id {kind}, fp binary, shingles binary"), "near-fp")
-    distinct = cut(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "near-distinct")
-    edges = cut(candidates(distinct, distinct.count(), similarity), "near-edges")
+def _verified(fps: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """Those of the edges whose texts are similar by their shingles."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     ends = cut(ends, "near-ends")
     if ends.count() <= MOST_HOT:
@@ -289,9 +309,30 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     sets = cut(copies.groupBy("fp").agg(F.max("shingles").alias("shingles")), "near-sets")
     paired = edges.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
     links = cut(paired.mapInArrow(_similar(similarity), "a binary, b binary"), "near-links")
+    release(ends, sets)
+    return links
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """``id, fp`` of every row, and ``fp, label`` of every fingerprint: equal labels are near-duplicates; and the tables to release after use."""
+    rows = docs.select(F.col(id_col).alias("id"), raw_text(text_col).alias("raw"))
+    kind = rows.schema["id"].dataType.simpleString()
+    fps = cut(rows.mapInArrow(_fingerprints(words), f"id {kind}, fp binary, shingles binary"), "near-fp")
+    distinct = cut(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "near-distinct")
+    n = distinct.count()
+    found = cut(candidates(distinct, n, similarity, ends=True), "near-edges")
+    links = _verified(fps, found.where("a <> b"), similarity)
     labels = cut(components(links, "near-labels"), "near-named")
+    # an edge of a forest may fail the check where a pair that the forest leaves out holds: those still apart are checked pair by pair
+    again = found.where("a = b").select(F.col("a").alias("fp"))
+    edges = cut(candidates(again, n, similarity, labels=labels), "near-more")
+    more = _verified(fps, edges, similarity)
+    if not more.isEmpty():
+        release(labels)
+        labels = cut(components(links.unionByName(more), "near-labels"), "near-named")
+    release(found, edges)
+    release(links, more)
     named = distinct.select("fp").join(labels.select(F.col("v").alias("fp"), "label"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
-    release(edges, ends, sets, links)
     return fps.select("id", "fp"), named, [fps, distinct, labels]
 
 

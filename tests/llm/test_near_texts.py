@@ -129,3 +129,18 @@ def test_without_broadcasts_the_result_is_the_same(spark, monkeypatch):
     want = sorted(r.doc_id for r in t.representatives(table).collect())
     monkeypatch.setattr(t, "MOST_HOT", -1)
     assert sorted(r.doc_id for r in t.representatives(table).collect()) == want
+
+
+def test_a_pair_that_the_forest_leaves_out_is_checked():
+    import pyarrow as pa
+
+    fps = np.zeros((3, 32), np.uint8)
+    fps[1, 0], fps[2, 0] = 1, 3  # at distances 1, 1 and 2: the forest leaves out the first and the last
+    row = lambda labels: [[{"fp": f.tobytes(), **({"label": x} if x else {})} for f, x in zip(fps, labels)]]
+    batch = lambda labels: iter([pa.RecordBatch.from_arrays([pa.array(row(labels))], names=["fps"])])
+    pairs = lambda made: {tuple(r.values()) for b in made for r in b.to_pylist()}
+    one, two, three = (f.tobytes() for f in fps)
+    assert pairs(t._edges(t.RADIUS)(batch([None] * 3))) == {(one, two), (two, three), (one, one), (three, three)}
+    assert pairs(t._edges(t.RADIUS, True)(batch([b"x", b"y", b"z"]))) == {(one, two), (two, three), (one, three)}
+    assert pairs(t._edges(t.RADIUS, True)(batch([b"x", b"x", b"z"]))) == {(one, three), (two, three)}
+    assert not pairs(t._edges(t.RADIUS, True)(batch([b"x"] * 3)))

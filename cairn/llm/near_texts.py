@@ -19,7 +19,10 @@ planes.  Against a copy shifted by one, two, ... lanes, difference planes go
 through carry-save adders into bitwise counters that overflow beyond ``RADIUS``;
 blocks of 64 lanes are abandoned once all have.  Inside a group a shortest
 spanning forest of what is left is kept, never all pairs; its edges are checked
-exactly against the shingle sets and the rest are links.
+exactly against the shingle sets and the rest are links.  Texts of pairs that a
+forest leaves out meet once more, with their shingle sets, in the groups that
+still have several labels: there every such pair is checked where it first meets,
+and again only a forest of links leaves the group.
 
 Defined cases: a null text counts as empty; texts without words are copies of one
 another; fewer words than a shingle has are one shingle; texts of one fingerprint
@@ -48,6 +51,8 @@ RECALL = 0.99
 CHUNK, MOST_HOT = 4096, 200_000
 #: Places that the copies of one fingerprint are spread over where they meet others.
 SALTS = 16
+#: Bytes of shingle sets of one chunk where texts meet with them (a longer set is a chunk of its own).
+SET_BYTES = 16 << 20
 #: Lanes that lie side by side.
 AT_ONCE = 1 << 16
 _ODD = np.random.default_rng(23).integers(1, 1 << 62, 4).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,17 +103,24 @@ def table_shape(n: int, similarity: float = SIMILARITY, recall: float = RECALL)
     return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - same**bits)))
 
 
+def _picks(bits, tables) -> list[np.ndarray]:
+    """The drawn positions of every table."""
+    rng = np.random.default_rng(41)
+    return [np.sort(rng.choice(BITS, bits, replace=False)) for _ in range(tables)]
+
+
 def _keys(bits, tables):
+    """The keys of fingerprints, each with the row's columns."""
+
     def run(batches):
-        rng = np.random.default_rng(41)
-        picks = [np.sort(rng.choice(BITS, bits, replace=False)) for _ in range(tables)]
+        picks = _picks(bits, tables)
         power = np.uint64(1) << np.arange(bits, dtype=np.uint64)
         for batch in parts_of(batches, 4096):
-            fps = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, BITS // 8)
             spread = np.unpackbits(fps, axis=1, bitorder="little")
             for t, pick in enumerate(picks):
                 key = (spread[:, pick] * power).sum(axis=1, dtype=np.uint64) + (np.uint64(t) << np.uint64(bits))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], names=["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], names=["key", *batch.schema.names])
 
     return run
 
@@ -256,34 +268,137 @@ def _edges(radius, labelled: bool = False):
     return run
 
 
-def candidates(fps: DataFrame, n: int, similarity: float = SIMILARITY, radius: int = RADIUS, chunk: int = CHUNK, labels: DataFrame | None = None, ends: bool = False) -> DataFrame:
+def candidates(fps: DataFrame, n: int, similarity: float = SIMILARITY, radius: int = RADIUS, chunk: int = CHUNK, ends: bool = False) -> DataFrame:
     """Edges ``a, b`` (a < b) between distinct ``fp`` that are close in bits: a forest for every group of every table.
 
     With ``ends`` also the ends of pairs that forests leave out, as edges to
-    themselves; with ``labels`` (``v, label``; a text without one is its own) all
-    pairs of different labels.
+    themselves.
     """
-    if labels is not None:
-        fps = cut(fps.join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "near-labelled")
     bits, tables = table_shape(n, similarity)
     keys = fps.select("fp").mapInArrow(_keys(bits, tables), "key long, fp binary")
     hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
     hot = cut(hot.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("g")), "near-hot")
-    if hot.count() <= MOST_HOT:
-        hot = F.broadcast(hot)
-    # with g chunks, chunk c meets each chunk j in the group (least, greatest)
-    c = F.pmod(F.xxhash64("fp"), F.coalesce("g", F.lit(1))).cast("int")
-    dealt = keys.join(hot, "key", "left").select("key", "fp", c.alias("c"), F.coalesce("g", F.lit(1)).alias("g"))
-    dealt = dealt.select("key", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"))
-    item = F.struct("fp")
-    if labels is not None:
-        dealt, item = dealt.join(fps, "fp"), F.struct("fp", "label")
-    groups = dealt.groupBy("key", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j")).agg(F.collect_list(item).alias("fps"))
-    found = groups.where(F.size("fps") > 1).select("fps").mapInArrow(_edges(radius, labels is not None), "a binary, b binary")
+    dealt = _dealt(keys.join(F.broadcast(hot) if hot.count() <= MOST_HOT else hot, "key", "left"))
+    groups = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("fp")).alias("fps"))
+    found = groups.where(F.size("fps") > 1).select("fps").mapInArrow(_edges(radius), "a binary, b binary")
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return found if ends else found.where("a <> b")
 
 
+def _dealt(keys: DataFrame) -> DataFrame:
+    """Rows with a ``key`` of ``g`` chunks (null: one), dealt to groups ``i, j``: chunk ``c`` meets each chunk in the group (least, greatest)."""
+    kept = [n for n in keys.columns if n != "g"]
+    c = F.pmod(F.xxhash64("fp"), F.coalesce("g", F.lit(1))).cast("int")
+    dealt = keys.select(*kept, c.alias("c"), F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)).alias("other"))
+    return dealt.select(*kept, "c", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"))
+
+
+def group_links(table: int, fps: np.ndarray, chunks: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], masks: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """A forest of the links between members of one group that have different labels (numbers from 0).
+
+    Checked are the pairs within the radius that meet in no table before this one
+    (``masks``: the positions of the tables, as words), and, where the group has
+    two chunks, those of different chunks: each pair once in all groups.
+    """
+    # members of the most frequent label stand last: they need not be compared with one another
+    most = np.bincount(labels).argmax()
+    order = np.argsort(labels == most, kind="stable")
+    label, words, chunk = labels[order], fps[order].view(np.uint64), chunks[order]
+    sets = [sets[i] for i in order.tolist()]
+    size = np.array([len(x) for x in sets])
+    two = chunk.min() != chunk.max()
+    values, places = np.unique(np.concatenate(sets), return_inverse=True)
+    edge = np.concatenate([[0], np.cumsum(size)])
+    own, out = np.zeros(len(values) + 1, bool), []
+    for x in range(int((label != most).sum())):
+        y = x + 1 + np.nonzero(label[x + 1 :] != label[x])[0]
+        if two:
+            y = y[chunk[y] != chunk[x]]
+        y = y[(size[y] >= similarity * size[x]) & (size[x] >= similarity * size[y])]
+        differ = words[y] ^ words[x]
+        near = np.bitwise_count(differ).sum(axis=1) <= radius
+        y, differ = y[near], differ[near]
+        for mask in masks[:table]:
+            if not len(y):
+                break
+            fresh = (differ & mask).any(axis=1)
+            y, differ = y[fresh], differ[fresh]
+        if not len(y):
+            continue
+        own[places[edge[x] : edge[x + 1]]] = True
+        for part in np.array_split(y, -(-int(size[y].sum()) // AT_ONCE) or 1):
+            part = part[label[part] != label[x]]
+            shared = np.array([np.count_nonzero(own[places[edge[k] : edge[k + 1]]]) for k in part.tolist()], np.int64)
+            for k in part[shared >= similarity * (size[x] + size[part] - shared)].tolist():
+                if label[k] != label[x]:
+                    out.append((int(order[x]), int(order[k])))
+                    label[label == label[k]] = label[x]
+        own[places[edge[x] : edge[x + 1]]] = False
+    return out
+
+
+def _links_of_groups(bits, tables, radius, similarity):
+    """Links ``a, b`` of groups whose rows (``key, i, j, c, fp, label, shingles``) stand together."""
+
+    def links(rows, masks):
+        codes: dict[bytes, int] = {}
+        label = np.array([codes.setdefault(r["label"], len(codes)) for r in rows])
+        if len(codes) < 2:
+            return []
+        fps = np.frombuffer(b"".join(r["fp"] for r in rows), np.uint8).reshape(-1, BITS // 8)
+        sets = [np.frombuffer(r["shingles"], "<u4") for r in rows]
+        table = (rows[0]["key"] & ((1 << 64) - 1)) >> bits
+        found = group_links(table, fps, np.array([r["c"] for r in rows]), label, sets, masks, radius, similarity)
+        return [(min(pair), max(pair)) for pair in ((rows[a]["fp"], rows[b]["fp"]) for a, b in found)]
+
+    def run(batches):
+        spread = np.zeros((tables, BITS), bool)
+        for t, pick in enumerate(_picks(bits, tables)):
+            spread[t, pick] = True
+        masks = np.packbits(spread, axis=1, bitorder="little").view(np.uint64)
+        held, at = [], None
+        for batch in parts_of(batches, 512):
+            out = []
+            for row in batch.to_pylist():
+                here = (row["key"], row["i"], row["j"])
+                if here != at and held:
+                    out += links(held, masks)
+                    held = []
+                at = here
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.binary()) for side in zip(*out)], names=["a", "b"])
+        out = links(held, masks) if held else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(side, pa.binary()) for side in zip(*out)], names=["a", "b"])
+        tidy()
+
+    return run
+
+
+def left_out_links(fps: DataFrame, again: DataFrame, labels: DataFrame, n: int, similarity: float = SIMILARITY, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """Links ``a, b`` between the fingerprints ``again`` (``fp``) that have different labels (``v, label``; without one its own).
+
+    Every pair that meets in a group and is close in bits is checked against the
+    shingle sets inside the group's task; a group gives at most one link fewer
+    than it has labels.
+    """
+    bits, tables = table_shape(n, similarity)
+    sets = _sets_of(fps, again)
+    named = sets.join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.octet_length("shingles").alias("size"))
+    named = cut(named, "near-labelled")
+    keys = named.mapInArrow(_keys(bits, tables), "key long, fp binary, label binary, size int")
+    mixed = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("bytes"), F.min("label").alias("least"), F.max("label").alias("most"))
+    chunks = F.ceil(F.greatest(F.col("n") / chunk, F.col("bytes") / SET_BYTES)).cast("int")
+    mixed = cut(mixed.where("least <> most").select("key", F.greatest(chunks, F.lit(1)).alias("g")), "near-mixed")
+    dealt = _dealt(keys.join(F.broadcast(mixed) if mixed.count() <= MOST_HOT else mixed, "key").select("key", "fp", "label", "g"))
+    rows = dealt.join(sets, "fp").select("key", "i", "j", "c", "fp", "label", "shingles")
+    together = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    links = cut(together.mapInArrow(_links_of_groups(bits, tables, radius, similarity), "a binary, b binary").distinct(), "near-more")
+    release(sets, named, mixed)
+    return links
+
+
 def _similar(similarity):
     def run(batches):
         for batch in parts_of(batches, 1024):
@@ -297,16 +412,20 @@ def _similar(similarity):
     return run
 
 
+def _sets_of(fps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``fp, shingles`` of the wanted fingerprints (``fp``, distinct)."""
+    if wanted.count() <= MOST_HOT:
+        copies = fps.join(F.broadcast(wanted), "fp", "left_semi")
+    else:  # the copies of a fingerprint meet it in several places, and one of them goes on from each
+        spread = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        copies = fps.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["fp", "salt"], "left_semi")
+    return cut(copies.groupBy("fp").agg(F.max("shingles").alias("shingles")), "near-sets")
+
+
 def _verified(fps: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
     """Those of the edges whose texts are similar by their shingles."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    ends = cut(ends, "near-ends")
-    if ends.count() <= MOST_HOT:
-        copies = fps.join(F.broadcast(ends), "fp", "left_semi")
-    else:  # the copies of a fingerprint meet its end in several places, and one of them goes on from each
-        spread = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        copies = fps.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["fp", "salt"], "left_semi")
-    sets = cut(copies.groupBy("fp").agg(F.max("shingles").alias("shingles")), "near-sets")
+    ends = cut(edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "near-ends")
+    sets = _sets_of(fps, ends)
     paired = edges.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
     links = cut(paired.mapInArrow(_similar(similarity), "a binary, b binary"), "near-links")
     release(ends, sets)
@@ -325,13 +444,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     labels = cut(components(links, "near-labels"), "near-named")
     # an edge of a forest may fail the check where a pair that the forest leaves out holds: those still apart are checked pair by pair
     again = found.where("a = b").select(F.col("a").alias("fp"))
-    edges = cut(candidates(again, n, similarity, labels=labels), "near-more")
-    more = _verified(fps, edges, similarity)
+    more = left_out_links(fps, again, labels, n, similarity)
     if not more.isEmpty():
         release(labels)
         labels = cut(components(links.unionByName(more), "near-labels"), "near-named")
-    release(found, edges)
-    release(links, more)
+    release(found, links, more)
     named = distinct.select("fp").join(labels.select(F.col("v").alias("fp"), "label"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
     return fps.select("id", "fp"), named, [fps, distinct, labels]
 

@@ -144,3 +144,45 @@ def test_a_pair_that_the_forest_leaves_out_is_checked():
     assert pairs(t._edges(t.RADIUS, True)(batch([b"x", b"y", b"z"]))) == {(one, two), (two, three), (one, three)}
     assert pairs(t._edges(t.RADIUS, True)(batch([b"x", b"x", b"z"]))) == {(one, three), (two, three)}
     assert not pairs(t._edges(t.RADIUS, True)(batch([b"x"] * 3)))
+
+
+def test_left_out_pairs_of_a_large_group_are_checked_in_their_group(spark):
+    """Links of near copies, many of them below the limit: all that pairs give, in no more rows than there are labels."""
+    rng = random.Random(4)
+    base, n = made(12, 1, 150)[0].split(), 240
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.choice([1, 2, 3, 4, 5])):
+            words[at] = f"w{i}x{at}"
+        texts.append(" ".join(words))
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, raw string").selectExpr("id", "CAST(raw AS BINARY) AS raw")
+    fps = table.mapInArrow(t._fingerprints(5), "id long, fp binary, shingles binary").cache()
+    rows = fps.orderBy("id").collect()
+    numbers, sets = {r.fp: i for i, r in enumerate(rows)}, [shingles(x) for x in texts]
+    words = np.array([np.frombuffer(r.fp, np.uint64) for r in rows])
+    bits, tables = t.table_shape(n)
+    spread = np.array([np.unpackbits(np.frombuffer(r.fp, np.uint8), bitorder="little") for r in rows])
+    picks = t._picks(bits, tables)
+
+    def wanted(pairs):
+        root = list(range(n))
+        for i, j in pairs:
+            root = [root[i] if r == root[j] else r for r in root]
+        return root
+
+    links = [
+        (i, j)
+        for i in range(n)
+        for j in range(i)
+        if jaccard(sets[i], sets[j]) >= t.SIMILARITY and np.bitwise_count(words[i] ^ words[j]).sum() <= t.RADIUS and any((spread[i, p] == spread[j, p]).all() for p in picks)
+    ]
+    same = lambda a, b: len(set(a)) == len(set(b)) == len(set(zip(a, b)))
+    none = spark.createDataFrame([], "v binary, label binary")
+    for chunk in (t.CHUNK, 37):
+        got = t.left_out_links(fps, fps.select("fp").distinct(), none, n, chunk=chunk).collect()
+        assert all(jaccard(sets[numbers[r.a]], sets[numbers[r.b]]) >= t.SIMILARITY for r in got)
+        assert same(wanted([(numbers[r.a], numbers[r.b]) for r in got]), wanted(links))
+    picked = np.packbits(np.isin(np.arange(t.BITS), picks[0])[None], axis=1, bitorder="little").view(np.uint64)
+    found = t.group_links(0, words.view(np.uint8), np.zeros(n, int), np.arange(n), [np.frombuffer(r.shingles, "<u4") for r in rows], picked, t.RADIUS, t.SIMILARITY)
+    assert len(found) < n < len(links) / 10

@@ -441,13 +441,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     n = distinct.count()
     found = cut(candidates(distinct, n, similarity, ends=True), "near-edges")
     links = _verified(fps, found.where("a <> b"), similarity)
-    labels = cut(components(links, "near-labels"), "near-named")
+    labels = components(links, "near-labels")
     # an edge of a forest may fail the check where a pair that the forest leaves out holds: those still apart are checked pair by pair
     again = found.where("a = b").select(F.col("a").alias("fp"))
     more = left_out_links(fps, again, labels, n, similarity)
     if not more.isEmpty():
+        # the labels stand for the links: a row a node
+        joined = components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(more), "near-labels")
         release(labels)
-        labels = cut(components(links.unionByName(more), "near-labels"), "near-named")
+        labels = cut(joined, "near-named")
+        release(joined)
     release(found, links, more)
     named = distinct.select("fp").join(labels.select(F.col("v").alias("fp"), "label"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
     return fps.select("id", "fp"), named, [fps, distinct, labels]

@@ -237,29 +237,46 @@ def links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def components(edges: DataFrame, label: str = "simhash-labels") -> DataFrame:
-    """``v, label``: the smallest node reachable, by neighbour minima and pointer jumping."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("v", "w")
-    loops = both.select("v", F.col("v").alias("w")).distinct()
-    both = cut(both.union(loops).distinct(), f"{label}-edges")
-    at = cut(both.groupBy("v").agg(F.min("w").alias("label")), label)
+    """``v, label``: the smallest node reachable, by neighbour minima, pointer jumping and contraction.
+
+    Every round hooks each node to its smallest neighbour, follows the hooks to
+    their ends and puts the ends in the place of the nodes.  An end has a hooked
+    neighbour, so that each round leaves at most half of a component's nodes: all
+    rounds together join few more rows than there are edges and nodes.
+    """
+    edges = cut(edges.select("a", "b").distinct(), f"{label}-edges")
+    names = None
+    while True:
+        both = edges.union(edges.select("b", "a")).toDF("v", "w")
+        ends = _ends(cut(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("label")), label), label)
+        named = cut(ends.select("v", "label") if names is None else _renamed(names, ends, "label"), label)
+        # a finished component stays as a loop, so that every label has a name in the next round
+        left = cut(_renamed(_renamed(edges, ends, "a"), ends, "b").distinct(), f"{label}-edges")
+        release(edges, ends, *([] if names is None else [names]))
+        if left.where("a <> b").isEmpty():
+            release(left)
+            return named
+        edges, names = left, named
+
+
+def _ends(at: DataFrame, label: str) -> DataFrame:
+    """The ends of hooks ``v, label``, by pointer jumping (and ``moved``, then false)."""
     while True:
-        near = cut(
-            both.join(at.select(F.col("v").alias("w"), "label"), "w")
-            .groupBy("v")
-            .agg(F.min("label").alias("low")),
-            f"{label}-near",
-        )
         # many nodes may have one label: it is looked up without sending them all to one task
-        jump = at.select(F.col("v").alias("low"), F.col("label").alias("next"))
-        new = spread_join(near, jump, "low").join(at, "v").select("v", F.least("low", "next").alias("label"), (F.least("low", "next") < F.col("label")).alias("moved"))
-        new = cut(new, label)
-        release(at, near)
+        jump = spread_join(at.select("v", "label"), at.select(F.col("v").alias("label"), F.col("label").alias("next")), "label")
+        new = cut(jump.select("v", F.col("next").alias("label"), (F.col("next") < F.col("label")).alias("moved")), label)
+        release(at)
         if new.where("moved").isEmpty():
-            release(both)
-            return new.select("v", "label")
+            return new
         at = new
 
 
+def _renamed(rows: DataFrame, ends: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the ends (``v, label``) of a column in its place."""
+    named = spread_join(rows, ends.select(F.col("v").alias(column), F.col("label").alias("__end")), column)
+    return named.select(*[F.col("__end").alias(column) if n == column else n for n in rows.columns])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, fp, component`` for every row; ``component`` is the smallest id reachable."""
     fps = cut(fingerprints(docs, id_col, text_col), "simhash-fp")
@@ -271,5 +288,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = cut(named, "simhash-named")
     lowest = named.groupBy("label").agg(F.min("first").alias("component"))
     groups = cut(spread_join(named, lowest, "label").select("fp", "component"), "simhash-groups")
-    release(distinct, named)
+    release(distinct, named, labels)
     return spread_join(fps, groups, "fp").select("id", "fp", "component")

@@ -90,3 +90,26 @@ def test_copies_of_one_text_are_no_hot_key(spark):
     found = {r.id: r.component for r in got.collect()}
     assert len(found) == 3000 and {found[i] for i in range(0, 3000, 3)} == {0}
     assert simhash.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_components_join_few_more_rows_than_edges(spark, monkeypatch):
+    """A clique, a sorted path, a star and a loop: edges are joined once, and what a round leaves of them after it."""
+    rng = random.Random(6)
+    edges = [(i, j) for i in range(60) for j in range(i)] + [(100 + i, 101 + i) for i in range(80)] + [(300 + i, 299) for i in range(1, 90)] + [(500, 500)]
+    names = {v: rng.getrandbits(40) if v < 100 or v > 200 else v for e in edges for v in e}
+    edges = [(names[a], names[b]) for a, b in edges]
+    edges += [(b, a) for a, b in edges[::7]] + edges[::11]
+    joined, real = [], simhash.cut
+
+    def cut(df, label):
+        out = real(df, label)
+        if label.endswith("-edges"):
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", cut)
+    got = {r.v: r.label for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    parts = [range(60), range(100, 181), range(299, 390), [500]]
+    want = {names[v]: min(names[w] for w in part if w in names) for part in parts for v in part if v in names}
+    assert got == want and len(joined) <= 5
+    assert sum(joined) < 1.2 * len(set(edges))

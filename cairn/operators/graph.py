@@ -170,17 +170,94 @@ def immediate(doms: dict) -> dict:
     return {n: max((d for d in ds if d != n), key=lambda d: len(doms[d]), default=None) for n, ds in doms.items()}
 
 
+def _dominates(succ: dict, entry):
+    """A test whether a node dominates another, as ``dominator_sets`` has it, without a set for every node (Lengauer and Tarjan)."""
+    number, order, parent, stack = {entry: 0}, [entry], [0], [(0, iter(succ.get(entry, ())))]
+    while stack:
+        v, rest = stack[-1]
+        for s in rest:
+            if s not in number:
+                number[s] = len(order)
+                stack.append((len(order), iter(succ.get(s, ()))))
+                order.append(s)
+                parent.append(v)
+                break
+        else:
+            stack.pop()
+    pred, held = [[] for _ in order], [[] for _ in order]
+    for v, node in enumerate(order):
+        for s in succ.get(node, ()):
+            pred[number[s]].append(v)
+    semi, label, above, near = list(range(len(order))), list(range(len(order))), [-1] * len(order), [0] * len(order)
+
+    def least(v):
+        path, u = [], v
+        while above[u] >= 0 and above[above[u]] >= 0:
+            path.append(u)
+            u = above[u]
+        for u in reversed(path):
+            up = above[u]
+            if semi[label[up]] < semi[label[u]]:
+                label[u] = label[up]
+            above[u] = above[up]
+        return label[v]
+
+    for w in range(len(order) - 1, 0, -1):
+        semi[w] = min(semi[least(v)] for v in pred[w])
+        held[semi[w]].append(w)
+        above[w] = parent[w]
+        for v in held[parent[w]]:
+            u = least(v)
+            near[v] = u if semi[u] < semi[v] else parent[w]
+        held[parent[w]] = []
+    for w in range(1, len(order)):
+        if near[w] != semi[w]:
+            near[w] = near[near[w]]
+    # places in the tree of dominators: a node's own are one span
+    size = [1] * len(order)
+    for w in range(len(order) - 1, 0, -1):
+        size[near[w]] += size[w]
+    at, free = [0] * len(order), [1] * len(order)
+    for w in range(1, len(order)):
+        at[w] = free[near[w]]
+        free[near[w]] += size[w]
+        free[w] = at[w] + 1
+
+    def test(a, b):
+        if a == b:
+            return True
+        a, b = number.get(a), number.get(b)
+        return a is not None and b is not None and at[a] <= at[b] < at[a] + size[a]
+
+    return test
+
+
+def _deeper(loops: list[dict]) -> list[int]:
+    """For loops of one header, how many of the others hold more than each one's whole body."""
+    if len(loops) == 1:
+        return [0]
+    place, bits = {n: i for i, n in enumerate({n for x in loops for n in x["body"]})}, []
+    for x in loops:
+        own = bytearray(len(place) // 8 + 1)
+        for n in x["body"]:
+            own[place[n] >> 3] |= 1 << (place[n] & 7)
+        bits.append(int.from_bytes(own, "little"))
+    return [sum(x != y and x | y == y for y in bits) for x in bits]
+
+
 def natural_loops(nodes: list, succ: dict, entry) -> list[dict]:
-    """One loop per back edge: header, tail, body and exits, largest body first, then by header."""
-    doms = dominator_sets(nodes, succ, entry)
-    pred = {}
+    """One loop per back edge: header, tail, body and exits, largest body first, then by header.
+
+    Of loops with different headers, one holds all of the other if it holds its
+    header, so that only loops of one header are compared by their bodies.
+    """
+    dominates, pred, out = _dominates(succ, entry), {}, []
     for n in nodes:
         for s in succ.get(n, ()):
             pred.setdefault(s, []).append(n)
-    out = []
     for tail in nodes:
         for head in succ.get(tail, ()):
-            if head not in doms[tail]:
+            if not dominates(head, tail):
                 continue
             body, work = {head}, [tail] if tail != head else []
             while work:
@@ -191,8 +268,16 @@ def natural_loops(nodes: list, succ: dict, entry) -> list[dict]:
             exits = sorted({s for n in body for s in succ.get(n, ()) if s not in body})
             out.append({"header": head, "tail": tail, "body": sorted(body), "exits": exits})
     out.sort(key=lambda x: (-len(x["body"]), x["header"], x["tail"]))
+    same, around = {}, {}
+    for x in out:
+        same.setdefault(x["header"], []).append(x)
     for x in out:
-        x["depth"] = 1 + sum(set(x["body"]) < set(y["body"]) for y in out)
+        for n in x["body"]:
+            if n in same and n != x["header"]:
+                around[n] = around.get(n, 0) + 1
+    for head, group in same.items():
+        for x, more in zip(group, _deeper(group)):
+            x["depth"] = 1 + around.get(head, 0) + more
     return out
 
 
